@@ -40,7 +40,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op3_mixing, op4_simhash, op8_decontaminate, op10_linedup)
 }
 
-_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
     "op8_decontaminate": f"""
@@ -59,18 +59,18 @@ FROM h JOIN n USING (item_id) WHERE c >= 0.8 * n - 1e-9""",
 WITH a AS (SELECT doc_id, text, hash(text) AS th FROM documents),
 lines AS (SELECT doc_id, p, ls[p] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p
           FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM a WHERE text IS NOT NULL))),
-u AS (SELECT line, min((doc_id, p)) AS at FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line),
-s AS (SELECT line, at, list_distinct({_WORDS.format("line")}) AS w FROM u),
-tok AS (SELECT line, at, len(w) AS n, unnest(w) AS t FROM s),
+u AS (SELECT line, min((doc_id, p)) AS pos FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line),
+s AS (SELECT line, pos, list_distinct({_WORDS.format("line")}) AS w FROM u),
+tok AS (SELECT line, pos, len(w) AS n, unnest(w) AS t FROM s),
 df AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
 r AS (SELECT tok.*, row_number() OVER (PARTITION BY line ORDER BY c, t) AS i FROM tok JOIN df USING (t)),
 pre AS (SELECT * FROM r WHERE i <= n - ceil(0.8 * n - 1e-9) + 1),
-cand AS (SELECT DISTINCT x.line AS x, y.line AS y FROM pre x JOIN pre y ON x.t = y.t AND y.at < x.at
+cand AS (SELECT DISTINCT x.line AS x, y.line AS y FROM pre x JOIN pre y ON x.t = y.t AND y.pos < x.pos
          WHERE least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9),
 late AS (SELECT DISTINCT x FROM (SELECT x, len(list_intersect(a.w, b.w)) AS o, len(a.w) AS n, len(b.w) AS m
          FROM cand JOIN s a ON a.line = x JOIN s b ON b.line = y) WHERE o >= 0.8 * (n + m - o) - 1e-9),
 f AS (SELECT l.doc_id, l.p, l.line,
-      u.line IS NOT NULL AND (u.at <> (l.doc_id, l.p) OR late.x IS NOT NULL) AS gone
+      u.line IS NOT NULL AND (u.pos <> (l.doc_id, l.p) OR late.x IS NOT NULL) AS gone
       FROM lines l LEFT JOIN u ON u.line = l.line LEFT JOIN late ON late.x = l.line),
 g AS (SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_removed,
       md5(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_md5 FROM f GROUP BY doc_id)
