@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linedup, mixing, simhash, toxicity
+from . import decontaminate, embeddings, licenses, linedup, mixing, quality, quotes, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.rebuilt(_read(spark, sf_dir, "conversations"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.by_source(_read(spark, sf_dir, "documents"))
 
@@ -26,10 +30,26 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_read(spark, sf_dir, "pages"))
+
+
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("th")
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_read(spark, sf_dir, "documents")).drop("th")
+
+
 def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each document the number of lines, of removed lines, and the MD5 of what is left."""
     out = linedup.dedup_lines(_read(spark, sf_dir, "documents"), extra=True)
@@ -37,7 +57,9 @@ def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_mixing, op4_simhash, op8_decontaminate, op10_linedup)
+    f.__name__: f for f in (
+        op1_toxicity, op2_quotes, op3_mixing, op4_simhash, op5_warc, op6_embeddings, op7_quality, op8_decontaminate, op9_licenses, op10_linedup,
+    )
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
