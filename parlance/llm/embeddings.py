@@ -135,7 +135,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
         _assign(model, 0.7 * reach if margin is None else margin), "key long, label int, unit array<double>, n long, list int, query boolean"
     )
     placed = shared.cut(placed)
-    counts = placed.groupBy("label", "list").agg(F.count_if("not query").alias("bn"), F.count_if("query").alias("qn"))
+    counts = placed.groupBy("label", "list").agg(F.count_if(~F.col("query")).alias("bn"), F.count_if("query").alias("qn"))
     cells = placed.join(shared.small(shared.cut(counts.where("bn > 0 and qn > 0"))), ["label", "list"])
     cells = (
         cells.withColumn("bc", F.ceil(F.col("bn") / chunk)).withColumn("qc", F.ceil(F.col("qn") / chunk))

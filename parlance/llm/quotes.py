@@ -154,7 +154,7 @@ def rebuilt(messages: DataFrame) -> DataFrame:
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.when(F.col("depth") == 0, F.struct("start", "text")))), lambda x: x["text"]), "\n"
         ).alias("clean_text"),
-        F.count_if("depth > 0").alias("n_quotes"), F.max("depth").alias("max_depth"),
+        F.count_if(F.col("depth") > 0).alias("n_quotes"), F.max("depth").alias("max_depth"),
     )
     links = linked(only.where("turn is not null")).where("quoted_turn is not null")
     quoted = (
