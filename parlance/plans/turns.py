@@ -1,0 +1,106 @@
+"""Interview turns: per-turn features, the state machine folded in order, and the whole turn result."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import emotion, extract, rules, script
+from ..operators import memory
+
+STATES = ("greeting", "collecting_info", "clarifying", "validating", "completing")
+#: What a turn must bring to the fold, besides its place.
+TURN = (
+    "turn bigint, employment_status string, job_title string, industry string, hours_per_week string, employment_type string, "
+    "ambiguous boolean, confirmed_en boolean, confirmed_ar boolean, detected string"
+)
+
+
+def features(turns: DataFrame, text: str = "text") -> DataFrame:
+    """turns(session_id, turn, text) with field candidates, predicates and the detected language; all without a shuffle."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return turns.withColumns({
+        **extract.candidates(t), "ambiguous": extract.ambiguous(t), "confirmed_en": extract.confirmed(t, "en"),
+        "confirmed_ar": extract.confirmed(t, "ar"), "detected": script.language(t)["language"],
+    })
+
+
+def _step(acc: Column, x: Column) -> Column:
+    state = acc["state"]
+    lang = F.when(x["detected"].isin("en", "ar"), x["detected"]).otherwise(acc["language"])
+    reads = state.isin("collecting_info", "clarifying")
+    got = {f: F.when(acc[f].isNull() & reads, x[f]).otherwise(acc[f]) for f in extract.FIELDS}
+    full = got["employment_status"].isNotNull()
+    for f in extract.FIELDS[1:]:
+        full = full & got[f].isNotNull()
+    agreed = F.when(lang == "ar", x["confirmed_ar"]).otherwise(x["confirmed_en"])
+    new = (
+        F.when(state == "greeting", "collecting_info")
+        .when((state == "collecting_info") & x["ambiguous"], "clarifying")
+        .when((state == "collecting_info") & full, "validating")
+        .when(state == "clarifying", "collecting_info")
+        .when(state == "validating", F.when(agreed, "completing").otherwise("collecting_info"))
+        .otherwise(state)
+    )
+    return F.struct(new.alias("state"), lang.alias("language"), *[got[f].alias(f) for f in extract.FIELDS])
+
+
+def _start(language: str) -> Column:
+    return F.struct(F.lit("greeting").alias("state"), F.lit(language).alias("language"), *[F.lit(None).cast("string").alias(f) for f in extract.FIELDS])
+
+
+def replay(feats: DataFrame, key: str = "session_id", language: str = "en") -> DataFrame:
+    """(session_id, turn, state, language, fields...) after every turn: first values win, fields are read while collecting or clarifying.
+
+    One shuffle by session brings the turns' small structs together (never their texts); they are ordered and folded once.
+    """
+    names = [c.split()[0] for c in TURN.split(", ")]
+    ordered = F.array_sort(F.collect_list(F.struct(*names)))
+    kind = "struct<" + "state:string,language:string," + ",".join(f"{f}:string" for f in extract.FIELDS) + ">"
+    start = F.struct(_start(language).cast(kind).alias("now"), F.array().cast(f"array<struct<turn:bigint,at:{kind}>>").alias("log"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        now = _step(acc["now"], x).cast(kind)
+        return F.struct(now.alias("now"), F.concat(acc["log"], F.array(F.struct(x["turn"].cast("bigint").alias("turn"), now.alias("at")))).alias("log"))
+
+    out = feats.groupBy(key).agg(F.aggregate(ordered, start, fold).alias("f"))
+    return out.select(key, F.explode("f.log").alias("e")).select(key, "e.turn", "e.at.*")
+
+
+def final(feats: DataFrame, key: str = "session_id", language: str = "en") -> DataFrame:
+    """One row for each session: its last state."""
+    names = [c.split()[0] for c in TURN.split(", ")]
+    kind = "struct<" + "state:string,language:string," + ",".join(f"{f}:string" for f in extract.FIELDS) + ">"
+    ordered = F.array_sort(F.collect_list(F.struct(*names)))
+    out = feats.groupBy(key).agg(F.aggregate(ordered, _start(language).cast(kind), lambda a, x: _step(a, x).cast(kind)).alias("f"), F.count("*").alias("n_turns"))
+    return out.select(key, "n_turns", "f.*")
+
+
+def results(turns: DataFrame, language: str = "en") -> DataFrame:
+    """The turn result of every turn: language, scripts, emotion and action, state, collected and missing fields, validation.
+
+    Features, emotion and validation are columns; the only shuffles are those of the fold and of its join back.
+    """
+    t = F.coalesce(F.col("text"), F.lit(""))
+    a, lat = script.ratios(t)
+    own = features(turns).withColumns({
+        "arabic_ratio": F.round(a, 4), "latin_ratio": F.round(lat, 4), "code_switched": script.code_switched(t),
+        "verdict": emotion.verdict(emotion.scores(t)),
+    })
+    after = replay(own, language=language).withColumnsRenamed({f: f"c_{f}" for f in extract.FIELDS} | {"session_id": "_s", "turn": "_t"})
+    out = own.drop(*extract.FIELDS).join(after, (F.col("session_id") == F.col("_s")) & (F.col("turn") == F.col("_t"))).drop("_s", "_t")
+    out = out.withColumnsRenamed({f"c_{f}": f for f in extract.FIELDS})
+    data = F.map_filter(F.create_map(*[x for f in extract.FIELDS for x in (F.lit(f), F.col(f))]), lambda _, v: v.isNotNull())
+    out = out.withColumn("missing_fields", memory.missing(data))
+    empty = F.size("missing_fields") == len(extract.FIELDS)
+    checked = rules.normalised(out)
+    found = rules.violations(checked)
+    checked = checked.withColumn("_n", F.size(F.filter(found, lambda v: v["severity"] == "error")))
+    return checked.select(
+        "session_id", "turn", "language", "arabic_ratio", "latin_ratio", "code_switched", F.col("verdict.state").alias("emotion"),
+        F.col("verdict.confidence").alias("emotion_confidence"),
+        emotion.action(F.col("verdict.state"), F.col("verdict.intensity"))["action"].alias("survey_action"),
+        emotion.message(emotion.PROMPTS, F.col("verdict.state"), F.col("detected")).alias("adapted_prompt"), "state",
+        F.array_join("missing_fields", ",").alias("missing_fields"), (empty | (F.col("_n") == 0)).alias("is_valid"),
+        F.when(empty, 0).otherwise(F.col("_n")).alias("n_errors"),
+    )
