@@ -94,7 +94,7 @@ late AS (SELECT DISTINCT x FROM (SELECT x, len(list_intersect(a.w, b.w)) AS o, l
 f AS (SELECT l.doc_id, l.p, l.line,
       u.line IS NOT NULL AND (u.pos <> (l.doc_id, l.p) OR late.x IS NOT NULL) AS gone
       FROM lines l LEFT JOIN u ON u.line = l.line LEFT JOIN late ON late.x = l.line),
-g AS (SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_removed,
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
       md5(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_md5 FROM f GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed, kept_md5
 FROM documents LEFT JOIN g USING (doc_id)""",
