@@ -17,12 +17,13 @@ earlier means by doc_id, then line number, then hash of the line.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 20
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -40,22 +41,23 @@ def _bucket(word: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """A constant array: for each bucket of words, log2 of its count over all texts (0 to 62)."""
+    """A constant of a byte for each bucket of words: four times log2 of its count over all texts (0 to 124), plus 1."""
     counts = (
         docs.select(F.explode(shared.pieces(F.lower("text"))).alias("w"))
-        .where("w <> ''")
-        .groupBy(_bucket(F.col("w")).alias("b")).count()
+        .where("w <> ''").groupBy(_bucket(F.col("w")).alias("b")).count()
     )
-    level = dict(counts.select("b", F.log2("count").cast("int")).collect())  # BUCKETS rows at most
-    return F.split(F.lit(",".join(str(level.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
+    level = counts.select("b", F.least(F.lit(124), 4 * F.log2("count")).cast("int").alias("v")).toPandas()  # BUCKETS rows at most
+    table = np.ones(BUCKETS, np.uint8)
+    table[level["b"].to_numpy()] = level["v"].to_numpy() + 1
+    return F.lit(bytearray(table.tobytes()))
 
 
 def _ranked(line: Column, levels: Column) -> Column:
     """The line's distinct words as longs that sort from rare to common."""
 
     def key(w: Column) -> Column:
-        level = F.get(levels, _bucket(w)).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
+        level = F.ascii(F.substring(levels, _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
+        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
 
     return F.sort_array(F.array_distinct(F.transform(shared.words(F.lower(line)), key)))
 
