@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .simhash import _stars
 
 CHUNK = 2048
 
@@ -44,26 +44,33 @@ def fit(sample: np.ndarray, n_lists: int, parts: int = 8, codes: int = 16, seed:
     return {"coarse": coarse, "cuts": cuts, "books": [_kmeans(rest[:, c], codes, 8, rng) for c in cuts]}
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of equally long lists as one matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _assign(model: dict, margin: float):
     """Rows of unit vectors to rows (vector, list, role): its own list, and as a query each list that it probes."""
     coarse = model["coarse"]
+    gap = 2 * np.sqrt(np.maximum(((coarse[:, None] - coarse[None]) ** 2).sum(-1), 1e-12))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            x = np.array(b["unit"].tolist())
-            d2 = (x**2).sum(1)[:, None] + (coarse**2).sum(1)[None] - 2 * x @ coarse.T
+            x = _matrix(b.column("unit"))
+            d2 = (coarse**2).sum(1)[None] - 2 * x @ coarse.T
             own = d2.argmin(axis=1)
-            gap = np.sqrt(np.maximum(((coarse[own][:, None] - coarse[None]) ** 2).sum(-1), 1e-12))
-            border = (d2 - d2[np.arange(len(x)), own][:, None]) / (2 * gap)
+            border = (d2 - d2[np.arange(len(x)), own][:, None]) / gap[own]
             border[np.arange(len(x)), own] = 0
             q, lists = np.nonzero(border <= margin)
-            at = np.concatenate([np.arange(len(x)), q])
-            yield pd.DataFrame({
-                "key": b["key"].to_numpy()[at], "label": b["label"].to_numpy()[at], "unit": b["unit"].to_numpy()[at], "n": b["n"].to_numpy()[at],
-                "list": np.concatenate([own, lists]).astype("int32"), "query": np.repeat([False, True], [len(x), len(q)]),
-            })
+            at = pa.array(np.concatenate([np.arange(len(x)), q]))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("key").take(at), b.column("label").take(at), b.column("unit").take(at),
+                 pa.array(np.concatenate([own, lists]).astype("int32")), pa.array(np.repeat([False, True], [len(x), len(q)]))],
+                names=["key", "label", "unit", "list", "query"],
+            )
 
     return run
 
@@ -72,47 +79,62 @@ def _search(model: dict, cosine: float):
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
     coarse, cuts, books = model["coarse"], model["cuts"], model["books"]
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, ask = pdf[~pdf["query"]], pdf[pdf["query"]]
-        if not len(base) or not len(ask):
-            return pd.DataFrame({"a": np.empty(0, "int64"), "b": np.empty(0, "int64")})
-        x, q = np.array(base["unit"].tolist()), np.array(ask["unit"].tolist())
-        centre = coarse[int(pdf["list"].iloc[0])]
+    def link(table: pa.Table) -> pa.Table:
+        query = table.column("query").combine_chunks().to_numpy(zero_copy_only=False)
+        keys, vectors = table.column("key").to_numpy(), _matrix(table.column("unit"))
+        x, q, ka, kb = vectors[~query], vectors[query], keys[query], keys[~query]
+        centre = coarse[table.column("list")[0].as_py()]
         rest, own = x - centre, q - centre
-        table = np.zeros((len(q), len(x)))
+        codes = np.zeros((len(books), len(x)), np.int64)
         spare = np.zeros(len(x))
-        for c, book in zip(cuts, books, strict=True):
-            code = np.argmin((book**2).sum(1) - 2 * rest[:, c] @ book.T, axis=1)
-            spare += ((rest[:, c] - book[code]) ** 2).sum(1)
-            table += np.maximum((own[:, c] ** 2).sum(1)[:, None] + (book**2).sum(1) - 2 * own[:, c] @ book.T, 0)[:, code]
-        i, j = np.nonzero(np.sqrt(table) <= reach + np.sqrt(spare)[None])
-        ka, kb = ask["key"].to_numpy(), base["key"].to_numpy()
-        keep = ka[i] != kb[j]
-        i, j = i[keep], j[keep]
-        sure = np.zeros(len(i), bool)
-        for s in range(0, len(i), 200_000):
-            sure[s : s + 200_000] = (q[i[s : s + 200_000]] * x[j[s : s + 200_000]]).sum(1) >= cosine
-        return pd.DataFrame({"a": ka[i[sure]], "b": kb[j[sure]]})
+        for m, (c, book) in enumerate(zip(cuts, books, strict=True)):
+            codes[m] = np.argmin((book**2).sum(1) - 2 * rest[:, c] @ book.T, axis=1)
+            spare += ((rest[:, c] - book[codes[m]]) ** 2).sum(1)
+        most = (reach + np.sqrt(spare)) ** 2 + 1e-12
+        a, b = [], []
+        for s in range(0, len(q), 256):  # look-up tables of 256 queries at a time
+            far = np.zeros((len(q[s : s + 256]), len(x)))
+            for m, (c, book) in enumerate(zip(cuts, books, strict=True)):
+                part = own[s : s + 256, c]
+                far += ((part**2).sum(1)[:, None] + (book**2).sum(1) - 2 * part @ book.T)[:, codes[m]]
+            i, j = np.nonzero(far <= most)
+            keep = ka[i + s] != kb[j]
+            i, j = i[keep] + s, j[keep]
+            for t in range(0, len(i), 100_000):
+                near = (q[i[t : t + 100_000]] * x[j[t : t + 100_000]]).sum(1) >= cosine
+                a.append(ka[i[t : t + 100_000]][near])
+                b.append(kb[j[t : t + 100_000]][near])
+        none = np.empty(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
     return link
 
 
+def _unit(v) -> np.ndarray | None:
+    x = np.array([] if v is None else v, dtype=float)  # None becomes NaN
+    top = np.abs(x).max(initial=0.0)
+    if not np.isfinite(x).all() or top == 0:
+        return None
+    x = x / top  # no overflow or underflow of squares
+    return x / np.sqrt((x * x).sum())
+
+
 def _units(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, unit): vectors as doubles of length one; unit is null for those that link with nothing."""
-    x = F.transform("embedding", lambda v: v.cast("double"))
-    good = F.col("embedding").isNotNull() & F.col("label").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    top = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    small = F.transform(x, lambda v: v / top)  # no overflow or underflow of squares
-    norm = F.sqrt(F.aggregate(small, F.lit(0.0), lambda a, v: a + v * v))
-    return vectors.select("vec_id", "label", F.when(F.coalesce(good, F.lit(False)) & (top > 0), F.transform(small, lambda v: v / norm)).alias("unit"))
+
+    @F.pandas_udf("array<double>")
+    def unit(values: pd.Series) -> pd.Series:
+        return pd.Series([_unit(v) for v in values], dtype=object)
+
+    return vectors.select("vec_id", "label", F.when(F.col("label").isNotNull(), unit("embedding")).alias("unit"))
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_000, margin: float | None = None, chunk: int = CHUNK, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: vectors of one label linked by a cosine of at least ``cosine``.
 
     The quantisers are fitted on at most about ``sample`` vectors; all are indexed and all are queries. A list is
-    probed if its border is within ``margin`` of the vector, by default seven tenths of the reach, and each pair is met from
-    both sides. Vectors that are null, zero, of another length than most, or with null or non-finite parts, or
+    probed if its border is within ``margin`` of the vector, by default the reach times 3 / sqrt(dimension), which a
+    difference of random direction passes once in some hundreds, and at most 0.7 of the reach; each pair is met from both sides. Vectors that are null, zero, of another length than most, or with null or non-finite parts, or
     without a label, link with nothing. Equal rows of one label link with each other. A null vec_id has no class of its
     own and takes the smallest id of its class that is not null.
     """
@@ -129,10 +151,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     share = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     got = np.array(distinct.where(share < sample / total).orderBy("key").select("unit").toPandas()["unit"].tolist() or
                    distinct.limit(1).select("unit").toPandas()["unit"].tolist())
-    model = fit(got, int(np.clip(np.sqrt(total) / 4, 1, 1024)))
+    model = fit(got, int(np.clip(np.sqrt(total) / 8, 1, 1024)))
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    placed = distinct.select("key", "label", "unit", "n").mapInPandas(
-        _assign(model, 0.7 * reach if margin is None else margin), "key long, label int, unit array<double>, n long, list int, query boolean"
+    margin = reach * min(0.7, 3 / np.sqrt(common["dim"])) if margin is None else margin
+    placed = distinct.select("key", F.col("label").cast("int").alias("label"), "unit").mapInArrow(
+        _assign(model, margin), "key long, label int, unit array<double>, list int, query boolean"
     )
     placed = shared.cut(placed)
     counts = placed.groupBy("label", "list").agg(F.count_if(~F.col("query")).alias("bn"), F.count_if("query").alias("qn"))
@@ -144,7 +167,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
         .select("key", "unit", "list", "label", "query", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("i"),
                 F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("j"))
     )
-    found = cells.groupBy("label", "list", "i", "j").applyInPandas(_search(model, cosine), "a long, b long")
+    found = cells.groupBy("label", "list", "i", "j").applyInArrow(_search(model, cosine), "a long, b long")
     links = shared.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mass = distinct.select(F.col("key").alias("b"), F.col("n").alias("m"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -17,6 +17,8 @@ earlier means by doc_id, then line number, then hash of the line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,7 +91,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     )
 
 
-def later_matches(docs: DataFrame, t: float = 0.8) -> DataFrame:
+def later_matches(docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float = 0.8) -> DataFrame:
     """(h1, h2) of each distinct line to which some earlier distinct line is similar by t or more."""
     levels = rarity(docs)
     place = F.struct("doc_id", "line_no", "h1", "th")
@@ -104,7 +106,7 @@ def later_matches(docs: DataFrame, t: float = 0.8) -> DataFrame:
         F.col("m.b").alias("b"), F.posexplode("m.p").alias("i", "w"),
     )
     shared_words = post.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    post = shared.cut(post.join(shared_words, "w"))
+    post = store(post.join(shared_words, "w"))
     at = F.struct("doc_id", "line_no", "h1")
     low = post.groupBy("w").agg(F.min(F.struct(at.alias("at"), "n", "i", "b")).alias("e")).select(
         "w", F.col("e.at").alias("at_y"), F.col("e.n").alias("ny"), F.col("e.i").alias("iy"), F.col("e.b").alias("by")
@@ -138,13 +140,14 @@ def later_matches(docs: DataFrame, t: float = 0.8) -> DataFrame:
 def removed_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
     """(doc_id, th, lines): for each document the sorted numbers of lines that repeat an earlier one, equal or similar."""
     docs = docs.select("doc_id", "text")
-    late = shared.cut(later_matches(docs, t))
-    lines = shared.cut(_lines(docs).select("doc_id", "th", "line_no", "h1", "h2"))
-    place = F.struct("doc_id", "line_no", "th")
-    first = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
-    dup = first.join(late.withColumn("late", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or late")
-    gone = lines.join(dup, ["h1", "h2"]).where(F.col("late").isNotNull() | (place != F.col("first")))
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
+    with shared.scratch(docs.sparkSession) as store:
+        late = shared.cut(later_matches(docs, store, t))
+        lines = store(_lines(docs).select("doc_id", "th", "line_no", "h1", "h2"))
+        place = F.struct("doc_id", "line_no", "th")
+        first = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
+        dup = first.join(late.withColumn("late", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or late")
+        gone = lines.join(dup, ["h1", "h2"]).where(F.col("late").isNotNull() | (place != F.col("first")))
+        return shared.cut(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines")))
 
 
 def dedup_lines(docs: DataFrame, t: float = 0.8, extra: bool = False) -> DataFrame:
@@ -155,7 +158,7 @@ def dedup_lines(docs: DataFrame, t: float = 0.8, extra: bool = False) -> DataFra
     id and text are one document and keep the same lines. A null id comes before all
     others. With ``extra``, columns n_lines and n_removed follow. Other columns stay.
     """
-    gone = shared.cut(removed_lines(docs, t)).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("lines").alias("_gone"))
+    gone = removed_lines(docs, t).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("lines").alias("_gone"))
     tmp = docs.withColumn("_h", F.xxhash64("text"))
     joined = tmp.join(shared.small(gone), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left")
     parts = F.split("text", "\n")

@@ -8,6 +8,9 @@ such setting (tests) a temporary folder is set.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a frame as Parquet to the shared folder and reads it back; the folder goes at the end."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid4().hex}"
+
+    def store(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    try:
+        yield store
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Mark a materialised narrow table for broadcast if its counted rows fit, else leave the join to a shuffle."""
     return F.broadcast(df) if df.count() <= max_rows else df
