@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join; DataFrame functions only.
 
 A line is the set of its lower-cased words. Its words are ordered by rarity in the
-corpus (counts of 2^14 hash buckets, so the table of counts has a fixed size), and two
+corpus (counts of 2^20 hash buckets, so the table of counts has a fixed size), and two
 lines of Jaccard similarity ``t`` or more must share one of their first
 ``n - ceil(t n) + 1`` words. Pairs that share one pass a length and a positional filter
 and a bound from 64-bit bitmaps of their words, and are verified on the words themselves. A line goes if any earlier line is as similar;
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,10 +47,12 @@ def rarity(docs: DataFrame) -> Column:
         docs.select(F.explode(shared.pieces(F.lower("text"))).alias("w"))
         .where("w <> ''").groupBy(_bucket(F.col("w")).alias("b")).count()
     )
-    level = counts.select("b", F.least(F.lit(124), 4 * F.log2("count")).cast("int").alias("v")).toPandas()  # BUCKETS rows at most
-    table = np.ones(BUCKETS, np.uint8)
-    table[level["b"].to_numpy()] = level["v"].to_numpy() + 1
-    return F.lit(bytearray(table.tobytes()))
+    level = F.least(F.lit(124), 4 * F.log2("count")).cast("int") + 1
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    run = F.array_sort(F.collect_list(F.struct("b", F.coalesce(level, F.lit(1)).alias("v"))))
+    text = F.array_join(F.transform(run, lambda x: F.lpad(F.hex(x["v"]), 2, "0")), "")
+    rows = every.groupBy(F.floor(F.col("b") / 1024).alias("k")).agg(text.alias("t")).collect()  # BUCKETS / 1024 rows of 1024 bytes
+    return F.lit(bytearray.fromhex("".join(r.t for r in sorted(rows, key=lambda r: r.k))))
 
 
 def _ranked(line: Column, levels: Column) -> Column:
