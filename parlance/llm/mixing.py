@@ -6,8 +6,8 @@ the sources of its set: a pattern gives its own size once for nothing and again
 cost for each repetition, and a source takes its target. The flow's total for a pattern
 tells how often its documents are taken; what is left of a whole repetition is a seeded
 choice of documents: hash buckets are summed, and only the bucket in which the quota ends
-is ordered, so no task orders a whole source. What is still missing is filled by the untaken
-document whose size is nearest to it, up to three times.
+is ordered, so no task orders a whole source. What is then missing or too much is lessened by
+moving the document in or out whose size is nearest to it, up to three times.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from . import shared
 
 BUCKETS = 1 << 14
+#: Rounds in which a document may still be moved in or out of the choice.
+FILLS = 3
 #: Cost of a word's first, second and third copy.
 COSTS = (0, 1, 3)
 
@@ -155,14 +157,16 @@ def _choose(rows: DataFrame) -> DataFrame:
     at = rows.where("bucket = last").withColumn("cum", cum)
     at = at.withColumn("extra", F.when(F.col("cum") <= F.col("part") - F.col("before"), 1).otherwise(0)).drop("cum")
     out = shared.cut(inside.unionByName(at).unionByName(outside).drop("last", "before", "bucket"))
-    for _ in range(3):
+    # Each round moves one document of each pattern in or out, the one that leaves the least gap, if that is less than now.
+    for _ in range(FILLS):
         took = out.groupBy("pattern", "part").agg(F.sum(F.col("size") * F.col("extra")).alias("took"))
         gap = took.select("pattern", (F.col("part") - F.col("took")).alias("gap"))
-        fits = out.join(F.broadcast(gap), "pattern").where("extra = 0 and size > 0 and size < 2 * gap")
-        fill = fits.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")), "u")).alias("f"))
+        move = F.col("size") * (1 - 2 * F.col("extra"))
+        fits = out.join(F.broadcast(gap), "pattern").withColumn("left", F.abs(F.col("gap") - move)).where(F.col("left") < F.abs("gap"))
+        fill = fits.groupBy("pattern").agg(F.min(F.struct("left", "u")).alias("f"))
         fill = fill.select("pattern", F.col("f.u").alias("fill_u"))
         out = out.join(F.broadcast(fill), "pattern", "left").withColumn(
-            "extra", F.when(F.col("u") == F.col("fill_u"), 1).otherwise(F.col("extra"))
+            "extra", F.when(F.col("u") == F.col("fill_u"), 1 - F.col("extra")).otherwise(F.col("extra"))
         ).drop("fill_u")
     return out
 
