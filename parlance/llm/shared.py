@@ -30,10 +30,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, a job's shuffle files go when it ends: its result is written, so nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage; survives the loss of executors."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freeing_shuffles(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 @contextmanager
@@ -43,7 +59,8 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
 
     def store(df: DataFrame) -> DataFrame:
         path = f"{folder}/{uuid4().hex}"
-        df.write.parquet(path)
+        with freeing_shuffles(spark):
+            df.write.option("compression", "zstd").parquet(path)
         return spark.read.parquet(path)
 
     try:
