@@ -9,7 +9,7 @@ earlier means by doc_id, then line number, then hash of the line.
 
 * Equal lines collapse to their first place before any word is looked at, so a very
   common line costs one row.
-* Words that no other line has in its prefix are dropped before lines are paired.
+* Words that no other line has in its prefix drop out as the earliest line of each word is found.
 * A first round pairs each line only with the earliest line of each shared word, which
   settles nearly all members of a large group of near copies; only what is still
   undecided meets all earlier lines. The answer is that of the full join.
@@ -70,84 +70,77 @@ def _bitmap(ranked: Column) -> Column:
     return F.aggregate(ranked, F.lit(0).cast("long"), lambda b, k: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """Of pairs (x, y) of lines given by h1, those of similarity t or more; x and y with their words compared exactly."""
-    pairs = shared.cut(pairs)
-    need = shared.cut(
-        pairs.select(F.col("x").alias("h1")).unionByName(pairs.select(F.col("y").alias("h1"))).distinct()
-    )
-    some = (
-        _lines(docs).join(shared.small(need), "h1", "left_semi")
-        .groupBy("h1", "h2").agg(F.min("line").alias("line"))
-        .select("h1", "h2", F.array_distinct(shared.words(F.lower("line"))).alias("s"))
-    )
-    some = shared.cut(some)
-    x = some.select(F.col("h1").alias("x"), F.col("h2").alias("x2"), F.col("s").alias("sx"))
-    y = some.select(F.col("h1").alias("y"), F.col("h2").alias("y2"), F.col("s").alias("sy"))
+def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float) -> DataFrame:
+    """Of pairs (x, y) of positions, the x of those of similarity t or more, their words compared exactly."""
+    pairs = store(pairs)
+    need = pairs.select(F.col("x").alias("pos")).unionByName(pairs.select(F.col("y").alias("pos"))).distinct()
+    need = store(first.select("pos", "h1", "h2").join(need, "pos", "left_semi"))
+    some = _lines(docs).join(shared.small(need), ["h1", "h2"]).groupBy("pos").agg(F.min("line").alias("line"))
+    some = store(some).select("pos", F.array_distinct(shared.words(F.lower("line"))).alias("s"))
+    x = some.select(F.col("pos").alias("x"), F.col("s").alias("sx"))
+    y = some.select(F.col("pos").alias("y"), F.col("s").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy"))
-    return (
-        pairs.join(x, "x").join(y, "y")
-        .where(both >= t * (F.size("sx") + F.size("sy") - both) - 1e-9)
-        .select("x", "x2").distinct()
-    )
+    similar = both >= t * (F.size("sx") + F.size("sy") - both) - 1e-9
+    return pairs.join(x, "x").join(y, "y").where(similar).select(F.col("x").alias("pos")).distinct()
+
 
+def distinct_lines(docs: DataFrame, t: float) -> DataFrame:
+    """A row for each distinct line: h1, h2, the place where it is first, its count c, words n, bitmap b and prefix p.
 
-def later_matches(docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float = 0.8) -> DataFrame:
-    """(h1, h2) of each distinct line to which some earlier distinct line is similar by t or more."""
+    pos numbers the lines by place, in steps of any width; it is fixed once the table is written.
+    """
     levels = rarity(docs)
-    place = F.struct("doc_id", "line_no", "h1", "th")
     ranked = _lines(docs).withColumn("r", _ranked(F.col("line"), levels)).withColumn("n", F.size("r"))
     kept = F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1
+    place = F.struct("doc_id", "line_no", "h1", "th")
     first = (
         ranked.select("h1", "h2", place.alias("at"), "n", _bitmap(F.col("r")).alias("b"), F.slice("r", F.lit(1), kept.cast("int")).alias("p"))
-        .groupBy("h1", "h2").agg(F.min(F.struct("at", "n", "b", "p")).alias("m"))
-    )
-    post = first.select(
-        "h1", F.col("m.at.doc_id").alias("doc_id"), F.col("m.at.line_no").alias("line_no"), F.col("m.n").alias("n"),
-        F.col("m.b").alias("b"), F.posexplode("m.p").alias("i", "w"),
+        .groupBy("h1", "h2").agg(F.min(F.struct("at", "n", "b", "p")).alias("m"), F.count("*").alias("c"))
     )
-    shared_words = post.groupBy("w").agg(F.count("*").alias("c")).where("c > 1").select("w")
-    post = store(post.join(shared_words, "w"))
-    at = F.struct("doc_id", "line_no", "h1")
-    low = post.groupBy("w").agg(F.min(F.struct(at.alias("at"), "n", "i", "b")).alias("e")).select(
-        "w", F.col("e.at").alias("at_y"), F.col("e.n").alias("ny"), F.col("e.i").alias("iy"), F.col("e.b").alias("by")
+    first = first.select("h1", "h2", "m.at.doc_id", "m.at.line_no", "m.at.th", "m.n", "m.b", "m.p", "c")
+    return first.orderBy("doc_id", "line_no", "h1", "th").withColumn("pos", F.monotonically_increasing_id())
+
+
+def later_matches(first: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float = 0.8) -> DataFrame:
+    """pos of each distinct line to which some earlier distinct line is similar by t or more."""
+    post = first.select("pos", "n", "b", F.posexplode("p").alias("i", "w"))
+    low = post.groupBy("w").agg(F.min(F.struct("pos", "n", "i", "b")).alias("e"), F.count("*").alias("c")).where("c > 1").select(
+        "w", F.col("e.pos").alias("y"), F.col("e.n").alias("ny"), F.col("e.i").alias("iy"), F.col("e.b").alias("by")
     )
     need = F.ceil(t / (1 + t) * (F.col("n") + F.col("ny")) - 1e-9)
     may = (
-        (F.col("at") > F.col("at_y"))
+        (F.col("pos") > F.col("y"))
         & (F.least("n", "ny") >= t * F.greatest("n", "ny") - 1e-9)
         & (F.bit_count(F.col("b").bitwiseXOR(F.col("by"))) <= F.col("n") + F.col("ny") - 2 * need)
     )
     early = F.least(F.col("n") - F.col("i"), F.col("ny") - F.col("iy")) >= need
     # Words in common: those in both prefixes, and at most what follows the prefix of one line.
     most = F.col("c") + F.greatest(F.ceil(t * F.col("n") - 1e-9), F.ceil(t * F.col("ny") - 1e-9)) - 1
-    side = post.withColumn("at", at)
 
     def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
         return (
             a.join(b, "w").where(may)
-            .groupBy(F.col("at.h1").alias("x"), F.col("at_y.h1").alias("y"), "n", "ny")
+            .groupBy(F.col("pos").alias("x"), "y", "n", "ny")
             .agg(F.count("*").alias("c"), F.max(early).alias("early"))
             .where("early")
         )
 
-    sure = shared.cut(_verified(pairs(side, low).select("x", "y"), docs, t))
-    left = side.join(sure.select(F.col("x").alias("h1")).distinct(), "h1", "left_anti")
-    full = post.select("w", at.alias("at_y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("b").alias("by"))
-    late = _verified(pairs(left, full).where(most >= need).select("x", "y"), docs, t)
-    return sure.unionByName(late).distinct().select(F.col("x").alias("h1"), F.col("x2").alias("h2"))
+    sure = store(_verified(pairs(post, low).select("x", "y"), first, docs, store, t))
+    left = post.join(sure, "pos", "left_anti")
+    full = post.select("w", F.col("pos").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("b").alias("by"))
+    late = _verified(pairs(left, full).where(most >= need).select("x", "y"), first, docs, store, t)
+    return sure.unionByName(late).distinct()
 
 
 def removed_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
     """(doc_id, th, lines): for each document the sorted numbers of lines that repeat an earlier one, equal or similar."""
     docs = docs.select("doc_id", "text")
     with shared.scratch(docs.sparkSession) as store:
-        late = shared.cut(later_matches(docs, store, t))
-        lines = store(_lines(docs).select("doc_id", "th", "line_no", "h1", "h2"))
+        first = store(distinct_lines(docs, t))
+        late = later_matches(first, docs, store, t).withColumn("late", F.lit(True))
         place = F.struct("doc_id", "line_no", "th")
-        first = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("c"))
-        dup = first.join(late.withColumn("late", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or late")
-        gone = lines.join(dup, ["h1", "h2"]).where(F.col("late").isNotNull() | (place != F.col("first")))
+        dup = first.select("pos", "h1", "h2", place.alias("first"), "c").join(late, "pos", "left").where("c > 1 or late")
+        gone = _lines(docs).join(dup.drop("pos", "c"), ["h1", "h2"]).where(F.col("late").isNotNull() | (place != F.col("first")))
         return shared.cut(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines")))
 
 
