@@ -165,9 +165,8 @@ def _choose(rows: DataFrame) -> DataFrame:
         fits = out.join(F.broadcast(gap), "pattern").withColumn("left", F.abs(F.col("gap") - move)).where(F.col("left") < F.abs("gap"))
         fill = fits.groupBy("pattern").agg(F.min(F.struct("left", "u")).alias("f"))
         fill = fill.select("pattern", F.col("f.u").alias("fill_u"))
-        out = out.join(F.broadcast(fill), "pattern", "left").withColumn(
-            "extra", F.when(F.col("u") == F.col("fill_u"), 1 - F.col("extra")).otherwise(F.col("extra"))
-        ).drop("fill_u")
+        moved = F.when(F.col("u") == F.col("fill_u"), 1 - F.col("extra")).otherwise(F.col("extra"))
+        out = shared.cut(out.join(F.broadcast(fill), "pattern", "left").withColumn("extra", moved).drop("fill_u"))
     return out
 
 
