@@ -298,6 +298,18 @@ def script_segments(spark, sf_dir):
     return d.select("doc_id", F.transform(script.segments(F.col("text")), lambda x: F.concat(x["text"], F.lit("|"), x["script"])).alias("segments"))
 
 
+_WHOLE_SEED = "CASE doc_id % 16 " + " ".join(f"WHEN {n} THEN {lit(s)}" for n, s in adapters.SEEDS.items()) + " ELSE '' END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text || {_WHOLE_SEED} AS text FROM documents),
+g AS (SELECT doc_id, regexp_extract_all(text, '[^\\p{{L}}{_AR}]+|[{_AR}][{_AR}\\P{{L}}]*|\\p{{L}}[^{_AR}]*') AS s FROM d)
+SELECT doc_id, list_transform(list_filter(s, lambda r: regexp_matches(r, '[^\\p{{Z}}\\x09-\\x0D\\x{{85}}]')), lambda r: r || '|' || CASE WHEN regexp_matches(r, '^[{_AR}]') THEN 'arabic' WHEN regexp_matches(r, '^\\p{{L}}') THEN 'latin' ELSE 'other' END) AS segments FROM g""")
+def script_segments_whole(spark, sf_dir):
+    """Of all documents: the whole stored texts with their seeds appended."""
+    d = adapters.whole_documents(spark, sf_dir)
+    return d.select("doc_id", F.transform(script.segments(F.col("text")), lambda x: F.concat(x["text"], F.lit("|"), x["script"])).alias("segments"))
+
+
 @query("SELECT p_partkey AS part, ('0x' || substr(sha256(p_partkey::VARCHAR), 1, 15))::BIGINT AS id FROM part")
 def stable_ids(spark, sf_dir):
     return tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), script.stable_id(F.col("p_partkey").cast("string")).alias("id"))

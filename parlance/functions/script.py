@@ -68,8 +68,9 @@ def segments(text: Column) -> Column:
     Later other characters belong to the run before them. Blank runs are dropped; runs of
     four or more characters that are not other get a language.
     """
-    a, lat, other = f"[{ARABIC}]", rf"(?:(?![{ARABIC}])\p{{L}})", rf"(?:(?![{ARABIC}])\P{{L}})"
-    runs = F.regexp_extract_all(text, F.lit(rf"(?s){other}+|{a}(?:{a}|{other})*|{lat}(?:{lat}|{other})*"), F.lit(0))
+    a = f"[{ARABIC}]"
+    # Character classes only: Java matches repeated groups by recursion, which long runs overflow.
+    runs = F.regexp_extract_all(text, F.lit(rf"[^\p{{L}}{ARABIC}]+|{a}[{ARABIC}\P{{L}}]*|\p{{L}}[^{ARABIC}]*"), F.lit(0))
 
     def segment(run: Column) -> Column:
         script = F.when(run.rlike(f"^{a}"), "arabic").when(run.rlike(rf"^\p{{L}}"), "latin").otherwise("other")

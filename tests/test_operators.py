@@ -5,9 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from parlance import catalogue
 from parlance.functions import emotion, extract, replies, rules, script
 from parlance.operators import audit, memory, occupation, quality, sessions
-from parlance.sources import providers, tables
+from parlance.sources import adapters, providers, tables
 
 
 def one(spark, text, f):
@@ -46,6 +47,22 @@ def test_segments_equal_the_loop(spark, text):
     assert [(r.text, r.script) for r in got] == model_segments(text)
 
 
+def test_segments_of_long_texts(spark):
+    text = "12 " + "latin words, " * 20_000 + "كلمات 3، " * 20_000 + "Привет 中文"
+    assert [(r.text, r.script) for r in one(spark, text, script.segments)] == model_segments(text)
+
+
+def test_whole_documents_keep_every_row_and_text(spark, tmp_path):
+    rows = [(i, f"stored text {i} " * 900) for i in range(-1, 32)] + [(40, None), (None, "no id")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.segments for r in catalogue.script_segments_whole(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[40] is None
+    for i, text in rows:
+        if text is not None:
+            want = model_segments(text + ("" if i is None or i < 0 else adapters.SEEDS[i % 16]))
+            assert got[i] == [f"{t}|{k}" for t, k in want]
+
+
 def test_stable_id(spark):
     assert one(spark, "2512", script.stable_id) == 171025987359200099
 
