@@ -538,6 +538,24 @@ def occupation_route(spark, sf_dir):
     return occupation.route(_topk(spark, sf_dir))
 
 
+_WHOLE_KNN = """
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+i AS (SELECT vec_id AS item_id, label::VARCHAR AS code, embedding::DOUBLE[] AS x FROM embeddings),
+s AS (SELECT query_id, item_id, code, round(greatest(0.0, least(1.0, list_cosine_similarity(q, x))), 4) AS confidence FROM q, i),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, code, item_id) AS rank FROM s QUALIFY rank <= 5)"""
+
+
+@query(f"WITH {_WHOLE_KNN} SELECT * FROM k")
+def occupation_topk_whole(spark, sf_dir):
+    return occupation.top_k(*adapters.whole_vectors(spark, sf_dir), 5)
+
+
+@query(f"""WITH {_WHOLE_KNN} SELECT query_id, min_by(code, rank) AS code, max(confidence) AS confidence,
+CASE WHEN max(confidence) >= 0.92 THEN 'semantic' ELSE 'llm_ranked' END AS method, max(confidence) < 0.92 AS needs_rerank, max(confidence) >= 0.35 AS usable FROM k GROUP BY query_id""")
+def occupation_route_whole(spark, sf_dir):
+    return occupation.route(occupation_topk_whole(spark, sf_dir))
+
+
 def _dimension_sql() -> str:
     import csv
 

@@ -22,14 +22,21 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = 5) -> DataFrame:
+#: Rows of a block of queries.
+BLOCK = 512
+
+
+def top_k(queries: DataFrame, index: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
     """(query_id, code, item_id, confidence, rank): the k nearest items of each query, confidence cut to 0..1 and rounded to four places.
 
-    The index is the occupation dimension, a fixed table, so it is broadcast; queries stay where they are. Each partition
-    keeps its own best k before the shuffle on the query.
+    The index may be any table and stays in its partitions, queries are dealt into blocks of about ``block`` rows; each
+    task meets one partition of the index with one block and keeps its own best k of each query. Neither side passes through the
+    driver; the shuffle on the query merges the k of the partitions.
     """
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = q.crossJoin(F.broadcast(index.select("item_id", "code", F.col("embedding").alias("x"))))
+    q = q.repartition(max(1, -(-q.count() // block)))
+    x = index.select("item_id", "code", F.col("embedding").alias("x"))
+    pairs = x.hint("shuffle_replicate_nl").crossJoin(q.hint("shuffle_replicate_nl"))
     scored = pairs.select("query_id", "item_id", "code", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("q"), F.col("x")))), 4).alias("confidence"))
     w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "code", "item_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
