@@ -186,18 +186,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d: int = 4, width: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate class: that with the smallest id.
+    """docs with one row of each near-duplicate class: that with the smallest id, nulls last.
 
-    A row with a null id stays if its class has no other id; rows that repeat the
-    smallest id of their class are reduced to one.
+    Of several rows of a class with that id the one with the smallest hash of the text, then of the row, stays; rows that are equal
+    as a whole are one. A row is found again by id and hashes, so rows that share an id but not a class do not touch each other.
     """
     cols = docs.columns
-    best = near_duplicates(docs, text, doc_id, d, width).select("doc_id", "component_id").where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ).select("doc_id").distinct()
-    keyed = docs.dropDuplicates([doc_id]) if _repeats(docs, doc_id) else docs
-    return keyed.join(best, keyed[doc_id].eqNullSafe(best["doc_id"]), "left_semi").select(*cols)
-
-
-def _repeats(docs: DataFrame, doc_id: str) -> bool:
-    return bool(docs.groupBy(doc_id).count().where("count > 1").limit(1).count())
+    whole = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    marks = {"_i": F.col(doc_id), "_t": F.xxhash64(text), "_r": F.xxhash64(*whole)}
+    own = docs.select("*", *[v.alias(k) for k, v in marks.items()])
+    got = shared.cut(own.select(*marks, fingerprint(F.col(text), width).alias("fp")))
+    rows = got.groupBy("fp", *marks).agg(F.count("*").alias("_n"))
+    best = F.min(F.struct(F.col("_i").isNull().alias("none"), *marks, "_n"))
+    fps = shared.cut(rows.groupBy("fp").agg(best.alias("x")))
+    found = shared.connected_components(links(fps.select("fp"), d))
+    rooted = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    kept = shared.cut(rooted.groupBy("root").agg(F.min("x").alias("x")).select(*[F.col(f"x.{c}").alias(f"_{c}") for c in (*marks, "_n")]))
+    same = F.col("_i").eqNullSafe(F.col("__i")) & (F.col("_t") == F.col("__t")) & (F.col("_r") == F.col("__r"))
+    out = own.join(kept.where("__n = 1"), same, "left_semi")
+    again = kept.where("__n > 1")
+    if again.limit(1).count():
+        out = out.unionByName(own.join(again, same, "left_semi").dropDuplicates(list(marks)))
+    return out.select(*cols)

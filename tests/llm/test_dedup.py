@@ -87,6 +87,14 @@ def test_simhash_odd_rows(spark):
     assert sorted(str(r.component_id) for r in rows if r.doc_id is None) == ["7", "None"]
 
 
+def test_simhash_representatives_of_odd_rows(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "red green blue black white grey")
+    rows = [(None, a), (None, b), (None, c), (None, c), (7, a), (7, b), (7, b), (9, a), (None, None)]
+    kept = simhash.representatives(docs(spark, rows))
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == sorted([("7", a), ("7", b), ("None", c), ("None", "")])
+    assert simhash.representatives(docs(spark, [])).count() == 0
+
+
 def model_lines(rows, t=0.8):
     """Brute force: a line goes if an earlier one, by id, number and hash, is equal or similar."""
     first, out = {}, {}
