@@ -7,7 +7,8 @@ a probed list distances to the codes come from look-up tables (asymmetric: the q
 coded); since each vector keeps its distance to its own code, the triangle inequality tells
 which codes may stand for a vector within reach, and those are reranked by exact cosine in
 double precision. Lists are kept apart by label and cut into chunks, so a task compares two
-bounded chunks. Equal vectors collapse to one first.
+bounded chunks. Equal vectors collapse to one first. Vectors of each length have quantisers of their own;
+those of rare lengths lie in one list for each label and are compared by cosine directly.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 CHUNK = 2048
+#: Up to so many vectors of one length are compared without quantisers, unless no length has more.
+RARE = 4096
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -75,14 +78,27 @@ def _assign(model: dict, margin: float):
     return run
 
 
-def _search(model: dict, cosine: float):
+def _search(models: dict[int, dict], cosine: float):
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-9
-    coarse, cuts, books = model["coarse"], model["cuts"], model["books"]
+    none = np.empty(0, np.int64)
+
+    def direct(x: np.ndarray, q: np.ndarray, ka: np.ndarray, kb: np.ndarray) -> pa.Table:
+        a, b = [none], [none]
+        for s in range(0, len(q), 256):
+            i, j = np.nonzero(q[s : s + 256] @ x.T >= cosine - 1e-9)
+            near = (ka[i + s] != kb[j]) & ((q[i + s] * x[j]).sum(1) >= cosine)
+            a.append(ka[i[near] + s])
+            b.append(kb[j[near]])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
     def link(table: pa.Table) -> pa.Table:
         query = table.column("query").combine_chunks().to_numpy(zero_copy_only=False)
         keys, vectors = table.column("key").to_numpy(), _matrix(table.column("unit"))
         x, q, ka, kb = vectors[~query], vectors[query], keys[query], keys[~query]
+        model = models.get(vectors.shape[1])
+        if model is None or not len(x) or not len(q):
+            return direct(x, q, ka, kb)
+        coarse, cuts, books = model["coarse"], model["cuts"], model["books"]
         centre = coarse[table.column("list")[0].as_py()]
         rest, own = x - centre, q - centre
         codes = np.zeros((len(books), len(x)), np.int64)
@@ -104,7 +120,6 @@ def _search(model: dict, cosine: float):
                 near = (q[i[t : t + 100_000]] * x[j[t : t + 100_000]]).sum(1) >= cosine
                 a.append(ka[i[t : t + 100_000]][near])
                 b.append(kb[j[t : t + 100_000]][near])
-        none = np.empty(0, np.int64)
         return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
     return link
@@ -133,41 +148,49 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     """(vec_id, n_links, component_id, kept) for every row: vectors of one label linked by a cosine of at least ``cosine``.
 
     The quantisers are fitted on at most about ``sample`` vectors; all are indexed and all are queries. A list is
-    probed if its border is within ``margin`` of the vector, by default the reach times 3 / sqrt(dimension), which a
-    difference of random direction passes once in some hundreds, and at most 0.7 of the reach; each pair is met from both sides. Vectors that are null, zero, of another length than most, or with null or non-finite parts, or
-    without a label, link with nothing. Equal rows of one label link with each other. A null vec_id has no class of its
+    probed if its border is within ``margin`` of the vector, by default half the reach: of two vectors within reach one is as near
+    to the border of their lists, and each pair is met from both sides, so none is lost. Each length has its own lists. Vectors that
+    are null, zero, or with null or non-finite parts, or without a label, link with nothing. Equal rows of one label link with each other. A null vec_id has no class of its
     own and takes the smallest id of its class that is not null.
     """
     rows = shared.cut(_units(vectors).withColumn("key", F.xxhash64("label", "unit")))
     good = rows.where("unit is not null")
-    common = good.groupBy(F.size("unit").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if common is None:
+    dims = {r["dim"]: r["count"] for r in good.groupBy(F.size("unit").alias("dim")).count().collect()}
+    if not dims:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = good.where(F.size("unit") == common["dim"])
-    total = common["count"]
+    common = max(dims, key=lambda dim: (dims[dim], -dim))
     distinct = shared.cut(
         good.groupBy("key", "label").agg(F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("low"))
     )
     share = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    got = np.array(distinct.where(share < sample / total).orderBy("key").select("unit").toPandas()["unit"].tolist() or
-                   distinct.limit(1).select("unit").toPandas()["unit"].tolist())
-    model = fit(got, int(np.clip(np.sqrt(total) / 8, 1, 1024)))
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    margin = reach * min(0.7, 3 / np.sqrt(common["dim"])) if margin is None else margin
-    placed = distinct.select("key", F.col("label").cast("int").alias("label"), "unit").mapInArrow(
-        _assign(model, margin), "key long, label int, unit array<double>, list int, query boolean"
-    )
+    margin = reach / 2 + 1e-9 if margin is None else margin
+    models, size = {}, F.size("unit")
+    own = distinct.select("key", F.col("label").cast("int").alias("label"), "unit")
+    rare = own.where(~size.isin([dim for dim, n in dims.items() if dim == common or n > RARE]))
+    roles = F.explode(F.array(F.lit(False), F.lit(True))).alias("query")
+    placed = rare.select("key", "label", "unit", F.lit(0).alias("list"), roles)
+    for dim, total in dims.items():
+        if dim == common or total > RARE:
+            some = distinct.where(size == dim)
+            got = np.array(some.where(share < sample / total).orderBy("key").select("unit").toPandas()["unit"].tolist() or
+                           some.limit(1).select("unit").toPandas()["unit"].tolist())
+            models[dim] = fit(got, int(np.clip(np.sqrt(total) / 8, 1, 1024)))
+            placed = placed.unionByName(own.where(size == dim).mapInArrow(
+                _assign(models[dim], margin), "key long, label int, unit array<double>, list int, query boolean"
+            ))
+    placed = placed.withColumn("dim", size)
     placed = shared.cut(placed)
-    counts = placed.groupBy("label", "list").agg(F.count_if(~F.col("query")).alias("bn"), F.count_if("query").alias("qn"))
-    cells = placed.join(shared.small(shared.cut(counts.where("bn > 0 and qn > 0"))), ["label", "list"])
+    counts = placed.groupBy("dim", "label", "list").agg(F.count_if(~F.col("query")).alias("bn"), F.count_if("query").alias("qn"))
+    cells = placed.join(shared.small(shared.cut(counts.where("bn > 0 and qn > 0"))), ["dim", "label", "list"])
     cells = (
         cells.withColumn("bc", F.ceil(F.col("bn") / chunk)).withColumn("qc", F.ceil(F.col("qn") / chunk))
         .withColumn("own", F.pmod(F.xxhash64("key"), F.when(F.col("query"), F.col("qc")).otherwise(F.col("bc"))))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("query"), F.col("bc")).otherwise(F.col("qc")) - 1)))
-        .select("key", "unit", "list", "label", "query", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("i"),
+        .select("key", "unit", "list", "dim", "label", "query", F.when(F.col("query"), F.col("other")).otherwise(F.col("own")).alias("i"),
                 F.when(F.col("query"), F.col("own")).otherwise(F.col("other")).alias("j"))
     )
-    found = cells.groupBy("label", "list", "i", "j").applyInArrow(_search(model, cosine), "a long, b long")
+    found = cells.groupBy("dim", "label", "list", "i", "j").applyInArrow(_search(models, cosine), "a long, b long")
     links = shared.cut(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     mass = distinct.select(F.col("key").alias("b"), F.col("n").alias("m"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -177,8 +200,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     classes = shared.cut(classes.select("key", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "root", "low"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = classes.join(lows, "root").select(F.col("key").alias("k"), "n_links", "component_id")
-    usable = F.col("unit").isNotNull() & (F.size("unit") == common["dim"])
-    out = rows.withColumn("k0", F.when(usable, F.col("key"))).join(classes, F.col("k0") == F.col("k"), "left")
+    out = rows.withColumn("k0", F.when(F.col("unit").isNotNull(), F.col("key"))).join(classes, F.col("k0") == F.col("k"), "left")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept"),

@@ -166,6 +166,29 @@ def test_embeddings_equal_brute_force(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
 
+def test_embeddings_of_every_length_and_few_directions_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "RARE", 300)
+    real = embeddings.fit
+    monkeypatch.setattr(embeddings, "fit", lambda sample, n_lists, **kw: real(sample, 200, **kw))  # hundreds of lists
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim, n in ((64, 400), (96, 200), (8, 30)):
+        few = rng.normal(size=(2, dim))
+        for b in rng.normal(size=(n, dim)):
+            for _ in range(2):
+                shift = rng.normal(size=2) @ few
+                v = b / np.linalg.norm(b) + shift / np.linalg.norm(shift) * rng.choice([0, 0.1, 0.17, 0.2, 0.25])
+                rows.append((len(rows), [float(x) for x in v], 1, "k"))
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, VEC)).collect()}
+    want = {}
+    for dim in (64, 96, 8):
+        ids = [r[0] for r in rows if len(r[1]) == dim]
+        v = np.array([np.float32(rows[i][1]).astype(float) for i in ids])
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        want |= dict(zip(ids, ((v @ v.T >= 0.98).sum(1) - 1).tolist(), strict=True))
+    assert got == want and all(any(want[r[0]] for r in rows if len(r[1]) == dim) for dim in (64, 96, 8))
+
+
 @pytest.mark.parametrize("edges, want", [([(3, 2), (2, 1), (5, 4)], {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}), ([], {}), ([(1, 1)], {}), ([(i, i + 1) for i in range(40)], {i: 0 for i in range(41)})])
 def test_components(spark, edges, want):
     got = shared.connected_components(spark.createDataFrame(edges, "a long, b long"))
