@@ -4,12 +4,16 @@ Templates are cut into runs of ``k`` words; of each window of such runs the smal
 kept (winnowing). The kept hashes, with template and position, are the inverted index: a
 fixed table that grows with the number of templates, not of documents. Every run of words of
 every document probes it. Hits of a template are counted by diagonal (document position
-less template position); the fullest diagonal is where the template is aligned to the
-document within a band, which gives the matched words, their share and their span.
+less template position). The template is aligned to the document within a band about every diagonal
+with a hit and a band's half to both sides of it, so hits that inserted or missing words spread
+over diagonals meet in one band; that gives the matched words, their share and their span. What is left beside a
+reported span is aligned again, so every copy is reported.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,16 +75,13 @@ def _run_hash(k: int) -> Column:
 
 
 def candidates(docs: DataFrame, fingerprints: DataFrame, k: int = 4, band: int = 8) -> DataFrame:
-    """(doc_id, th, license, m, at): where the most fingerprints of a template line up in a document; at may be negative."""
+    """(doc_id, th, license, at, n): each diagonal with n fingerprints of a template, and those ``band`` to both sides; at may be negative."""
     w = docs.select("doc_id", F.xxhash64("text").alias("th"), terms(F.col("text")).alias("w")).where("size(w) > 0")
     runs = w.select("doc_id", "th", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - k))).alias("pos"))
     runs = runs.select("doc_id", "th", F.col("pos").alias("dpos"), _run_hash(k).alias("h"))
-    hits = runs.join(F.broadcast(fingerprints), "h").withColumn("diag", F.col("dpos") - F.col("pos"))
-    lines = hits.groupBy("doc_id", "th", "license", "m", F.floor(F.col("diag") / band).alias("b")).agg(
-        F.count_distinct("pos").alias("n"), F.min("diag").alias("at")
-    )
-    best = F.max(F.struct("n", (-F.col("at")).alias("o"))).alias("x")
-    return lines.groupBy("doc_id", "th", "license", "m").agg(best).select("doc_id", "th", "license", "m", (-F.col("x.o")).alias("at"))
+    hits = runs.join(F.broadcast(fingerprints), "h").withColumn("b", F.col("dpos") - F.col("pos"))
+    lines = hits.withColumn("at", F.explode(F.array(*[F.col("b") + x for x in (-band, 0, band)])))
+    return lines.groupBy("doc_id", "th", "license", "at").agg(F.count_distinct("pos").cast("int").alias("n"))
 
 
 def _align(a: list[str], b: list[str], shift: int, band: int) -> tuple[int, int, int]:
@@ -110,11 +111,38 @@ def _align(a: list[str], b: list[str], shift: int, band: int) -> tuple[int, int,
     return matched, first, last + 1
 
 
+def _places(a: list[str], b: list[str], places: list[tuple[int, int]], band: int, coverage: float) -> list[tuple[int, int, int]]:
+    """(matched, first, end) of the spans of b that hold a by ``coverage``, none over another; places are (diagonal, fingerprints)."""
+    need = coverage * len(a) - 1e-9
+    queue, found, taken = [], [], np.zeros(len(b), bool)
+
+    def add(at: int, n: int, lo: int, hi: int) -> None:
+        if hi - lo >= need:
+            matched, first, end = _align(a, b[lo:hi], at - lo, band)
+            if matched >= need:
+                heapq.heappush(queue, (-matched, end - first, -n, at, lo, hi, lo + first, lo + end))
+
+    for at, n in places:
+        add(at, n, max(0, at - band), min(len(b), at + len(a) + band))
+    while queue:
+        matched, _, n, at, lo, hi, first, end = heapq.heappop(queue)
+        if not taken[lo:hi].any():
+            found.append((-matched, first, end))
+            taken[first:end] = True
+            add(at, -n, lo, first)
+            add(at, -n, end, hi)
+            continue
+        free = np.flatnonzero(np.diff(np.concatenate([[True], taken[lo:hi], [True]])))
+        for s, e in zip(free[::2].tolist(), free[1::2].tolist(), strict=True):
+            add(at, -n, lo + s, lo + e)
+    return sorted(found, key=lambda x: x[1])
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, k: int = 4, window: int = 4, band: int = 8) -> DataFrame:
-    """(doc_id, th, license, matched, coverage, span_start, span_end) of each template that a document holds by at least ``coverage``.
+    """(doc_id, th, license, matched, coverage, span_start, span_end) of each place where a document holds a template by at least ``coverage``.
 
-    Spans count the document's words (runs of letters and digits, any case), the end excluded; of several places the fullest is
-    reported. Shorter templates inside longer ones are both reported. Null and wordless texts hold nothing; equal rows give one row, rows with
+    Spans count the document's words (runs of letters and digits, any case), the end excluded; spans of one template
+    do not overlap, the fullest go first. Shorter templates inside longer ones are both reported. Null and wordless texts hold nothing; equal rows give one row, rows with
     equal ids and other texts one each. Extra columns are ignored; empty tables give no row. Runs of common words
     that a template shares with at least window + k - 1 words in a row are always found.
     """
@@ -123,26 +151,27 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     docs = docs.select("doc_id", "text")
     words = {name: [w for w in _split(text)] for name, text in templates.items()}
     found = shared.cut(candidates(docs, shared.cut(index(spark, templates, k, window)), k, band))
+    held = shared.cut(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("license", "at", "n")).alias("places")))
     texts = docs.withColumn("th0", F.xxhash64("text")).withColumnRenamed("doc_id", "d0")
-    near = texts.join(shared.small(found), F.col("d0").eqNullSafe(F.col("doc_id")) & (F.col("th0") == F.col("th")))
-    start = F.greatest(F.lit(0), F.col("at") - 2 * band)
-    part = near.dropDuplicates(["doc_id", "th", "license"]).select(
-        "doc_id", "th", "license", "at", start.alias("start"), F.slice(terms(F.col("text")), start + 1, F.col("m") + 5 * band).alias("w")
-    )
+    near = texts.join(shared.small(held), F.col("d0").eqNullSafe(F.col("doc_id")) & (F.col("th0") == F.col("th")))
+    part = near.dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "places", terms(F.col("text")).alias("w"))
 
     def align(batches):
-        for b in batches:
+        for batch in batches:
             rows = []
-            for d, th, name, at, s, w in zip(b["doc_id"], b["th"], b["license"], b["at"], b["start"], b["w"], strict=True):
-                a = words[name]
-                n, first, last = _align(a, list(w), int(at) - int(s), band)
-                rows.append((d, th, name, n, n / len(a), s + first, s + last))
+            for d, th, places, w in zip(batch["doc_id"], batch["th"], batch["places"], batch["w"], strict=True):
+                w, by = list(w), {}
+                for p in places:
+                    by.setdefault(p["license"], []).append((p["at"], p["n"]))
+                for name, at in by.items():
+                    a = words[name]
+                    rows += [(d, th, name, n, n / len(a), first, end) for n, first, end in _places(a, w, sorted(at), band, coverage)]
             out = pd.DataFrame(rows, columns=["doc_id", "th", "license", "matched", "coverage", "span_start", "span_end"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
     kind = "doc_id long, th long, license string, matched int, coverage double, span_start int, span_end int"
-    return part.mapInPandas(align, kind).where(F.col("coverage") >= coverage - 1e-9)
+    return part.mapInPandas(align, kind)
 
 
 def _split(text: str) -> list[str]:

@@ -220,3 +220,18 @@ def test_licenses_equal_brute_force(spark):
     assert (103, "MIT-line") in got and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_find_every_copy(spark):
+    mit = licenses._split(licenses.TEMPLATES["MIT"])
+    quote, split, bsd = mit[: len(mit) * 65 // 100], list(mit), licenses._split(licenses.TEMPLATES["BSD-3-Clause"])
+    for at in range(12, len(split), 14):
+        split.insert(at, "inserted")
+    line = licenses._split(licenses.TEMPLATES["MIT-line"])
+    fill = [f"w{i}" for i in range(50)]
+    rows = [(1, [*fill[:7], *quote, *fill, *split, *fill]), (2, [*bsd, *fill, *bsd, *bsd]), (3, line * 4), (4, [*line[:-1], *line])]
+    got = licenses.scan(docs(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    spans = {i: sorted((r.span_start, r.span_end) for r in got if r.doc_id == i and r.license == x) for i, x in ((1, "MIT"), (2, "BSD-3-Clause"), (3, "MIT-line"), (4, "MIT-line"))}
+    at, n, m = 7 + len(quote) + 50, len(bsd), len(line)
+    assert spans[1] == [(at, at + len(split))]
+    assert spans[2] == [(0, n), (n + 50, 2 * n + 50), (2 * n + 50, 3 * n + 50)]
+    assert spans[3] == [(i * m, (i + 1) * m) for i in range(4)]
+    assert spans[4] == [(0, m - 1), (m - 1, 2 * m - 1)]
