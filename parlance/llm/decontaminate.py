@@ -1,12 +1,12 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search; DataFrame functions only.
+"""Benchmark decontamination by MinHash containment search; DataFrame functions only.
 
 An item is its set of five-word shingles (an item of fewer words is one shingle of its own
 length). Shingles are ordered by hash, and an item's sketch is its ``n - ceil(t n) + 1``
 smallest hashes: a document that holds a share ``t`` of the item's shingles lacks fewer
-than that, so it holds a shingle of the sketch and no match can be missed. Items are
-partitioned by size, and each partition has its own largest sketch hash: long items need
-a small part of the hash range, short ones more. Only document shingles below the bound
-of some partition probe the sketches. Candidates are verified by exact containment on the
+than that, so it holds a shingle of the sketch and no match can be missed. The largest sketch
+hash of all items with one shingle length bounds the search: document shingles above it do not
+probe the sketches. Partitions by size are merged in that bound, so one item of few shingles
+lifts it for all. Candidates are verified by exact containment on the
 shingles' words. A long document is never compared as one set, so its length does not dilute a match.
 """
 
