@@ -1,170 +1,239 @@
 """Line dedup by an exact set-similarity join; DataFrame functions only.
 
 A line is the set of its lower-cased words. Its words are ordered by rarity in the
-corpus (counts of 2^20 hash buckets, so the table of counts has a fixed size), and two
-lines of Jaccard similarity ``t`` or more must share one of their first
-``n - ceil(t n) + 1`` words. Pairs that share one pass a length and a positional filter
-and a bound from 64-bit bitmaps of their words, and are verified on the words themselves. A line goes if any earlier line is as similar;
-earlier means by doc_id, then line number, then hash of the line.
-
-* Equal lines collapse to their first place before any word is looked at, so a very
-  common line costs one row.
-* Words that no other line has in its prefix drop out as the earliest line of each word is found.
-* A first round pairs each line only with the earliest line of each shared word, which
-  settles nearly all members of a large group of near copies; only what is still
-  undecided meets all earlier lines. The answer is that of the full join.
-"""
+corpus, and two lines of Jaccard similarity ``t`` or more must share one of their first
+``n - ceil(t n) + 1`` words; the shorter of both even one of its first
+``n - ceil(2 t / (1 + t) n) + 1``. Pairs that share one pass the length filter, the positional
+filter of their first common word and a bound from the parities of their words' bits (sets
+differ in at least as many words as their parities in bits), all inside the join, and are
+verified on the words themselves. A line goes if any earlier line is as similar; earlier
+means by doc_id (null first), then line number, then hash of the text.
+
+* Words are counted once over all texts in ``buckets`` buckets of their hash. The table of the
+  counts' levels has a fixed size (8 bytes for each bucket) and reaches the tasks as a scalar subquery.
+* Equal lines (white space and case aside) are one line at their first place before any is compared.
+* First each line is paired only with the earliest line of each of its rare words and with the
+  one before it; the lines of a very common word are dealt out to several groups of ``CROWD``. That settles nearly all members of a large group of near copies; only
+  lines that are still undecided then meet all earlier lines. The answer is that of the full join.
+  one before it; the lines of a very common word are dealt out to several groups of ``CROWD``. That settles
+  nearly all members of a large group of near copies; only
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 BUCKETS = 1 << 20
+#: Lines of a word among which the earliest is tried first; words that occur oftener are dealt out at random.
+CROWD = 4096
+#: Lines of more words carry parities of two hash bits.
+LONG = 96
+_MASK = (1 << 56) - 1
+_FIRST = -(1 << 63)
+_PLACE = ("d", "line_no", "th")
+
+
+def _normal(text: Column) -> Column:
+    """Lower case, all white space but line feeds as spaces."""
+    text = F.lower(text)
+    for c in "\t\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
+
+
+def _id() -> Column:
+    """The document's id, null as the least number."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST))
+
+
+def _hash() -> Column:
+    """Tells apart rows of one _id()."""
+    return F.xxhash64("text", F.col("doc_id").isNull())
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, line, h1, h2), a row for each line with a word; th tells texts with equal ids apart."""
-    return (
-        docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .where(F.trim("line", F.lit(" \t\x0b\x0c\r")) != "")
-        .withColumn("h1", F.xxhash64("line"))
-        .withColumn("h2", F.xxhash64("line", F.lit(1)))
-    )
+    """(d, th, line_no, line): a row for each line with a word, normalised."""
+    rows = docs.select("d", "th", F.posexplode(F.split(_normal(F.col("text")), "\n")).alias("line_no", "line"))
+    return rows.where(F.trim("line") != "")
 
 
-def _bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A constant of a byte for each bucket of words: four times log2 of its count over all texts (0 to 124), plus 1."""
+def _shift(x: Column, bits: int | Column) -> Column:
+    return F.call_function("shiftleft", x, F.lit(bits) if isinstance(bits, int) else bits)
+
+
+def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row, an array of a long for each bucket of word hashes: in its upper byte four times log2 of the bucket's count over all texts."""
+    text = F.replace(_normal(F.col("text")), F.lit("\n"), F.lit(" "))
     counts = (
-        docs.select(F.explode(shared.pieces(F.lower("text"))).alias("w"))
-        .where("w <> ''").groupBy(_bucket(F.col("w")).alias("b")).count()
+        docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
+        .groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
     )
-    level = F.least(F.lit(124), 4 * F.log2("count")).cast("int") + 1
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    run = F.array_sort(F.collect_list(F.struct("b", F.coalesce(level, F.lit(1)).alias("v"))))
-    text = F.array_join(F.transform(run, lambda x: F.lpad(F.hex(x["v"]), 2, "0")), "")
-    rows = every.groupBy(F.floor(F.col("b") / 1024).alias("k")).agg(text.alias("t")).collect()  # BUCKETS / 1024 rows of 1024 bytes
-    return F.lit(bytearray.fromhex("".join(r.t for r in sorted(rows, key=lambda r: r.k))))
+    level = _shift(F.least(F.lit(124), 4 * F.log2("count")).cast("long"), 56)
+    every = docs.sparkSession.range(buckets).select(F.col("id").alias("b")).join(counts.select("b", level.alias("v")), "b", "left")
+    every = every.select("b", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    run = F.transform(F.array_sort(F.collect_list(F.struct("b", "v"))), lambda x: x["v"])
+    runs = every.groupBy(F.floor(F.col("b") / 4096).alias("k")).agg(run.alias("vs"))
+    return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "vs"))), lambda x: x["vs"])).alias("levels"))
 
 
-def _ranked(line: Column, levels: Column) -> Column:
-    """The line's distinct words as longs that sort from rare to common."""
+def _parity(ranked: Column, at: int) -> Column:
+    """64 bits, each the parity of the number of words whose hash names it."""
 
-    def key(w: Column) -> Column:
-        level = F.ascii(F.substring(levels, _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
-        return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << 56) - 1)))
+    def flip(bits: Column, k: Column) -> Column:
+        named = F.call_function("shiftright", k, F.lit(at)) if at else k
+        return bits.bitwiseXOR(_shift(F.lit(1).cast("long"), named.bitwiseAND(F.lit(63)).cast("int")))
 
-    return F.sort_array(F.array_distinct(F.transform(shared.words(F.lower(line)), key)))
+    return F.aggregate(ranked, F.lit(0).cast("long"), flip)
 
 
-def _bitmap(ranked: Column) -> Column:
-    """64 bits, one set for each word's hash: two sets differ in as many words at least as their bitmaps in bits."""
-    return F.aggregate(ranked, F.lit(0).cast("long"), lambda b, k: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def _most(n: Column, share: float) -> Column:
+    """Words of a prefix that a set of n words with a share in common cannot all lack."""
+    return (n - F.ceil(share * n - 1e-9) + 1).cast("int")
 
 
-def _verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float) -> DataFrame:
-    """Of pairs (x, y) of positions, the x of those of similarity t or more, their words compared exactly."""
-    pairs = store(pairs)
-    need = pairs.select(F.col("x").alias("pos")).unionByName(pairs.select(F.col("y").alias("pos"))).distinct()
-    need = store(first.select("pos", "h1", "h2").join(need, "pos", "left_semi"))
-    some = _lines(docs).join(shared.small(need), ["h1", "h2"]).groupBy("pos").agg(F.min("line").alias("line"))
-    some = store(some).select("pos", F.array_distinct(shared.words(F.lower("line"))).alias("s"))
-    x = some.select(F.col("pos").alias("x"), F.col("s").alias("sx"))
-    y = some.select(F.col("pos").alias("y"), F.col("s").alias("sy"))
-    both = F.size(F.array_intersect("sx", "sy"))
-    similar = both >= t * (F.size("sx") + F.size("sy") - both) - 1e-9
-    return pairs.join(x, "x").join(y, "y").where(similar).select(F.col("x").alias("pos")).distinct()
+def ranked_lines(docs: DataFrame, t: float, buckets: int = BUCKETS) -> DataFrame:
+    """A row for each line with a word: its place, two hashes, number of words n, prefix p (rarest first) and parities b1, b2.
 
-
-def distinct_lines(docs: DataFrame, t: float) -> DataFrame:
-    """A row for each distinct line: h1, h2, the place where it is first, its count c, words n, bitmap b and prefix p.
-
-    pos numbers the lines by place, in steps of any width; it is fixed once the table is written.
+    Words are named by 56 bits of their hash after 8 bits of rarity. b2 is 0 for lines of at most LONG words.
     """
-    levels = rarity(docs)
-    ranked = _lines(docs).withColumn("r", _ranked(F.col("line"), levels)).withColumn("n", F.size("r"))
-    kept = F.col("n") - F.ceil(t * F.col("n") - 1e-9) + 1
-    place = F.struct("doc_id", "line_no", "h1", "th")
-    first = (
-        ranked.select("h1", "h2", place.alias("at"), "n", _bitmap(F.col("r")).alias("b"), F.slice("r", F.lit(1), kept.cast("int")).alias("p"))
-        .groupBy("h1", "h2").agg(F.min(F.struct("at", "n", "b", "p")).alias("m"), F.count("*").alias("c"))
+    levels = rarity(docs, buckets).scalar()
+    # The subquery's column is used once, so the optimizer puts it where it is used and no row carries the table.
+    rows = _lines(docs).select(
+        *_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), levels.alias("levels"),
+        F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_MASK)))).alias("ws"),
     )
-    first = first.select("h1", "h2", "m.at.doc_id", "m.at.line_no", "m.at.th", "m.n", "m.b", "m.p", "c")
-    return first.orderBy("doc_id", "line_no", "h1", "th").withColumn("pos", F.monotonically_increasing_id())
 
+    def rank(w: Column) -> Column:
+        return F.get(F.col("levels"), w.bitwiseAND(F.lit(buckets - 1)).cast("int")).bitwiseOR(w)
 
-def later_matches(first: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float = 0.8) -> DataFrame:
-    """pos of each distinct line to which some earlier distinct line is similar by t or more."""
-    post = first.select("pos", "n", "b", F.posexplode("p").alias("i", "w"))
-    low = post.groupBy("w").agg(F.min(F.struct("pos", "n", "i", "b")).alias("e"), F.count("*").alias("c")).where("c > 1").select(
-        "w", F.col("e.pos").alias("y"), F.col("e.n").alias("ny"), F.col("e.i").alias("iy"), F.col("e.b").alias("by")
+    rows = rows.select(*_PLACE, "h1", "h2", F.sort_array(F.transform("ws", rank)).alias("r"))
+    n = F.size("r")
+    return rows.select(
+        *_PLACE, "h1", "h2", n.alias("n"), F.slice("r", F.lit(1), _most(n, t)).alias("p"),
+        _parity(F.col("r"), 0).alias("b1"), F.when(n > LONG, _parity(F.col("r"), 6)).otherwise(0).alias("b2"),
     )
-    need = F.ceil(t / (1 + t) * (F.col("n") + F.col("ny")) - 1e-9)
-    may = (
-        (F.col("pos") > F.col("y"))
-        & (F.least("n", "ny") >= t * F.greatest("n", "ny") - 1e-9)
-        & (F.bit_count(F.col("b").bitwiseXOR(F.col("by"))) <= F.col("n") + F.col("ny") - 2 * need)
+
+
+def _before(a: str, b: str) -> Column:
+    """The place with suffix a comes before that with suffix b."""
+    d, n, h = ((F.col(f"{c}{a}"), F.col(f"{c}{b}")) for c in ("d", "line_no", "th"))
+    return (d[0] < d[1]) | ((d[0] == d[1]) & ((n[0] < n[1]) | ((n[0] == n[1]) & (h[0] < h[1]))))
+
+
+def _postings(first: DataFrame) -> DataFrame:
+    """(w, d, line_no, th, size, b1, b2): a row for each word of each prefix; size holds the line's number of words and, below, the word's place."""
+    rows = first.select("d", "line_no", "th", "n", "b1", "b2", F.posexplode("p").alias("i", "w"))
+    return rows.select("w", *_PLACE, _shift(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size"), "b1", "b2")
+
+
+def _as(df: DataFrame, suffix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(c if c == "w" else f"{c}{suffix}") for c in df.columns])
+
+
+def _n(suffix: str = "") -> Column:
+    return F.call_function("shiftright", F.col(f"size{suffix}"), F.lit(32))
+
+
+def _i(suffix: str = "") -> Column:
+    return F.col(f"size{suffix}").bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def _may(t: float) -> Column:
+    """Length, positional and parity filters of postings with suffixes _x and _y at their first common word."""
+    nx, ny = _n("_x"), _n("_y")
+    need = F.ceil(t / (1 + t) * (nx + ny) - 1e-9)
+    differ = F.bit_count(F.col("b1_x").bitwiseXOR(F.col("b1_y")))
+    more = F.bit_count(F.col("b2_x").bitwiseXOR(F.col("b2_y")))
+    both = (nx > LONG) & (ny > LONG)
+    return (
+        (F.least(nx, ny) >= t * F.greatest(nx, ny) - 1e-9) & (F.least(nx - _i("_x"), ny - _i("_y")) >= need)
+        & (differ <= nx + ny - 2 * need) & (~both | (more <= nx + ny - 2 * need))
     )
-    early = F.least(F.col("n") - F.col("i"), F.col("ny") - F.col("iy")) >= need
-    # Words in common: those in both prefixes, and at most what follows the prefix of one line.
-    most = F.col("c") + F.greatest(F.ceil(t * F.col("n") - 1e-9), F.ceil(t * F.col("ny") - 1e-9)) - 1
 
-    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-        return (
-            a.join(b, "w").where(may)
-            .groupBy(F.col("pos").alias("x"), "y", "n", "ny")
-            .agg(F.count("*").alias("c"), F.max(early).alias("early"))
-            .where("early")
-        )
 
-    sure = store(_verified(pairs(post, low).select("x", "y"), first, docs, store, t))
-    left = post.join(sure, "pos", "left_anti")
-    full = post.select("w", F.col("pos").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("b").alias("by"))
-    late = _verified(pairs(left, full).where(most >= need).select("x", "y"), first, docs, store, t)
-    return sure.unionByName(late).distinct()
+def _verified(pairs: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float) -> DataFrame:
+    """The places (d, line_no, th) of the lines _x of pairs whose words, read from the texts again, are similar by t or more."""
+    pairs = store(pairs.select(*[F.struct(*[F.col(f"{c}{e}").alias(c) for c in _PLACE]).alias(e[1]) for e in ("_x", "_y")]).distinct())
+    need = store(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.*"))
+    some = docs.join(shared.small(need.select("d", "th").distinct()), ["d", "th"], "left_semi")
+    some = _lines(some).join(shared.small(need), list(_PLACE)).select(F.struct(*_PLACE).alias("at"), F.array_distinct(_words(F.col("line"))).alias("s"))
+    some = store(some.dropDuplicates(["at"]))
+    x, y = (some.select(F.col("at").alias(e), F.col("s").alias(f"s{e}")) for e in "xy")
+    both = F.size(F.array_intersect("sx", "sy"))
+    similar = both >= t * (F.size("sx") + F.size("sy") - both) - 1e-9
+    return pairs.join(x, "x").join(y, "y").where(similar).select("x.*").distinct()
+
+
+def later_matches(first: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """The places (d, line_no, th) of the distinct lines to which some earlier distinct line is similar by t or more."""
+    post = _postings(first)
+    short = post.where(_i() < _most(_n(), 2 * t / (1 + t)))
+    # The earliest line of each word, and the one before in its order; words that occur once have none.
+    level = F.call_function("shiftright", F.col("w"), F.lit(56))
+    salt = F.pmod(F.xxhash64(*_PLACE), F.ceil(F.pow(F.lit(2.0), level / 4) / crowd)).cast("int")
+    met = Window.partitionBy("w", "salt").orderBy(*_PLACE)
+    row = F.struct(*post.columns[1:])
+    ends = short.where(level >= 4).withColumn("salt", salt).select("*", F.array_distinct(F.array(F.first(row).over(met), F.lag(row).over(met))).alias("ys"))
+    tried = _as(ends.select(*post.columns, F.explode("ys").alias("e")).where("e is not null"), "_x")
+    tried = tried.select(*[c for c in tried.columns if c != "e_x"], *[F.col(f"e_x.{c}").alias(f"{c}_y") for c in post.columns[1:]])
+    tried = tried.where(_before("_y", "_x") & _may(t))
+    sure = store(_verified(tried, docs, store, t))
+    known = shared.small(sure.withColumn("sure", F.lit(True)))
+    a, b = (_as(side.join(known, list(_PLACE), "left").withColumn("sure", F.col("sure").isNotNull()), e) for side, e in ((short, "_x"), (post, "_y")))
+    # x is the shorter line; the later of both is still to be decided.
+    nx, ny, swap = _n("_x"), _n("_y"), _before("_x", "_y")
+    shorter = (nx < ny) | ((nx == ny) & swap)
+    found = a.join(b, "w").where(shorter & F.when(swap, ~F.col("sure_y")).otherwise(_before("_y", "_x") & ~F.col("sure_x")) & _may(t))
+    sides = [F.when(swap, F.col(f"{c}{q}")).otherwise(F.col(f"{c}{p}")).alias(f"{c}{p}") for p, q in (("_x", "_y"), ("_y", "_x")) for c in _PLACE]
+    return sure.unionByName(_verified(found.select(*sides), docs, store, t)).distinct()
 
 
 def removed_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
-    """(doc_id, th, lines): for each document the sorted numbers of lines that repeat an earlier one, equal or similar."""
-    docs = docs.select("doc_id", "text")
+    """(d, th, lines): for each document the sorted numbers of lines that repeat an earlier one, equal or similar."""
+    docs = docs.select(_id().alias("d"), _hash().alias("th"), "text")
     with shared.scratch(docs.sparkSession) as store:
-        first = store(distinct_lines(docs, t))
-        late = later_matches(first, docs, store, t).withColumn("late", F.lit(True))
-        place = F.struct("doc_id", "line_no", "th")
-        dup = first.select("pos", "h1", "h2", place.alias("first"), "c").join(late, "pos", "left").where("c > 1 or late")
-        gone = _lines(docs).join(dup.drop("pos", "c"), ["h1", "h2"]).where(F.col("late").isNotNull() | (place != F.col("first")))
-        return shared.cut(gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines")))
+        rows = store(ranked_lines(docs, t))
+        same, place = ["h1", "h2"], F.struct(*_PLACE)
+        narrow = rows.select(*_PLACE, *same)
+        copies = store(narrow.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
+        first = rows.join(shared.small(copies), same, "left").where(F.col("first").isNull() | (place == F.col("first"))).drop("first")
+        late = store(later_matches(first, docs, store, t))
+        late = narrow.join(shared.small(late), list(_PLACE), "left_semi").select(*same, F.lit(True).alias("late")).distinct()
+        gone = store(copies.join(late, same, "full"))
+        lines = narrow.join(shared.small(gone), same).where(F.col("late").isNotNull() | (place != F.col("first")))
+        return shared.cut(lines.groupBy("d", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines")))
 
 
 def dedup_lines(docs: DataFrame, t: float = 0.8, extra: bool = False) -> DataFrame:
     """docs with each line removed that is equal or similar by t to an earlier line of any document.
 
-    Lines end at line feeds; lines without a word stay, and so do null texts and
+    doc_id is a whole number. Lines end at line feeds; lines without a word stay, and so do null texts and
     documents whose last line goes (their text is then empty). Rows that are equal in
     id and text are one document and keep the same lines. A null id comes before all
-    others. With ``extra``, columns n_lines and n_removed follow. Other columns stay.
+    others; of rows with one id and other texts that with the smaller hash. An empty table gives none. With
+    ``extra``, columns n_lines and n_removed follow. Other columns stay, whatever their names.
     """
-    gone = removed_lines(docs, t).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("lines").alias("_gone"))
-    tmp = docs.withColumn("_h", F.xxhash64("text"))
-    joined = tmp.join(shared.small(gone), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left")
-    parts = F.split("text", "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
+    gone = removed_lines(docs.select("doc_id", "text"), t).select(
+        F.col("d").alias("__dedup_d"), F.col("th").alias("__dedup_th"), F.col("lines").alias("__dedup_gone")
     )
-    out = joined.withColumn("_text", text)
-    cols = [F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    gone = shared.small(gone, width=F.size("__dedup_gone") * 4 + 64)
+    joined = docs.join(gone, (_id() == F.col("__dedup_d")) & (_hash() == F.col("__dedup_th")), "left")
+    lost = F.col("__dedup_gone")
+    # Exploded from an array of one, so that the text is cut once and not for each line that stays.
+    joined = joined.withColumn("__dedup_lines", F.explode(F.array(F.when(lost.isNotNull(), F.split("text", "\n")))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__dedup_lines") - 1), lost)
+    text = F.array_join(F.transform(kept, lambda i: F.get(F.col("__dedup_lines"), i)), "\n")
+    text = F.when(lost.isNull(), F.col("text")).otherwise(text)
+    cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     if extra:
-        cols += [
-            F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
-            F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
-        ]
-    return out.select(*cols)
+        n = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+        cols += [F.coalesce(n, F.lit(0)).alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_removed")]
+    return joined.select(*cols)

@@ -70,9 +70,10 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Mark a materialised narrow table for broadcast if its counted rows fit, else leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def small(df: DataFrame, max_bytes: int = 32 << 20, width: int | Column = 64) -> DataFrame:
+    """Mark a materialised table for broadcast if its rows, of ``width`` bytes each, take at most max_bytes; else a shuffle joins it."""
+    size = df.agg(F.sum(F.lit(width) if isinstance(width, int) else width).alias("n")).first()["n"]
+    return F.broadcast(df) if (size or 0) <= max_bytes else df
 
 
 def pieces(text: Column) -> Column:
