@@ -13,10 +13,10 @@ means by doc_id (null first), then line number, then hash of the text.
   counts' levels has a fixed size (8 bytes for each bucket) and reaches the tasks as a scalar subquery.
 * Equal lines (white space and case aside) are one line at their first place before any is compared.
 * First each line is paired only with the earliest line of each of its rare words and with the
-  one before it; the lines of a very common word are dealt out to several groups of ``CROWD``. That settles nearly all members of a large group of near copies; only
-  lines that are still undecided then meet all earlier lines. The answer is that of the full join.
   one before it; the lines of a very common word are dealt out to several groups of ``CROWD``. That settles
-  nearly all members of a large group of near copies; only
+  nearly all members of a large group of near copies; only lines that are still undecided then meet all
+  earlier lines. The answer is that of the full join.
+"""
 
 from __future__ import annotations
 
