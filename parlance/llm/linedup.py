@@ -30,7 +30,7 @@ from . import shared
 BUCKETS = 1 << 20
 #: Lines of a word among which the earliest is tried first; words that occur oftener are dealt out at random.
 CROWD = 4096
-#: Lines of more words carry parities of two hash bits.
+#: Lines of more words carry a second parity, of half their words.
 LONG = 96
 _MASK = (1 << 56) - 1
 _FIRST = -(1 << 63)
@@ -39,10 +39,10 @@ _PLACE = ("d", "line_no", "th")
 
 def _normal(text: Column) -> Column:
     """Lower case, all white space but line feeds as spaces."""
-    text = F.lower(text)
+    text = low = F.lower(text)
     for c in "\t\x0b\x0c\r":
         text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
+    return F.when(low.rlike("[\t\x0b\x0c\r]"), text).otherwise(low)  # one search instead of four in most texts
 
 
 def _id() -> Column:
@@ -62,7 +62,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    return F.array_remove(F.split(line, " "), "")
+    """The hashes of a line's distinct words."""
+    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
 def _shift(x: Column, bits: int | Column) -> Column:
@@ -73,7 +74,7 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """One row, an array of a long for each bucket of word hashes: in its upper byte four times log2 of the bucket's count over all texts."""
     text = F.replace(_normal(F.col("text")), F.lit("\n"), F.lit(" "))
     counts = (
-        docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
+        docs.select(F.explode(F.split(text, " ")).alias("w"))
         .groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
     )
     level = _shift(F.least(F.lit(124), 4 * F.log2("count")).cast("long"), 56)
@@ -84,12 +85,12 @@ def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return runs.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "vs"))), lambda x: x["vs"])).alias("levels"))
 
 
-def _parity(ranked: Column, at: int) -> Column:
-    """64 bits, each the parity of the number of words whose hash names it."""
+def _parity(ranked: Column, half: bool) -> Column:
+    """64 bits, each the parity of the number of words whose hash names it; of half the words if half."""
 
     def flip(bits: Column, k: Column) -> Column:
-        named = F.call_function("shiftright", k, F.lit(at)) if at else k
-        return bits.bitwiseXOR(_shift(F.lit(1).cast("long"), named.bitwiseAND(F.lit(63)).cast("int")))
+        one = F.call_function("shiftright", k, F.lit(6)).bitwiseAND(F.lit(1)) if half else F.lit(1).cast("long")
+        return bits.bitwiseXOR(_shift(one, k.bitwiseAND(F.lit(63)).cast("int")))
 
     return F.aggregate(ranked, F.lit(0).cast("long"), flip)
 
@@ -102,117 +103,122 @@ def _most(n: Column, share: float) -> Column:
 def ranked_lines(docs: DataFrame, t: float, buckets: int = BUCKETS) -> DataFrame:
     """A row for each line with a word: its place, two hashes, number of words n, prefix p (rarest first) and parities b1, b2.
 
-    Words are named by 56 bits of their hash after 8 bits of rarity. b2 is 0 for lines of at most LONG words.
+    Words are named by 56 bits of their hash after 8 bits of rarity. b1 is of all words; b2 of half of them, in lines of more than LONG words.
     """
     levels = rarity(docs, buckets).scalar()
     # The subquery's column is used once, so the optimizer puts it where it is used and no row carries the table.
     rows = _lines(docs).select(
         *_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), levels.alias("levels"),
-        F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w).bitwiseAND(F.lit(_MASK)))).alias("ws"),
+        _words(F.col("line")).alias("ws"),
     )
 
     def rank(w: Column) -> Column:
-        return F.get(F.col("levels"), w.bitwiseAND(F.lit(buckets - 1)).cast("int")).bitwiseOR(w)
+        return F.get(F.col("levels"), w.bitwiseAND(F.lit(buckets - 1)).cast("int")).bitwiseOR(w.bitwiseAND(F.lit(_MASK)))
 
     rows = rows.select(*_PLACE, "h1", "h2", F.sort_array(F.transform("ws", rank)).alias("r"))
     n = F.size("r")
     return rows.select(
         *_PLACE, "h1", "h2", n.alias("n"), F.slice("r", F.lit(1), _most(n, t)).alias("p"),
-        _parity(F.col("r"), 0).alias("b1"), F.when(n > LONG, _parity(F.col("r"), 6)).otherwise(0).alias("b2"),
+        _parity(F.col("r"), False).alias("b1"), F.when(n > LONG, _parity(F.col("r"), True)).otherwise(0).alias("b2"),
     )
 
 
-def _before(a: str, b: str) -> Column:
-    """The place with suffix a comes before that with suffix b."""
-    d, n, h = ((F.col(f"{c}{a}"), F.col(f"{c}{b}")) for c in ("d", "line_no", "th"))
-    return (d[0] < d[1]) | ((d[0] == d[1]) & ((n[0] < n[1]) | ((n[0] == n[1]) & (h[0] < h[1]))))
-
-
 def _postings(first: DataFrame) -> DataFrame:
-    """(w, d, line_no, th, size, b1, b2): a row for each word of each prefix; size holds the line's number of words and, below, the word's place."""
-    rows = first.select("d", "line_no", "th", "n", "b1", "b2", F.posexplode("p").alias("i", "w"))
-    return rows.select("w", *_PLACE, _shift(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size"), "b1", "b2")
-
-
-def _as(df: DataFrame, suffix: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(c if c == "w" else f"{c}{suffix}") for c in df.columns])
+    """(w, id, size, b1, b2): a row for each word of each prefix; size holds the line's number of words and, below, the word's place."""
+    rows = first.select("id", "n", "b1", "b2", F.posexplode("p").alias("i", "w"))
+    return rows.select("w", "id", _shift(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("size"), "b1", "b2")
 
 
-def _n(suffix: str = "") -> Column:
-    return F.call_function("shiftright", F.col(f"size{suffix}"), F.lit(32))
+def _n(size: Column) -> Column:
+    return F.call_function("shiftright", size, F.lit(32)).bitwiseAND(F.lit(0x3FFFFFFF))
 
 
-def _i(suffix: str = "") -> Column:
-    return F.col(f"size{suffix}").bitwiseAND(F.lit((1 << 31) - 1))
+def _i(size: Column) -> Column:
+    return size.bitwiseAND(F.lit(0x7FFFFFFF))
 
 
-def _may(t: float) -> Column:
-    """Length, positional and parity filters of postings with suffixes _x and _y at their first common word."""
-    nx, ny = _n("_x"), _n("_y")
+def _may(x: dict[str, Column], y: dict[str, Column], t: float) -> Column:
+    """Length, positional and parity filters of two postings at the first common word of their lines."""
+    nx, ny = _n(x["size"]), _n(y["size"])
     need = F.ceil(t / (1 + t) * (nx + ny) - 1e-9)
-    differ = F.bit_count(F.col("b1_x").bitwiseXOR(F.col("b1_y")))
-    more = F.bit_count(F.col("b2_x").bitwiseXOR(F.col("b2_y")))
+    b1, b2 = x["b1"].bitwiseXOR(y["b1"]), x["b2"].bitwiseXOR(y["b2"])
     both = (nx > LONG) & (ny > LONG)
+    differ = F.when(both, F.bit_count(b1.bitwiseXOR(b2)) + F.bit_count(b2)).otherwise(F.bit_count(b1))
     return (
-        (F.least(nx, ny) >= t * F.greatest(nx, ny) - 1e-9) & (F.least(nx - _i("_x"), ny - _i("_y")) >= need)
-        & (differ <= nx + ny - 2 * need) & (~both | (more <= nx + ny - 2 * need))
+        (F.least(nx, ny) >= t * F.greatest(nx, ny) - 1e-9) & (F.least(nx - _i(x["size"]), ny - _i(y["size"])) >= need)
+        & (differ <= nx + ny - 2 * need)
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float) -> DataFrame:
-    """The places (d, line_no, th) of the lines _x of pairs whose words, read from the texts again, are similar by t or more."""
-    pairs = store(pairs.select(*[F.struct(*[F.col(f"{c}{e}").alias(c) for c in _PLACE]).alias(e[1]) for e in ("_x", "_y")]).distinct())
-    need = store(pairs.select(F.explode(F.array("x", "y")).alias("at")).distinct().select("at.*"))
+_KEPT = ("id", "size", "b1", "b2")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float) -> DataFrame:
+    """The ids of the lines x of pairs (x, y) whose words (64 bits each), read from the texts again, are similar by t or more."""
+    pairs = store(pairs.distinct())
+    ids = shared.small(store(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()))
+    need = store(rows.select("id", *_PLACE).join(ids, "id"))
     some = docs.join(shared.small(need.select("d", "th").distinct()), ["d", "th"], "left_semi")
-    some = _lines(some).join(shared.small(need), list(_PLACE)).select(F.struct(*_PLACE).alias("at"), F.array_distinct(_words(F.col("line"))).alias("s"))
-    some = store(some.dropDuplicates(["at"]))
-    x, y = (some.select(F.col("at").alias(e), F.col("s").alias(f"s{e}")) for e in "xy")
-    both = F.size(F.array_intersect("sx", "sy"))
-    similar = both >= t * (F.size("sx") + F.size("sy") - both) - 1e-9
-    return pairs.join(x, "x").join(y, "y").where(similar).select("x.*").distinct()
+    some = some.select("d", "th", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).join(shared.small(need), list(_PLACE))
+    some = store(some.select("id", _words(_normal(F.col("line"))).alias("s")).dropDuplicates(["id"]))
+    x, y = (some.select(F.col("id").alias(e), F.col("s").alias(f"s{e}")) for e in "xy")
+    both = pairs.join(x, "x").join(y, "y").select("x", F.size("sx").alias("nx"), F.size("sy").alias("ny"), F.size(F.array_intersect("sx", "sy")).alias("c"))
+    return both.where(F.col("c") >= t * (F.col("nx") + F.col("ny") - F.col("c")) - 1e-9).select(F.col("x").alias("id")).distinct()
 
 
-def later_matches(first: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float = 0.8, crowd: int = CROWD) -> DataFrame:
-    """The places (d, line_no, th) of the distinct lines to which some earlier distinct line is similar by t or more."""
+def later_matches(first: DataFrame, rows: DataFrame, docs: DataFrame, store: Callable[[DataFrame], DataFrame], t: float = 0.8, crowd: int = CROWD) -> DataFrame:
+    """(id) of the distinct lines ``first`` to which some earlier distinct line is similar by t or more."""
     post = _postings(first)
-    short = post.where(_i() < _most(_n(), 2 * t / (1 + t)))
+    short = post.where(_i(F.col("size")) < _most(_n(F.col("size")), 2 * t / (1 + t)))
     # The earliest line of each word, and the one before in its order; words that occur once have none.
     level = F.call_function("shiftright", F.col("w"), F.lit(56))
-    salt = F.pmod(F.xxhash64(*_PLACE), F.ceil(F.pow(F.lit(2.0), level / 4) / crowd)).cast("int")
-    met = Window.partitionBy("w", "salt").orderBy(*_PLACE)
-    row = F.struct(*post.columns[1:])
-    ends = short.where(level >= 4).withColumn("salt", salt).select("*", F.array_distinct(F.array(F.first(row).over(met), F.lag(row).over(met))).alias("ys"))
-    tried = _as(ends.select(*post.columns, F.explode("ys").alias("e")).where("e is not null"), "_x")
-    tried = tried.select(*[c for c in tried.columns if c != "e_x"], *[F.col(f"e_x.{c}").alias(f"{c}_y") for c in post.columns[1:]])
-    tried = tried.where(_before("_y", "_x") & _may(t))
-    sure = store(_verified(tried, docs, store, t))
+    salt = F.pmod(F.xxhash64("id"), F.ceil(F.pow(F.lit(2.0), level / 4) / crowd)).cast("int")
+    met = Window.partitionBy("w", "salt").orderBy("id")
+    ends = short.where(level >= 4).withColumn("salt", salt).select(
+        *_KEPT, *[F.first(c).over(met).alias(f"{c}_a") for c in _KEPT], *[F.lag(c).over(met).alias(f"{c}_b") for c in _KEPT])
+    own = {c: F.col(c) for c in _KEPT}
+    near = [F.when((F.col(f"id_{e}") < F.col("id")) & _may(own, {c: F.col(f"{c}_{e}") for c in _KEPT}, t), F.col(f"id_{e}")) for e in "ab"]
+    tried = ends.withColumn("p", near[0]).withColumn("q", near[1]).where("p is not null or q is not null")
+    tried = tried.select(F.col("id").alias("x"), F.explode(F.array_compact(F.array("p", "q"))).alias("y"))
+    sure = store(_verified(tried, rows, docs, store, t))
     known = shared.small(sure.withColumn("sure", F.lit(True)))
-    a, b = (_as(side.join(known, list(_PLACE), "left").withColumn("sure", F.col("sure").isNotNull()), e) for side, e in ((short, "_x"), (post, "_y")))
+    top = F.lit(1 << 62)  # marks a line that is settled, in its size
+
+    def marked(side: DataFrame, end: str) -> DataFrame:
+        side = side.join(known, "id", "left").withColumn("size", F.when(F.col("sure"), F.col("size").bitwiseOR(top)).otherwise(F.col("size")))
+        return side.select("w", *[F.col(c).alias(f"{c}_{end}") for c in _KEPT])
+
+    x, y = ({c: F.col(f"{c}_{e}") for c in _KEPT} for e in "xy")
     # x is the shorter line; the later of both is still to be decided.
-    nx, ny, swap = _n("_x"), _n("_y"), _before("_x", "_y")
-    shorter = (nx < ny) | ((nx == ny) & swap)
-    found = a.join(b, "w").where(shorter & F.when(swap, ~F.col("sure_y")).otherwise(_before("_y", "_x") & ~F.col("sure_x")) & _may(t))
-    sides = [F.when(swap, F.col(f"{c}{q}")).otherwise(F.col(f"{c}{p}")).alias(f"{c}{p}") for p, q in (("_x", "_y"), ("_y", "_x")) for c in _PLACE]
-    return sure.unionByName(_verified(found.select(*sides), docs, store, t)).distinct()
+    shorter = (_n(x["size"]) < _n(y["size"])) | ((_n(x["size"]) == _n(y["size"])) & (x["id"] < y["id"]))
+    open_ = F.when(x["id"] < y["id"], y["size"]).otherwise(x["size"]) < top
+    found = marked(short, "x").join(marked(post, "y"), "w").where((x["id"] != y["id"]) & shorter & open_ & _may(x, y, t))
+    late = found.select(F.greatest("id_x", "id_y").alias("x"), F.least("id_x", "id_y").alias("y"))
+    return sure.unionByName(_verified(late, rows, docs, store, t)).distinct()
 
 
-def removed_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
+def removed_lines(docs: DataFrame, t: float = 0.8, buckets: int = BUCKETS) -> DataFrame:
     """(d, th, lines): for each document the sorted numbers of lines that repeat an earlier one, equal or similar."""
     docs = docs.select(_id().alias("d"), _hash().alias("th"), "text")
     with shared.scratch(docs.sparkSession) as store:
-        rows = store(ranked_lines(docs, t))
-        same, place = ["h1", "h2"], F.struct(*_PLACE)
-        narrow = rows.select(*_PLACE, *same)
-        copies = store(narrow.groupBy(*same).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
-        first = rows.join(shared.small(copies), same, "left").where(F.col("first").isNull() | (place == F.col("first"))).drop("first")
-        late = store(later_matches(first, docs, store, t))
-        late = narrow.join(shared.small(late), list(_PLACE), "left_semi").select(*same, F.lit(True).alias("late")).distinct()
-        gone = store(copies.join(late, same, "full"))
-        lines = narrow.join(shared.small(gone), same).where(F.col("late").isNotNull() | (place != F.col("first")))
+        with shared.scratch(docs.sparkSession) as briefly:
+            placed = briefly(ranked_lines(docs, t, buckets)).orderBy(*_PLACE).withColumn("id", F.monotonically_increasing_id())
+            rows = store(placed)  # ids in the order of places, fixed once written
+        same = ["h1", "h2"]
+        narrow = rows.select("id", *_PLACE, *same)
+        copies = narrow.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+        copies = store(copies)
+        first = rows.join(shared.small(copies), same, "left").where(F.col("first").isNull() | (F.col("first") == F.col("id"))).drop("first")
+        late = store(later_matches(first, rows, docs, store, t))
+        late = narrow.join(shared.small(late), "id", "left_semi").select(*same, F.lit(True).alias("late")).distinct()
+        place = F.struct(*_PLACE)
+        firsts = narrow.select(F.col("id").alias("first"), place.alias("at"))
+        gone = store(copies.join(firsts, "first").drop("first").join(late, same, "full"))
+        lines = narrow.join(shared.small(gone, width=96), same).where(F.col("late").isNotNull() | (place != F.col("at")))
         return shared.cut(lines.groupBy("d", "th").agg(F.array_sort(F.collect_set("line_no")).alias("lines")))
 
 
-def dedup_lines(docs: DataFrame, t: float = 0.8, extra: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, t: float = 0.8, extra: bool = False, buckets: int = BUCKETS) -> DataFrame:
     """docs with each line removed that is equal or similar by t to an earlier line of any document.
 
     doc_id is a whole number. Lines end at line feeds; lines without a word stay, and so do null texts and
@@ -221,7 +227,7 @@ def dedup_lines(docs: DataFrame, t: float = 0.8, extra: bool = False) -> DataFra
     others; of rows with one id and other texts that with the smaller hash. An empty table gives none. With
     ``extra``, columns n_lines and n_removed follow. Other columns stay, whatever their names.
     """
-    gone = removed_lines(docs.select("doc_id", "text"), t).select(
+    gone = removed_lines(docs.select("doc_id", "text"), t, buckets).select(
         F.col("d").alias("__dedup_d"), F.col("th").alias("__dedup_th"), F.col("lines").alias("__dedup_gone")
     )
     gone = shared.small(gone, width=F.size("__dedup_gone") * 4 + 64)
