@@ -152,7 +152,7 @@ def links(fps: DataFrame, d: int = 4, chunk: int = CHUNK, n_pivots: int = 12) ->
     """(a, b) edges over a table of distinct fingerprints ``fp`` whose components are those of all pairs within d bits."""
     refs = pivots(n_pivots)
     n = fps.count()
-    blocks = d + 2 if n <= 2**24 else d + 3 if n <= 2**30 else d + 4
+    blocks = d + 2 if n <= 2**22 else d + 3 if n <= 2**28 else d + 4
     rows = fps.select("fp", F.explode(_keys(F.col("fp"), blocks, d, refs)).alias("key"))
     many = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     units = (
@@ -185,8 +185,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return got.join(classes, "fp").select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d: int = 4, width: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate class: that with the smallest id, nulls last.
+def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d: int = 6, width: int = 5) -> DataFrame:
+    """docs with one row of each near-duplicate class, by default at most 6 bits apart over five-word shingles: that with the smallest id, nulls last.
 
     Of several rows of a class with that id the one with the smallest hash of the text, then of the row, stays; rows that are equal
     as a whole are one. A row is found again by id and hashes, so rows that share an id but not a class do not touch each other.

@@ -30,8 +30,8 @@ def test_run_equals_brute_force(spark, tmp_path):
     assert {i for i in range(0, 150, 10)} <= toxic and len(toxic) < 40
     left = model_lines([r[:2] for r in rows if r[0] not in toxic])
     ids = sorted(left)
-    fps = [model_fingerprint(left[i]) for i in ids]
-    near = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    fps = [model_fingerprint(left[i], 5) for i in ids]
+    near = components(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 6])
     kept = {ids[k] for k in range(len(ids)) if near[k] == k}
 
     def holds(text, item):
