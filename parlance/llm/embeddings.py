@@ -151,33 +151,36 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     probed if its border is within ``margin`` of the vector, by default half the reach: of two vectors within reach one is as near
     to the border of their lists, and each pair is met from both sides, so none is lost. Each length has its own lists. Vectors that
     are null, zero, or with null or non-finite parts, or without a label, link with nothing. Equal rows of one label link with each other. A null vec_id has no class of its
-    own and takes the smallest id of its class that is not null.
+    own and takes the smallest id of its class that is not null. Labels may be of any type that can be hashed, vectors are told apart
+    by two hashes. Extra columns are ignored, whatever their names. An empty table gives no row.
     """
-    rows = shared.cut(_units(vectors).withColumn("key", F.xxhash64("label", "unit")))
+    rows = shared.cut(_units(vectors).withColumns({"k1": F.xxhash64("label", "unit"), "k2": F.xxhash64(F.lit(1), "unit", "label")}))
     good = rows.where("unit is not null")
     dims = {r["dim"]: r["count"] for r in good.groupBy(F.size("unit").alias("dim")).count().collect()}
     if not dims:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     common = max(dims, key=lambda dim: (dims[dim], -dim))
     distinct = shared.cut(
-        good.groupBy("key", "label").agg(F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("low"))
+        good.groupBy("k1", "k2").agg(
+            F.xxhash64(F.first("label")).alias("label"), F.first("unit").alias("unit"), F.count("*").alias("n"), F.min("vec_id").alias("low")
+        ).withColumn("key", F.monotonically_increasing_id())
     )
-    share = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    share = F.pmod(F.xxhash64("k1", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     margin = reach / 2 + 1e-9 if margin is None else margin
     models, size = {}, F.size("unit")
-    own = distinct.select("key", F.col("label").cast("int").alias("label"), "unit")
+    own = distinct.select("key", "label", "unit")
     rare = own.where(~size.isin([dim for dim, n in dims.items() if dim == common or n > RARE]))
     roles = F.explode(F.array(F.lit(False), F.lit(True))).alias("query")
     placed = rare.select("key", "label", "unit", F.lit(0).alias("list"), roles)
     for dim, total in dims.items():
         if dim == common or total > RARE:
             some = distinct.where(size == dim)
-            got = np.array(some.where(share < sample / total).orderBy("key").select("unit").toPandas()["unit"].tolist() or
+            got = np.array(some.where(share < sample / total).orderBy("k1", "k2").select("unit").toPandas()["unit"].tolist() or
                            some.limit(1).select("unit").toPandas()["unit"].tolist())
-            models[dim] = fit(got, int(np.clip(np.sqrt(total) / 8, 1, 1024)))
+            models[dim] = fit(got, int(np.clip(np.sqrt(total) / 8, 1, sample // 10)))
             placed = placed.unionByName(own.where(size == dim).mapInArrow(
-                _assign(models[dim], margin), "key long, label int, unit array<double>, list int, query boolean"
+                _assign(models[dim], margin), "key long, label long, unit array<double>, list int, query boolean"
             ))
     placed = placed.withColumn("dim", size)
     placed = shared.cut(placed)
@@ -197,10 +200,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 20_0
     degree = both.join(mass, "b").groupBy(F.col("a").alias("key")).agg(F.sum("m").alias("linked"))
     roots = shared.connected_components(links).withColumnRenamed("node", "key")
     classes = distinct.join(degree, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    classes = shared.cut(classes.select("key", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "root", "low"))
+    classes = shared.cut(classes.select("k1", "k2", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), "root", "low"))
     lows = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(lows, "root").select(F.col("key").alias("k"), "n_links", "component_id")
-    out = rows.withColumn("k0", F.when(F.col("unit").isNotNull(), F.col("key"))).join(classes, F.col("k0") == F.col("k"), "left")
+    classes = classes.join(lows, "root").select("k1", "k2", "n_links", "component_id")
+    out = rows.select("vec_id", *[F.when(F.col("unit").isNotNull(), F.col(k)).alias(k) for k in ("k1", "k2")]).join(classes, ["k1", "k2"], "left")
     return out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"),
         F.col("vec_id").eqNullSafe(F.coalesce("component_id", "vec_id")).alias("kept"),
