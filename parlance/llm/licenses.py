@@ -61,7 +61,8 @@ def index(spark: SparkSession, templates: dict[str, str], k: int = 4, window: in
     t = spark.createDataFrame(sorted(templates.items()), "license string, text string")
     t = t.select("license", terms(F.col("text")).alias("w")).withColumn("m", F.size("w")).where("m > 0")
     runs = t.withColumn("pos", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("m") - k))))
-    runs = runs.select("license", "m", "pos", _run_hash(k).alias("h"))
+    short = F.coalesce(*[F.when(F.col("m") == j, _run_hash(j)) for j in range(1, k)], _run_hash(k))  # a template of less words is one run
+    runs = runs.select("license", "m", "pos", short.alias("h"))
     last = F.greatest(F.lit(0), F.col("m") - k)
     near = runs.alias("a").join(
         runs.select("license", F.col("pos").alias("pos2"), F.col("h").alias("h2")).alias("b"), "license"
@@ -71,14 +72,17 @@ def index(spark: SparkSession, templates: dict[str, str], k: int = 4, window: in
 
 
 def _run_hash(k: int) -> Column:
-    return F.xxhash64(*[F.get("w", F.col("pos") + j) for j in range(k)])
+    return F.xxhash64(F.lit(k), *[F.get("w", F.col("pos") + j) for j in range(k)])
 
 
-def candidates(docs: DataFrame, fingerprints: DataFrame, k: int = 4, band: int = 8) -> DataFrame:
-    """(doc_id, th, license, at, n): each diagonal with n fingerprints of a template, and those ``band`` to both sides; at may be negative."""
+def candidates(docs: DataFrame, fingerprints: DataFrame, ks: list[int], band: int = 8) -> DataFrame:
+    """Runs of each length of ks probe the index. (doc_id, th, license, at, n): each diagonal with n fingerprints of a template, and those ``band`` to both sides; at may be negative."""
     w = docs.select("doc_id", F.xxhash64("text").alias("th"), terms(F.col("text")).alias("w")).where("size(w) > 0")
-    runs = w.select("doc_id", "th", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - k))).alias("pos"))
-    runs = runs.select("doc_id", "th", F.col("pos").alias("dpos"), _run_hash(k).alias("h"))
+    runs = None
+    for k in ks:
+        at = w.where(F.size("w") >= k).select("doc_id", "th", "w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("pos"))
+        at = at.select("doc_id", "th", F.col("pos").alias("dpos"), _run_hash(k).alias("h"))
+        runs = at if runs is None else runs.unionByName(at)
     hits = runs.join(F.broadcast(fingerprints), "h").withColumn("b", F.col("dpos") - F.col("pos"))
     lines = hits.withColumn("at", F.explode(F.array(*[F.col("b") + x for x in (-band, 0, band)])))
     return lines.groupBy("doc_id", "th", "license", "at").agg(F.count_distinct("pos").cast("int").alias("n"))
@@ -144,13 +148,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: flo
     Spans count the document's words (runs of letters and digits, any case), the end excluded; spans of one template
     do not overlap, the fullest go first. Shorter templates inside longer ones are both reported. Null and wordless texts hold nothing; equal rows give one row, rows with
     equal ids and other texts one each. Extra columns are ignored; empty tables give no row. Runs of common words
-    that a template shares with at least window + k - 1 words in a row are always found.
+    that a template shares with at least window + k - 1 words in a row are always found, and templates of less words whole.
     """
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     words = {name: [w for w in _split(text)] for name, text in templates.items()}
-    found = shared.cut(candidates(docs, shared.cut(index(spark, templates, k, window)), k, band))
+    ks = sorted({min(k, len(w)) for w in words.values() if w} | {k})
+    found = shared.cut(candidates(docs, shared.cut(index(spark, templates, k, window)), ks, band))
     held = shared.cut(found.groupBy("doc_id", "th").agg(F.collect_list(F.struct("license", "at", "n")).alias("places")))
     texts = docs.withColumn("th0", F.xxhash64("text")).withColumnRenamed("doc_id", "d0")
     near = texts.join(shared.small(held), F.col("d0").eqNullSafe(F.col("doc_id")) & (F.col("th0") == F.col("th")))

@@ -104,7 +104,8 @@ def mix(
     sources is an array column, the sources that hold the document; null entries are a
     source of their own. Returns a row for each row of docs (doc_id, size, pattern, copies, taken),
     the sources' sizes and targets, and the flow. Null and wordless texts have size 0 and are
-    taken 0 words. Equal rows are chosen alike. An empty table gives no row. There may be at most
+    taken 0 words. Equal rows count one by one, so some of them may be taken once more than others. Extra columns are
+    ignored, whatever their names. An empty table gives no row. There may be at most
     ``max_patterns`` sets of sources; more raise an error, none is dropped.
     """
     spark = docs.sparkSession
@@ -132,9 +133,9 @@ def mix(
     )
     rows = rows.drop("sources").join(F.broadcast(quota), "pattern").withColumn("bucket", F.pmod("u", F.lit(BUCKETS)))
     chosen = _choose(rows)
+    copies = F.least(F.col("whole") + F.col("extra"), F.lit(max_copies))  # a row without words may be chosen beyond
     return (
-        chosen.select("doc_id", "size", "pattern", (F.col("whole") + F.col("extra")).alias("copies"),
-                      ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken")),
+        chosen.select("doc_id", "size", "pattern", copies.alias("copies"), (copies * F.col("size")).alias("taken")),
         sizes, targets, flow,
     )
 

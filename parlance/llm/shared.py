@@ -1,12 +1,13 @@
 """What several operators of this subpackage need: words, checkpoints, size-checked broadcasts, components.
 
 Nothing here collects rows of the input. Checkpoints go to the folder named by
-``spark.checkpoint.dir``, which all executors share; only where a session has no
+``spark.checkpoint.dir``, which all executors share; only where a local session has no
 such setting (tests) a temporary folder is set.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -20,16 +21,24 @@ WHITE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, set to a temporary one only where unset."""
+    """The folder that driver and executors share. A local session without one gets a temporary one; a cluster must name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
     return sc.getCheckpointDir()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate results, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def freeing_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within, a job's shuffle files go when it ends: its result is written, so nothing reads them again."""
@@ -66,8 +75,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield store
     finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
 
 
 def small(df: DataFrame, max_bytes: int = 32 << 20, width: int | Column = 64) -> DataFrame:

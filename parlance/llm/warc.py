@@ -171,4 +171,10 @@ def read(index: DataFrame, gap: int = 1 << 16, most: int = 8 << 20) -> DataFrame
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    return read(write(pages)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """What the archives say of each page, without html; the archives are deleted once they have been read."""
+    spark = pages.sparkSession
+    folder = f"{shared.shared_dir(spark)}/warc-{uuid4().hex}"
+    try:
+        return shared.cut(read(write(pages, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    finally:
+        shared.remove(spark, folder)

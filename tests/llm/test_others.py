@@ -43,6 +43,22 @@ def test_contained_equals_brute_force(spark):
     assert decontaminate.contained(docs(spark, rows), none).count() == 0 and decontaminate.decontaminate(docs(spark, []), none).count() == 0
 
 
+def test_size_partitions_have_bounds_of_their_own(spark):
+    items = [(1, "a lone pair"), (2, " ".join(f"w{i}" for i in range(60)))]
+    whole = decontaminate.item_shingles(spark.createDataFrame(items, "item_id long, text string"))
+    sketch = decontaminate.sketches(whole, 0.8)
+    tops = {(r.k, r.part): r.top for r in sketch.groupBy("k", "part").agg(F.max("h").alias("top")).collect()}
+    assert set(tops) == {(3, 0), (5, 5)} and sketch.where("item_id = 2").count() == 56 - 45 + 4
+    five = " ".join(f"x{i}" for i in range(2000))
+    docs_ = spark.createDataFrame([(7, 0, five.split())], "doc_id long, th long, w array<string>")
+    small = sketch.where("item_id = 2").unionByName(spark.createDataFrame([(3, 5, 0, 2**63 - 1)], "item_id long, k int, part int, h long"))
+    asked = {r.part: r.n for r in decontaminate.probes(docs_, small).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert asked[0] == 1996 and 0 < asked[5] < 0.6 * 1996  # the short item's bound does not lift that of the long one
+    long = " ".join(f"w{i}" for i in range(60) if i != 30)
+    got = decontaminate.contained(spark.createDataFrame([(1, f"{five} {long}"), (2, f"w1 w2 w3 w4 w5 w6 {five}")], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.n_shared) for r in got.collect()] == [(1, 2, 51)]
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 50)), ["a", "b", "c", "d", None][min(4, int(rng.random() ** 2 * 5))]) for i in range(800)] + [(900, None, "a"), (901, "x", "a"), (901, "x", "a")]
@@ -144,14 +160,53 @@ def test_classifiers_odd_rows(spark, module):
 
 
 def test_grammar_composes():
-    table, seeds = toxicity.composed(), toxicity.seed_symbols()
+    machine, seeds = toxicity.compose(toxicity.TRANSDUCERS), toxicity.seed_symbols()
 
     def best(text):
-        return toxicity._figures(text, {}, table, seeds)[1]
-
-    assert best("you idiot") > best("an idiot") > best("he said an idiot") > best("not an idiot") > best("a day") == 0
-    assert best("not so. an idiot") == best("an idiot")
-    assert toxicity._figures("I will kill you", {}, table, seeds)[4] > 0
+        return toxicity._figures(text, {}, machine, seeds)[0]
+
+    assert best("you idiot") == best("idiot, you") > best("an idiot") > best("he said an idiot") > best("not an idiot") > best("a day") == 0
+    assert best("not so. an idiot") == best("an idiot") and best("he said: an idiot") < best("he said. an idiot")
+    assert best("I will kill you") > best("to kill you") and toxicity._figures("I will kill you", {}, machine, seeds)[4] > 0
+
+
+def separate_machines(words, known):
+    """Each transducer run by itself over each clause; scores are put together afterwards."""
+    def runs(name, clause, start):
+        state, before = start, []
+        for w in clause:
+            before.append(state)
+            state = toxicity.TRANSDUCERS[name]["moves"][state][known.get(w, ("other", 0))[0]]
+        return before, state
+
+    out, clause, report = [], [], 0
+    for w in [*words, "."]:
+        if w not in toxicity.ENDS:
+            clause.append(w)
+            continue
+        at = {n: runs(n, clause, report if n == "report" else 0) for n in toxicity.TRANSDUCERS}
+        score = threat = plain = 0.0
+        for i, x in enumerate(clause):
+            symbol, weight = known.get(x, ("other", 0.0))
+            share = {"insult": 1.0, "threat": 1.0 if at["threat"][0][i] else 0.6}.get(symbol)
+            if share is not None:
+                scaled = weight * share * (0.35 if at["negation"][0][i] else 1) * (0.5 if at["report"][0][i] else 1)
+                score, threat, plain = score + scaled, threat + scaled * (symbol == "threat"), plain + weight
+        aim = 1.3 if at["target"][1] else 1.0
+        if plain:
+            out.append((score * aim, threat * aim, plain - score))
+        report, clause = (at["report"][1] if w == ":" else 0), []
+    return out
+
+
+def test_composed_machine_equals_the_separate_ones():
+    rng, machine, seeds = random.Random(12), toxicity.compose(toxicity.TRANSDUCERS), toxicity.seed_symbols()
+    vocabulary = [*rng.sample(sorted(seeds), 40), "idiot", "kill", "will", "you", "not", "said", *"abcd", "rotten", *".!:;:."]
+    for _ in range(400):
+        words = rng.choices(vocabulary, k=rng.randint(0, 40))
+        known = toxicity.known_words(words, {"rot": 1.5, "a$": 0.5}, seeds)
+        assert [pytest.approx(c) for c in toxicity.clauses(words, known, machine)] == separate_machines(words, known)
+    assert toxicity.known_words(["you", "not"], {"you": 5.0, "not": 5.0}, seeds) == {"you": ("target", 0.0), "not": ("negation", 0.0)}
 
 
 def test_quotes(spark):
@@ -220,6 +275,12 @@ def test_licenses_equal_brute_force(spark):
     assert (103, "MIT-line") in got and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_of_few_words_and_repeated_rows(spark):
+    text = "some words then public domain and more CC0 here"
+    got = licenses.scan(docs(spark, [(1, text), (1, text), (2, "domain public"), (3, "CC0")]), {"PD": "Public Domain", "CC0": "CC0", "none": "  "}).collect()
+    assert sorted((r.doc_id, r.license, r.span_start, r.span_end) for r in got) == [(1, "CC0", 7, 8), (1, "PD", 3, 5), (3, "CC0", 0, 1)]
+
+
 def test_licenses_find_every_copy(spark):
     mit = licenses._split(licenses.TEMPLATES["MIT"])
     quote, split, bsd = mit[: len(mit) * 65 // 100], list(mit), licenses._split(licenses.TEMPLATES["BSD-3-Clause"])
