@@ -1,14 +1,13 @@
 """The corpus pipeline: five stages over ``documents``, each reading what its predecessor wrote.
 
 A document is rejected if it is scored toxic, loses the lines that repeat earlier ones,
-stays only as the smallest id of its near-duplicate class, is dropped if it holds a
+stays only as the smallest id of its near-duplicate class (six of 64 bits over five-word shingles), is dropped if it holds a
 benchmark item, and is then mixed to the target weights of its source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +47,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, which keeps what it needs; the tables between the stages are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = f"{shared.shared_dir(spark)}/pipeline-{uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
-        docs = spark.read.parquet(f"{at}/{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with shared.scratch(spark) as store:
+        for _, stage in STAGES[:-1]:
+            docs = store(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)
