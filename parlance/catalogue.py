@@ -254,8 +254,8 @@ def quality_report_text(spark, sf_dir):
 
 _AR = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
 _SEED = "CASE " + " ".join(
-    f"WHEN doc_id % 16 = {n} THEN " + (lit(s) if n >= 8 else f"text || {lit(s)}") for n, s in adapters.SEEDS.items()
-) + " END"
+    f"WHEN doc_id % 16 = {n} THEN text || {lit(s)}" for n, s in adapters.SEEDS.items()
+) + " ELSE text END"
 _DOCS = f"""
 d AS (SELECT doc_id, {_SEED} AS text FROM documents),
 k AS (SELECT doc_id, text, length(regexp_replace(text, '[^{_AR}]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM d),
@@ -289,24 +289,15 @@ def script_language(spark, sf_dir):
     return adapters.documents(spark, sf_dir).select("doc_id", F.inline(F.array(script.language(F.col("text")))))
 
 
-@query(f"""WITH d AS (SELECT doc_id, {_SEED} AS text FROM documents WHERE doc_id % 16 >= 8),
-g AS (SELECT doc_id, regexp_extract_all(text, '(?s)(?:[^\\p{{L}}{_AR}]+|[{_AR}][^\\p{{Latin}}]*|\\p{{Latin}}(?:\\p{{Latin}}|[^\\p{{L}}{_AR}])*)') AS s FROM d)
-SELECT doc_id, list_transform(list_filter(s, lambda r: trim(r) <> ''), lambda r: r || '|' || CASE WHEN regexp_matches(r, '^[{_AR}]') THEN 'arabic' WHEN regexp_matches(r, '^\\p{{L}}') THEN 'latin' ELSE 'other' END) AS segments FROM g""")
-def script_segments(spark, sf_dir):
-    """Of the documents whose text is seeded as a whole, the only ones with several scripts."""
-    d = adapters.documents(spark, sf_dir).where("doc_id % 16 >= 8")
-    return d.select("doc_id", F.transform(script.segments(F.col("text")), lambda x: F.concat(x["text"], F.lit("|"), x["script"])).alias("segments"))
-
-
 _WHOLE_SEED = "CASE doc_id % 16 " + " ".join(f"WHEN {n} THEN {lit(s)}" for n, s in adapters.SEEDS.items()) + " ELSE '' END"
 
 
 @query(f"""WITH d AS (SELECT doc_id, text || {_WHOLE_SEED} AS text FROM documents),
 g AS (SELECT doc_id, regexp_extract_all(text, '[^\\p{{L}}{_AR}]+|[{_AR}][{_AR}\\P{{L}}]*|\\p{{L}}[^{_AR}]*') AS s FROM d)
 SELECT doc_id, list_transform(list_filter(s, lambda r: regexp_matches(r, '[^\\p{{Z}}\\x09-\\x0D\\x{{85}}]')), lambda r: r || '|' || CASE WHEN regexp_matches(r, '^[{_AR}]') THEN 'arabic' WHEN regexp_matches(r, '^\\p{{L}}') THEN 'latin' ELSE 'other' END) AS segments FROM g""")
-def script_segments_whole(spark, sf_dir):
+def script_segments(spark, sf_dir):
     """Of all documents: the whole stored texts with their seeds appended."""
-    d = adapters.whole_documents(spark, sf_dir)
+    d = adapters.documents(spark, sf_dir)
     return d.select("doc_id", F.transform(script.segments(F.col("text")), lambda x: F.concat(x["text"], F.lit("|"), x["script"])).alias("segments"))
 
 
@@ -385,11 +376,15 @@ p AS (SELECT conv_id AS session_id, turn, row_number() OVER (PARTITION BY conv_i
 t AS (SELECT session_id, turn, p, CASE session_id % 4 {by} END AS text FROM p)"""
 
 
+_WHOLE_TURNS = """
+t0 AS (SELECT session_id, t.turn, t.p, coalesce(c.text, '') || ' ' || t.text AS text FROM t JOIN conversations c ON c.conv_id = t.session_id AND c.turn = t.turn AND c.role = 'user')"""
+
+
 def _any(words: list[str]) -> str:
     return "(" + " OR ".join(f"contains(low, {lit(w)})" for w in words) + ")"
 
 
-_TURNS = f"""{_script_sql()},
+_READ = f"""
 low AS (SELECT *, lower(text) AS low FROM t),
 c AS (SELECT session_id, turn, p, text,
   CASE {" ".join(f"WHEN {_any(w)} THEN '{n}'" for n, w in extract.STATUS.items())} END AS employment_status,
@@ -403,12 +398,17 @@ c AS (SELECT session_id, turn, p, text,
   length(regexp_replace(text, '[^{_AR}]', '', 'g')) AS a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS l FROM low),
 cd AS (SELECT *, CASE WHEN a + l > 0 AND a / (a + l) >= 0.5 THEN 'ar' WHEN l > 0 THEN 'en' ELSE 'other' END AS detected FROM c)"""
 
+_TURNS = f"{_script_sql()},{_READ}"
+_WHOLE = f"{_script_sql()},{_WHOLE_TURNS},{_READ.replace('FROM t)', 'FROM t0)')}"
 _FIELDS = extract.FIELDS
 
 
-def _fsm_sql() -> str:
+def _fsm_sql(restart: bool = False) -> str:
     keep = ", ".join(f"CASE WHEN f.{x} IS NULL AND f.state IN ('collecting_info', 'clarifying') THEN n.{x} ELSE f.{x} END AS {x}" for x in _FIELDS)
     full = " AND ".join(f"g.{x} IS NOT NULL" for x in _FIELDS)
+    over = "state = 'completing'"
+    anew = f"""(SELECT session_id, p, CASE WHEN {over} THEN 'greeting' ELSE state END AS state, CASE WHEN {over} THEN 'en' ELSE language END AS language,
+      {", ".join(f"CASE WHEN {over} THEN NULL ELSE {x} END AS {x}" for x in _FIELDS)} FROM f) f"""
     return f"""{_TURNS},
 f AS (
   SELECT session_id, -1::BIGINT AS p, NULL::BIGINT AS turn, 'greeting' AS state, 'en' AS language, {", ".join(f"NULL::VARCHAR AS {x}" for x in _FIELDS)}
@@ -420,7 +420,7 @@ f AS (
     ELSE state END, language, {", ".join(_FIELDS)}
   FROM (SELECT f.session_id, n.p, n.turn, f.state, n.ambiguous, n.confirmed_ar, n.confirmed_en,
       CASE WHEN n.detected IN ('en', 'ar') THEN n.detected ELSE f.language END AS language, {keep}
-    FROM f JOIN cd n ON n.session_id = f.session_id AND n.p = f.p + 1) g)"""
+    FROM {anew if restart else "f"} JOIN cd n ON n.session_id = f.session_id AND n.p = f.p + 1) g)"""
 
 
 @query(f"WITH {_TURNS} SELECT session_id, turn, {', '.join(_FIELDS)} FROM cd")
@@ -433,6 +433,17 @@ def turn_flags(spark, sf_dir):
     return plan.features(adapters.turns(spark, sf_dir)).select("session_id", "turn", "ambiguous", "confirmed_en", "confirmed_ar", "detected")
 
 
+@query(f"WITH {_WHOLE} SELECT session_id, turn, {', '.join(_FIELDS)} FROM cd")
+def turn_fields_whole(spark, sf_dir):
+    """Of the whole stored texts with the scripts appended."""
+    return plan.features(adapters.whole_turns(spark, sf_dir)).select("session_id", "turn", *_FIELDS)
+
+
+@query(f"WITH {_WHOLE} SELECT session_id, turn, ambiguous, confirmed_en, confirmed_ar, detected FROM cd")
+def turn_flags_whole(spark, sf_dir):
+    return plan.features(adapters.whole_turns(spark, sf_dir)).select("session_id", "turn", "ambiguous", "confirmed_en", "confirmed_ar", "detected")
+
+
 @query(f"WITH RECURSIVE {_fsm_sql()} SELECT session_id, turn, state, language, {', '.join(_FIELDS)} FROM f WHERE p >= 0")
 def fsm_replay(spark, sf_dir):
     return plan.replay(plan.features(adapters.turns(spark, sf_dir)))
@@ -502,16 +513,16 @@ CASE WHEN employment_status IS NULL AND job_title IS NULL AND industry IS NULL A
  + (coalesce(employment_status, '') = 'employed' AND coalesce(hours_per_week::DOUBLE = 0, false) AND employment_type IS NOT NULL)::INTEGER END"""
 
 
-@query(f"""WITH RECURSIVE {_fsm_sql()}, {_emotion_sql('cd', 'session_id, p')},
+@query(f"""WITH RECURSIVE {_fsm_sql(restart=True)}, {_emotion_sql('cd', 'session_id, p')},
 o AS (SELECT f.*, cd.a, cd.l, cd.detected, act.state AS emotion, act.confidence AS ec, act.action FROM f JOIN cd ON cd.session_id = f.session_id AND cd.p = f.p
   JOIN act ON act.session_id = f.session_id AND act.p = f.p),
 w AS (SELECT session_id, turn, language, round(a / greatest(a + l, 1), 4) AS arabic_ratio, round(l / greatest(a + l, 1), 4) AS latin_ratio,
   a / greatest(a + l, 1) >= 0.1 AND l / greatest(a + l, 1) >= 0.1 AS code_switched, emotion, ec AS emotion_confidence, action AS survey_action, detected,
   state, array_to_string({_MISSING}, ',') AS missing_fields, {_CHECK} AS n_errors FROM o)
 SELECT session_id, turn, language, arabic_ratio, latin_ratio, code_switched, emotion, emotion_confidence, survey_action,
- {_PROMPTS.replace("CASE state", "CASE emotion")} AS adapted_prompt, state, missing_fields, n_errors = 0 AS is_valid, n_errors FROM w""")
+ {_PROMPTS.replace("CASE state", "CASE emotion")} AS adapted_prompt, state, missing_fields, n_errors = 0 AS is_valid, n_errors, state = 'completing' AS session_completed FROM w""")
 def turn_results(spark, sf_dir):
-    return plan.results(adapters.turns(spark, sf_dir))
+    return plan.results(adapters.turns(spark, sf_dir)).drop("detected", "language_confidence", "entities")
 
 
 # --- occupations -----------------------------------------------------------------------------------------------
@@ -576,21 +587,25 @@ def occupation_hierarchy(spark, sf_dir):
 _CODES = "(SELECT list(code ORDER BY code) FROM dim WHERE level = 4)"
 
 
-@query(f"""WITH {_dimension_sql()}, {_KNN},
-r AS (SELECT query_id, {_CODES}[1 + (item_id * 7) % len({_CODES})] AS code, confidence, rank FROM k),
+@query(f"""WITH {_dimension_sql()},
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+i AS (SELECT vec_id AS item_id, {_CODES}[1 + (vec_id * 7) % len({_CODES})] AS code, embedding::DOUBLE[] AS x FROM embeddings),
+s AS (SELECT query_id, item_id, code, round(greatest(0.0, least(1.0, list_cosine_similarity(q, x))), 4) AS confidence FROM q, i),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, code, item_id) AS rank FROM s QUALIFY rank <= 10),
 kept AS (SELECT query_id, code, min_by(confidence, rank) AS confidence, min(rank) AS rank FROM r GROUP BY query_id, code),
 par AS (SELECT query_id, substr(code, 1, 2) AS code, round(max(confidence) * 0.85::DOUBLE, 4) AS confidence, min(rank) * 2 AS ord FROM kept GROUP BY ALL
   UNION ALL SELECT query_id, substr(code, 1, 1), round(max(confidence) * 0.70::DOUBLE, 4), min(rank) * 2 + 1 FROM kept GROUP BY query_id, substr(code, 1, 1)),
 par2 AS (SELECT * FROM par WHERE code IN (SELECT code FROM dim) AND (query_id, code) NOT IN (SELECT (query_id, code) FROM kept)),
 every AS (SELECT query_id, code, confidence, 'semantic' AS stage, 0 AS s, rank AS ord FROM kept UNION ALL SELECT query_id, code, confidence, 'hierarchical_expansion', 1, ord FROM par2),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, s, ord) AS rank FROM every QUALIFY rank <= 5)
-SELECT query_id, code, confidence, stage, rank, CASE WHEN max(s) OVER (PARTITION BY query_id) = 1 THEN 'hierarchical' ELSE 'semantic' END AS method FROM o""")
+SELECT query_id, code, confidence, stage, rank, CASE WHEN max(s) OVER (PARTITION BY query_id) = 1 THEN 'hierarchical' ELSE 'semantic_only' END AS method,
+(SELECT count(*) FROM r WHERE r.query_id = o.query_id) AS total_retrieved FROM o""")
 def occupation_expand(spark, sf_dir):
     d = tables.occupations(spark)
     codes = [r.code for r in d.where("level = 4").orderBy("code").collect()]  # the fixed dimension
     at = F.get(F.array(*map(F.lit, codes)), ((F.col("item_id") * 7) % len(codes)).cast("int"))
-    raw = _topk(spark, sf_dir).withColumn("code", at)
-    return occupation.expand(raw, d, 5)
+    queries, index = adapters.whole_vectors(spark, sf_dir)
+    return occupation.retrieve(queries, index.withColumn("code", at), d, 5)
 
 
 # --- replies ---------------------------------------------------------------------------------------------------

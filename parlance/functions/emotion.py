@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .script import bound
+
 STATES = ("stressed", "confused", "frustrated", "engaged")
 
 # Patterns by state, case ignored, in this order.
@@ -77,49 +81,59 @@ SUPPORT: dict[str, dict[str, str]] = {
     },
 }
 
-_ANY = "(?iU)" + "|".join(p for state in STATES for p in PATTERNS[state])
-_CAPS_WORD = r"^\p{L}{3,}$"
+#: What a word in capitals may consist of, a superset that is cheap to find.
+_CAPS_RUN = r"(?U)(?<!\S)[\p{L}&&[^a-z]]{3,}(?!\S)"
 
 
 def _caps(text: Column) -> Column:
-    return F.filter(
-        F.split(text, r"(?U)\s+"), lambda w: w.rlike(_CAPS_WORD) & (F.upper(w) == w) & (F.lower(w) != w)
-    )
+    """Words of three or more letters, all capitals."""
+    found = F.regexp_extract_all(text, F.lit(_CAPS_RUN), F.lit(0))
+    return F.filter(found, lambda w: (F.upper(w) == w) & (F.lower(w) != w))
 
 
-def _hit(text: Column, pattern: str) -> Column:
-    return text.rlike("(?iU)" + pattern)
+def stem(pattern: str) -> str:
+    """The longest run of letters and spaces that each match of a pattern must hold, in lower case: groups and optional letters are left out."""
+    bare = re.sub(r".\?", "|", re.sub(r"\([^)]*\)\??", "|", pattern.replace(r"\b", "|")))
+    return max(re.findall(r"[^|'\\]+", bare), key=len).lower()
 
 
-def scores(text: Column) -> Column:
-    """struct of a score for each state, 0 to 1 to four places.
+def _folded(text: Column) -> Column:
+    """Lower case; the two letters that only folding takes for ASCII ones replaced."""
+    return F.replace(F.replace(F.lower(text), F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
 
-    One pass with all patterns gates the single ones, so a text without any is searched once.
-    """
-    some = text.rlike(_ANY)
+
+def scores(text: Column) -> Column:
+    """struct of a score for each state, 0 to 1 to four places. A pattern is searched only where its stem occurs."""
     bang = F.when(text.rlike("!{3,}"), PUNCTUATION).otherwise(0.0)
     ask = F.when(text.rlike(r"\?{3,}"), PUNCTUATION).otherwise(0.0)
     caps = F.when(F.size(_caps(text)) >= 2, CAPS).otherwise(0.0)
-    extra = {"stressed": bang, "confused": ask, "frustrated": bang + caps, "engaged": F.lit(0.0)}
 
-    def state(name: str) -> Column:
-        hits = sum((_hit(text, p).cast("int") for p in PATTERNS[name]), F.lit(0))
-        words = F.when(some, hits * KEYWORD).otherwise(0.0)
-        return F.round(F.least(F.lit(1.0), words + extra[name]), 4).alias(name)
+    def all_states(b: Column) -> Column:
+        extra = {"stressed": b["bang"], "confused": b["ask"], "frustrated": b["bang"] + b["caps"], "engaged": F.lit(0.0)}
 
-    return F.struct(*map(state, STATES))
+        def state(name: str) -> Column:
+            hits = sum((F.when(b["low"].contains(stem(p)), b["text"].rlike("(?iU)" + p).cast("int")).otherwise(0) for p in PATTERNS[name]), F.lit(0))
+            return F.round(F.least(F.lit(1.0), hits * KEYWORD + extra[name]), 4).alias(name)
+
+        return F.struct(*map(state, STATES))
+
+    once = F.struct(text.alias("text"), _folded(text).alias("low"), bang.alias("bang"), ask.alias("ask"), caps.alias("caps"))
+    return F.when(text.isNotNull(), bound(once, all_states))
 
 
 def verdict(score: Column) -> Column:
     """struct(state, confidence, intensity) of a struct of scores: the first of the largest, neutral below the threshold."""
-    best = F.greatest(*(score[s] for s in STATES))
-    state = F.coalesce(*(F.when(score[s] == best, s) for s in STATES))
-    calm = best < THRESHOLD
-    return F.struct(
-        F.when(calm, "neutral").otherwise(state).alias("state"),
-        F.when(calm, 1.0).otherwise(F.least(best, F.lit(0.95))).alias("confidence"),
-        F.when(calm, 0.0).otherwise(F.least(best, F.lit(1.0))).alias("intensity"),
-    )
+    def of(x: Column) -> Column:
+        best = x["best"]
+        state = F.coalesce(*(F.when(x["score"][s] == best, s) for s in STATES))
+        calm = best < THRESHOLD
+        return F.struct(
+            F.when(calm, "neutral").otherwise(state).alias("state"),
+            F.when(calm, 1.0).otherwise(F.least(best, F.lit(0.95))).alias("confidence"),
+            F.when(calm, 0.0).otherwise(F.least(best, F.lit(1.0))).alias("intensity"),
+        )
+
+    return bound(bound(score, lambda x: F.struct(x.alias("score"), F.greatest(*(x[s] for s in STATES)).alias("best"))), of)
 
 
 def signals(text: Column) -> Column:
@@ -128,33 +142,44 @@ def signals(text: Column) -> Column:
     def signal(kind: str, found: Column, weight: float) -> Column:
         return F.struct(F.lit(kind).alias("type"), found.alias("text"), F.lit(weight).alias("weight"))
 
-    words = [F.when(_hit(text, p), signal("keyword", F.regexp_extract(text, "(?iU)" + p, 0), KEYWORD)) for s in STATES for p in PATTERNS[s]]
-    caps = _caps(text)
-    rest = [
-        F.when(text.rlike("!{3,}"), signal("punctuation", F.lit("!!!"), PUNCTUATION)),
-        F.when(text.rlike(r"\?{3,}"), signal("punctuation", F.lit("???"), PUNCTUATION)),
-        F.when(F.size(caps) >= 2, signal("caps", F.array_join(F.slice(caps, 1, 3), " "), CAPS)),
-    ]
-    gated = F.when(text.rlike(_ANY), F.array_compact(F.array(*words))).otherwise(F.array_compact(F.array(*(F.lit(None).cast("struct<type:string,text:string,weight:double>") for _ in range(1)))))
-    return F.concat(gated, F.array_compact(F.array(*rest)))
+    def found(b: Column) -> Column:
+        words = [
+            F.when(b["low"].contains(stem(p)), signal("keyword", F.regexp_extract(b["text"], "(?iU)" + p, 0), KEYWORD))
+            for s in STATES for p in PATTERNS[s]
+        ]
+        rest = [
+            F.when(b["text"].rlike("!{3,}"), signal("punctuation", F.lit("!!!"), PUNCTUATION)),
+            F.when(b["text"].rlike(r"\?{3,}"), signal("punctuation", F.lit("???"), PUNCTUATION)),
+            F.when(F.size(b["caps"]) >= 2, signal("caps", F.array_join(F.slice(b["caps"], 1, 3), " "), CAPS)),
+        ]
+        return F.array(*words, *rest)
+
+    once = F.struct(text.alias("text"), _folded(text).alias("low"), _caps(text).alias("caps"))
+    return F.when(text.isNotNull(), F.filter(bound(once, found), lambda x: x["text"] != ""))
+
+
+# Action and reason by state, for a strong and for a mild degree.
+ACTIONS: dict[str, tuple[tuple[str, str], tuple[str, str]]] = {
+    "confused": (("pause", "Significant confusion detected; offer a short break or clarification."),
+                 ("slow_down", "Mild confusion detected; simplify the question wording.")),
+    "stressed": (("pause", "High stress detected; offer a short break."),
+                 ("slow_down", "Mild stress detected; proceed more gently and reassure the respondent.")),
+    "frustrated": (("end", "Significant frustration detected; recommend ending the session respectfully."),
+                   ("slow_down", "Mild frustration detected; acknowledge feelings and simplify.")),
+}
+CALM = ("continue", "Respondent is calm and cooperative; proceed normally.")
 
 
 def action(state: Column, intensity: Column) -> Column:
     """struct(action, reason) for a state and its intensity."""
 
-    def to(name: str, reason: str) -> Column:
-        return F.struct(F.lit(name).alias("action"), F.lit(reason).alias("reason"))
-
-    strong = intensity >= STRONG
-    return (
-        F.when((state == "confused") & strong, to("pause", "Significant confusion detected; offer a short break or clarification."))
-        .when(state == "confused", to("slow_down", "Mild confusion detected; simplify the question wording."))
-        .when((state == "stressed") & strong, to("pause", "High stress detected; offer a short break."))
-        .when(state == "stressed", to("slow_down", "Mild stress detected; proceed more gently and reassure the respondent."))
-        .when((state == "frustrated") & strong, to("end", "Significant frustration detected; recommend ending the session respectfully."))
-        .when(state == "frustrated", to("slow_down", "Mild frustration detected; acknowledge feelings and simplify."))
-        .otherwise(to("continue", "Respondent is calm and cooperative; proceed normally."))
-    )
+    def to(pair: tuple[str, str]) -> Column:
+        return F.struct(F.lit(pair[0]).alias("action"), F.lit(pair[1]).alias("reason"))
+
+    out = to(CALM)
+    for name, (strong, mild) in ACTIONS.items():
+        out = F.when(state == name, F.when(intensity >= STRONG, to(strong)).otherwise(to(mild))).otherwise(out)
+    return out
 
 
 def message(table: dict[str, dict[str, str]], state: Column, lang: str | Column) -> Column:

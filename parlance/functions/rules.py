@@ -15,33 +15,41 @@ _NUMBER = r"^[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]
 _SPECIAL = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
 
-def number(text: Column) -> Column:
-    """A double where the text is a number, Arabic digits and grouped underscores allowed; else null. Never raises."""
-    ascii_digits = F.translate(stripped(text), "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
-    special = F.regexp_replace(F.lower(ascii_digits), "^[+]", "")
-    return F.when(ascii_digits.rlike(_NUMBER), F.regexp_replace(ascii_digits, "_", "").try_cast("double")).when(
-        ascii_digits.rlike(_SPECIAL),
+def number(bare: Column) -> Column:
+    """A double where a text without outer white space, its digits ASCII, is a number, grouped underscores allowed; else null. Never raises."""
+    special = F.regexp_replace(F.lower(bare), "^[+]", "")
+    return F.when(bare.rlike("^[0-9]{1,15}$"), bare.try_cast("double")).when(
+        bare.rlike(_NUMBER), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double")
+    ).when(
+        bare.rlike(_SPECIAL),
         F.when(special.contains("nan"), F.lit(float("nan"))).when(special.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))),
     )
 
 
 def normalised(records: DataFrame) -> DataFrame:
-    """Fields without outer white space (null as empty), status and type in lower case, hours cut to whole numbers where possible."""
+    """Fields without outer white space (null as empty), status and type in lower case, hours cut to whole numbers where possible.
+
+    ``hours_value`` is added: the hours as a number, null where they are none. Each step is a column of its own, so it is computed once.
+    """
     def bare(c: str) -> Column:
         return stripped(F.coalesce(F.col(c).cast("string"), F.lit("")))
 
-    whole = number(F.col("hours_per_week").cast("string"))
-    whole = F.when(~F.isnan(whole), whole).try_cast("bigint").cast("string")
     out = {c: bare(c) for c in (*ALWAYS, *IF_EMPLOYED)}
     out |= {c: F.lower(out[c]) for c in ("employment_status", "employment_type")}
-    out["hours_per_week"] = F.coalesce(whole, out["hours_per_week"])
-    return records.withColumns(out)
+    rows = records.withColumns(out)
+    rows = rows.withColumn("_digits", F.translate("hours_per_week", "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"))
+    rows = rows.withColumn("_number", number(F.col("_digits")))
+    rows = rows.withColumn("_whole", F.when(~F.isnan("_number"), F.col("_number")).try_cast("bigint"))
+    return rows.withColumns({
+        "hours_per_week": F.coalesce(F.col("_whole").cast("string"), "hours_per_week"),
+        "hours_value": F.coalesce(F.col("_whole").cast("double"), "_number"),
+    }).drop("_digits", "_number", "_whole")
 
 
 def violations(records: DataFrame) -> Column:
     """array<struct<rule_id, field, severity, message_en, message_ar>> of a normalised record, in the order of the rules."""
     status, kind, title, raw = (F.col(c) for c in ("employment_status", "employment_type", "job_title", "hours_per_week"))
-    h = number(raw)
+    h = F.col("hours_value")
     usable = h.isNotNull() & ~F.isnan(h)
     shown = F.when(F.abs(h) == float("inf"), F.lower(raw)).otherwise(F.format_string("%.0f", h))
     employed = status == "employed"

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Arabic blocks, digits and punctuation included.
-ARABIC = r"؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿"
+ARABIC = r"\x{0600}-\x{06FF}\x{0750}-\x{077F}\x{08A0}-\x{08FF}\x{FB50}-\x{FDFF}\x{FE70}-\x{FEFF}"
 SWITCH_SHARE = 0.10
+SECOND_CHOICE = 0.30
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
 
 
 def stripped(text: Column) -> Column:
@@ -44,6 +52,23 @@ def language(text: Column) -> Column:
     ).when(b > 0, _lang("en", 1 - share)).otherwise(_lang("other", F.lit(0.5)))
 
 
+def detected(found: Column, text: Column) -> Column:
+    """struct(language, confidence) from a detector's guesses, array<struct<language, probability>> with the surest first; null where it failed.
+
+    English or Arabic at the top is taken, else Arabic, then English, from a probability of 0.30; else the scripts decide.
+    """
+    def of(name: str) -> Column:
+        return F.get(F.filter(found, lambda g: (g["language"] == name) & (g["probability"] >= SECOND_CHOICE)), 0)["probability"]
+
+    top = F.get(found, 0)
+
+    def taken(name: str, confidence: Column) -> Column:
+        return F.struct(F.lit(name).alias("language"), F.round(confidence, 4).alias("confidence"))
+
+    return F.coalesce(*(F.when(top["language"] == x, taken(x, top["probability"])) for x in ("ar", "en")),
+                      *(F.when(of(x).isNotNull(), taken(x, of(x))) for x in ("ar", "en")), language(text))
+
+
 def _lang(name: str, confidence: Column) -> Column:
     return F.struct(F.lit(name).alias("language"), F.round(confidence, 4).alias("confidence"))
 

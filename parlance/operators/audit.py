@@ -122,5 +122,10 @@ def data_access(rows: DataFrame, now: datetime, retention_days: int = RETENTION_
     return rows.withColumns({"timestamp": F.lit(now).cast("timestamp_ntz"), "retained_until": F.lit(now + timedelta(days=retention_days)).cast("timestamp_ntz")})
 
 
+def shortened(text: Column, most: int = 200) -> Column:
+    """What the decision log keeps of a message: its first ``most`` characters, none of a null."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, most)
+
+
 def with_iso_time(log: DataFrame, column: str = "timestamp") -> DataFrame:
     return log.withColumn(column, F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"))

@@ -60,6 +60,17 @@ def live(sessions: DataFrame, as_of: datetime, ttl: int = TTL_SECONDS) -> DataFr
     return sessions.where(F.col("last_updated") > F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(float(ttl))))
 
 
+def saved(sessions: DataFrame, changes: DataFrame, now: datetime) -> DataFrame:
+    """sessions (session_id, state, created_at, last_updated) with changes (session_id, state) over them: the time of creation stays, new ones begin now."""
+    at = F.lit(now).cast("timestamp_ntz")
+    new = changes.select(F.col("session_id").alias("_s"), F.col("state").alias("_state"))
+    out = sessions.join(new, F.col("session_id") == F.col("_s"), "full")
+    return out.select(
+        F.coalesce("session_id", "_s").alias("session_id"), F.coalesce("_state", "state").alias("state"), F.coalesce("created_at", at).alias("created_at"),
+        F.when(F.col("_s").isNotNull(), at).otherwise(F.col("last_updated")).alias("last_updated"),
+    )
+
+
 def append_turn(turns: DataFrame, rows: DataFrame) -> DataFrame:
     """The turn log grows only; nothing overwrites it."""
     return turns.unionByName(rows, allowMissingColumns=True)

@@ -92,7 +92,20 @@ def expand(raw: DataFrame, dimension: DataFrame, k: int = 5) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "s", "ord")
     out = every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     grown = F.max("s").over(Window.partitionBy("query_id")) == 1
-    return out.withColumn("method", F.when(grown, "hierarchical").otherwise("semantic")).drop("s", "ord")
+    return out.withColumn("method", F.when(grown, "hierarchical").otherwise("semantic_only")).drop("s", "ord")
+
+
+def retrieve(queries: DataFrame, index: DataFrame, dimension: DataFrame, k: int = 5) -> DataFrame:
+    """Twice the clamped k are retrieved, parents added, k kept: (query_id, code, confidence, stage, rank, method, total_retrieved).
+
+    A query without candidates gives one row with a null code, no matches and the method semantic_only.
+    """
+    k = clamped_k(k)
+    raw = top_k(queries, index, 2 * k)
+    found = raw.groupBy("query_id").agg(F.count("*").alias("total_retrieved"))
+    out = expand(raw, dimension, k).join(found, "query_id")
+    none = queries.select("query_id").join(found, "query_id", "left_anti")
+    return out.unionByName(none.withColumns({"method": F.lit("semantic_only"), "total_retrieved": F.lit(0).cast("long")}), allowMissingColumns=True)
 
 
 def explained(matches: DataFrame, dimension: DataFrame, replies: Column) -> DataFrame:

@@ -46,6 +46,11 @@ def open_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.where(F.col("status") != "completed")
 
 
+def gated(sessions: DataFrame) -> DataFrame:
+    """sessions with the outcome of a change to each: conflict where it is completed, else accepted."""
+    return sessions.withColumn("outcome", F.when(F.col("status") == "completed", "conflict").otherwise("accepted"))
+
+
 def create(table: DataFrame, rows: DataFrame) -> DataFrame:
     return table.unionByName(rows, allowMissingColumns=True)
 

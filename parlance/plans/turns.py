@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import emotion, extract, rules, script
-from ..operators import memory
+from ..operators import audit, memory, quality
 
 STATES = ("greeting", "collecting_info", "clarifying", "validating", "completing")
 #: What a turn must bring to the fold, besides its place.
@@ -16,6 +16,9 @@ TURN = (
 )
 
 
+KIND = "struct<state:string,language:string," + ",".join(f"{f}:string" for f in extract.FIELDS) + ">"
+
+
 def features(turns: DataFrame, text: str = "text") -> DataFrame:
     """turns(session_id, turn, text) with field candidates, predicates and the detected language; all without a shuffle."""
     t = F.coalesce(F.col(text), F.lit(""))
@@ -25,42 +28,50 @@ def features(turns: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-def _step(acc: Column, x: Column) -> Column:
-    state = acc["state"]
-    lang = F.when(x["detected"].isin("en", "ar"), x["detected"]).otherwise(acc["language"])
-    reads = state.isin("collecting_info", "clarifying")
-    got = {f: F.when(acc[f].isNull() & reads, x[f]).otherwise(acc[f]) for f in extract.FIELDS}
-    full = got["employment_status"].isNotNull()
-    for f in extract.FIELDS[1:]:
-        full = full & got[f].isNotNull()
-    agreed = F.when(lang == "ar", x["confirmed_ar"]).otherwise(x["confirmed_en"])
-    new = (
-        F.when(state == "greeting", "collecting_info")
-        .when((state == "collecting_info") & x["ambiguous"], "clarifying")
-        .when((state == "collecting_info") & full, "validating")
-        .when(state == "clarifying", "collecting_info")
-        .when(state == "validating", F.when(agreed, "completing").otherwise("collecting_info"))
-        .otherwise(state)
-    )
-    return F.struct(new.alias("state"), lang.alias("language"), *[got[f].alias(f) for f in extract.FIELDS])
+def _step(acc: Column, x: Column, restart: bool = False) -> Column:
+    """The state after a turn x. Fields first, then the new state, each bound once."""
+    def fields(a: Column) -> Column:
+        lang = F.when(x["detected"].isin("en", "ar"), x["detected"]).otherwise(a["language"])
+        reads = a["state"].isin("collecting_info", "clarifying")
+        got = [F.when(a[f].isNull() & reads, x[f]).otherwise(a[f]).alias(f) for f in extract.FIELDS]
+        return F.struct(a["state"].alias("state"), lang.alias("language"), *got)
+
+    def moved(g: Column) -> Column:
+        state, full = g["state"], F.lit(True)
+        for f in extract.FIELDS:
+            full = full & g[f].isNotNull()
+        agreed = F.when(g["language"] == "ar", x["confirmed_ar"]).otherwise(x["confirmed_en"])
+        new = (
+            F.when(state == "greeting", "collecting_info")
+            .when((state == "collecting_info") & x["ambiguous"], "clarifying")
+            .when((state == "collecting_info") & full, "validating")
+            .when(state == "clarifying", "collecting_info")
+            .when(state == "validating", F.when(agreed, "completing").otherwise("collecting_info"))
+            .otherwise(state)
+        )
+        return F.struct(new.alias("state"), g["language"].alias("language"), *[g[f].alias(f) for f in extract.FIELDS])
+
+    if restart:  # a completed session's context is dropped, so its next turn begins anew
+        acc = F.when(acc["state"] == "completing", _start("en").cast(KIND)).otherwise(acc)
+    return script.bound(script.bound(acc, fields), moved)
 
 
 def _start(language: str) -> Column:
     return F.struct(F.lit("greeting").alias("state"), F.lit(language).alias("language"), *[F.lit(None).cast("string").alias(f) for f in extract.FIELDS])
 
 
-def replay(feats: DataFrame, key: str = "session_id", language: str = "en") -> DataFrame:
+def replay(feats: DataFrame, key: str = "session_id", language: str = "en", restart: bool = False) -> DataFrame:
     """(session_id, turn, state, language, fields...) after every turn: first values win, fields are read while collecting or clarifying.
 
     One shuffle by session brings the turns' small structs together (never their texts); they are ordered and folded once.
+    With ``restart`` a turn after the completing one begins a new interview, as where the session's context is dropped then.
     """
     names = [c.split()[0] for c in TURN.split(", ")]
     ordered = F.array_sort(F.collect_list(F.struct(*names)))
-    kind = "struct<" + "state:string,language:string," + ",".join(f"{f}:string" for f in extract.FIELDS) + ">"
-    start = F.struct(_start(language).cast(kind).alias("now"), F.array().cast(f"array<struct<turn:bigint,at:{kind}>>").alias("log"))
+    start = F.struct(_start(language).cast(KIND).alias("now"), F.array().cast(f"array<struct<turn:bigint,at:{KIND}>>").alias("log"))
 
     def fold(acc: Column, x: Column) -> Column:
-        now = _step(acc["now"], x).cast(kind)
+        now = _step(acc["now"], x, restart).cast(KIND)
         return F.struct(now.alias("now"), F.concat(acc["log"], F.array(F.struct(x["turn"].cast("bigint").alias("turn"), now.alias("at")))).alias("log"))
 
     out = feats.groupBy(key).agg(F.aggregate(ordered, start, fold).alias("f"))
@@ -70,14 +81,16 @@ def replay(feats: DataFrame, key: str = "session_id", language: str = "en") -> D
 def final(feats: DataFrame, key: str = "session_id", language: str = "en") -> DataFrame:
     """One row for each session: its last state."""
     names = [c.split()[0] for c in TURN.split(", ")]
-    kind = "struct<" + "state:string,language:string," + ",".join(f"{f}:string" for f in extract.FIELDS) + ">"
     ordered = F.array_sort(F.collect_list(F.struct(*names)))
-    out = feats.groupBy(key).agg(F.aggregate(ordered, _start(language).cast(kind), lambda a, x: _step(a, x).cast(kind)).alias("f"), F.count("*").alias("n_turns"))
+    out = feats.groupBy(key).agg(F.aggregate(ordered, _start(language).cast(KIND), lambda a, x: _step(a, x).cast(KIND)).alias("f"), F.count("*").alias("n_turns"))
     return out.select(key, "n_turns", "f.*")
 
 
 def results(turns: DataFrame, language: str = "en") -> DataFrame:
-    """The turn result of every turn: language, scripts, emotion and action, state, collected and missing fields, validation.
+    """The turn result of every turn: language, scripts, emotion and action, state, missing fields, validation, completion.
+
+    Where turns have ``entities`` (of a provider's reply), they are kept and counted; without them there are none. The context of
+    a completed session is dropped, so a later turn begins anew.
 
     Features, emotion and validation are columns; the only shuffles are those of the fold and of its join back.
     """
@@ -85,9 +98,12 @@ def results(turns: DataFrame, language: str = "en") -> DataFrame:
     a, lat = script.ratios(t)
     own = features(turns).withColumns({
         "arabic_ratio": F.round(a, 4), "latin_ratio": F.round(lat, 4), "code_switched": script.code_switched(t),
-        "verdict": emotion.verdict(emotion.scores(t)),
+        "verdict": emotion.verdict(emotion.scores(t)), "language_confidence": script.language(t)["confidence"],
     })
-    after = replay(own, language=language).withColumnsRenamed({f: f"c_{f}" for f in extract.FIELDS} | {"session_id": "_s", "turn": "_t"})
+    none = F.array().cast("array<struct<text:string,label:string,language:string>>")
+    if "entities" not in turns.columns:
+        own = own.withColumn("entities", none)
+    after = replay(own.drop("text"), language=language, restart=True).withColumnsRenamed({f: f"c_{f}" for f in extract.FIELDS} | {"session_id": "_s", "turn": "_t"})
     out = own.drop(*extract.FIELDS).join(after, (F.col("session_id") == F.col("_s")) & (F.col("turn") == F.col("_t"))).drop("_s", "_t")
     out = out.withColumnsRenamed({f"c_{f}": f for f in extract.FIELDS})
     data = F.map_filter(F.create_map(*[x for f in extract.FIELDS for x in (F.lit(f), F.col(f))]), lambda _, v: v.isNotNull())
@@ -102,5 +118,35 @@ def results(turns: DataFrame, language: str = "en") -> DataFrame:
         emotion.action(F.col("verdict.state"), F.col("verdict.intensity"))["action"].alias("survey_action"),
         emotion.message(emotion.PROMPTS, F.col("verdict.state"), F.col("detected")).alias("adapted_prompt"), "state",
         F.array_join("missing_fields", ",").alias("missing_fields"), (empty | (F.col("_n") == 0)).alias("is_valid"),
-        F.when(empty, 0).otherwise(F.col("_n")).alias("n_errors"),
+        F.when(empty, 0).otherwise(F.col("_n")).alias("n_errors"), (F.col("state") == "completing").alias("session_completed"),
+        F.col("detected").alias("detected"), F.col("language_confidence"), F.coalesce(F.col("entities"), none).alias("entities"),
     )
+
+
+def audit_rows(results: DataFrame, turns: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
+    """(interactions, decisions) that a turn leaves in the logs: what was said is cut to 200 characters; a completion is an event of its own."""
+    now = F.lit(as_of).cast("timestamp_ntz").alias("timestamp")
+    said = F.format_string("Turn in state '%s'; lang=%s; emotion=%s", "state", "detected", "emotion")
+    sent = results.select("session_id", "turn", F.lit("message_sent").alias("event_type"), said.alias("description"), now)
+    done = results.where("session_completed").select(
+        "session_id", "turn", F.lit("session_completed").alias("event_type"), F.lit("Survey session completed by ConversationManager FSM.").alias("description"), now)
+    heard = turns.select(F.col("session_id").alias("_s"), F.col("turn").alias("_t"), audit.shortened(F.col("text")).alias("input_summary"))
+    both = results.join(heard, (F.col("session_id") == F.col("_s")) & (F.col("turn") == F.col("_t")))
+    switched = F.when(F.col("code_switched"), "True").otherwise("False")
+    decisions = both.select(
+        "session_id", "turn", F.lit("LanguageProcessor").alias("agent_name"), F.lit("language_detection").alias("decision_type"), "input_summary",
+        F.format_string("lang=%s, code_switched=%s, entities=%d", "detected", switched, F.size("entities")).alias("output_summary"),
+        F.col("language_confidence").alias("confidence"), now,
+    )
+    return sent.unionByName(done), decisions
+
+
+def occupation_matches(results: DataFrame, classified: DataFrame) -> DataFrame:
+    """(session_id, turn, job_title, code, confidence, method): each job title among a turn's entities with its class; classified is (text, code, confidence, method)."""
+    titles = results.select("session_id", "turn", F.explode(F.filter("entities", lambda e: e["label"] == "JOB_TITLE")).alias("e"))
+    return titles.select("session_id", "turn", F.col("e.text").alias("job_title")).join(classified, F.col("job_title") == F.col("text")).drop("text")
+
+
+def quality_reports(results: DataFrame, responses: DataFrame) -> DataFrame:
+    """The quality review of each session that completes; one whose review has no responses is escalated."""
+    return quality.review(results.where("session_completed").select("session_id"), responses)

@@ -14,7 +14,7 @@ WINDOW = (datetime(2024, 1, 10), datetime(2024, 1, 20))
 RETENTION_DAYS = 15
 ACCESS = {"view": "read", "click": "write", "purchase": "export", "signup": "anonymize", "error": "delete"}
 
-#: Text seeds by id % 16: below 8 appended, from 8 in place of the text.
+#: Text seeds by id % 16, appended to the stored text.
 SEEDS: dict[int, str] = {
     0: "", 1: " I am stressed and overwhelmed", 2: " لا أفهم ???", 3: " enough!!! THIS SURVEY WRONG", 4: " of course, happy to help",
     5: " أنا software engineer في البنك", 6: " I am employed full time 40 hours as a nurse in a hospital", 7: " yes",
@@ -65,20 +65,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seeded(df: DataFrame, key: str) -> DataFrame:
-    """df(key, text) with seeds in the texts, so that Arabic script and survey words occur."""
-    k = F.col(key) % 16
-    text = F.col("text")
-    for n, s in SEEDS.items():
-        text = F.when(k == n, F.lit(s) if n >= 8 else F.concat("text", F.lit(s))).otherwise(text)
-    return df.withColumn("text", text)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-
-
-def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of all documents, their whole stored texts with the seed of doc_id % 16 appended."""
     seeds = F.array(*[F.lit(SEEDS[n]) for n in range(16)])
     at = (F.col("doc_id") % 16).cast("int")
@@ -103,6 +90,13 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumn("p", p).select(F.col("conv_id").alias("session_id"), "turn", line_of(F.col("conv_id"), F.col("p")).alias("text"))
 
 
+def whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, turn, text): the user's turns, what the script says appended to their whole stored texts."""
+    stored = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("stored"))
+    both = turns(spark, sf_dir).join(stored, ["session_id", "turn"])
+    return both.select("session_id", "turn", F.concat(F.coalesce("stored", F.lit("")), F.lit(" "), "text").alias("text"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Occupation queries (vec_id < 20) and index (vec_id >= 10) from embeddings; codes are the labels."""
     e = read(spark, sf_dir, "embeddings")

@@ -33,6 +33,11 @@ def occupations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "code string, level int, title_en string, title_ar string, description string")
 
 
+def size(df: DataFrame) -> DataFrame:
+    """One row: the exact number of rows n."""
+    return df.agg(F.count("*").alias("n"))
+
+
 def documents_as_json(df: DataFrame, key: str, column: str = "doc") -> DataFrame:
     """One JSON document for each key, as a key-value store keeps it."""
     return df.select(key, F.to_json(F.struct(*[c for c in df.columns if c != key])).alias(column))

@@ -39,7 +39,7 @@ def step(now: dict, turn: dict) -> dict:
 def replay(turns: DataFrame, language: str = "en", ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """A stream of turns(session_id, turn, text) to a row after every turn. Within a batch a session's rows are ordered by turn.
 
-    A completed session keeps its state until it expires, so later turns still see it; the time to live runs from the last write.
+    A completed session's state is dropped, so a later turn begins anew; the time to live runs from the last write.
     """
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -47,14 +47,18 @@ def replay(turns: DataFrame, language: str = "en", ttl_seconds: int = TTL_SECOND
             state.remove()
             return
         names = ["state", "language", *FIELDS]
-        now = dict(zip(names, state.get if state.exists else ("greeting", language, *[None] * len(FIELDS)), strict=True))
+        start = ("greeting", language, *[None] * len(FIELDS))
+        now = dict(zip(names, state.get if state.exists else start, strict=True))
         rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
         out = []
         for turn in rows.astype(object).where(rows.notna(), None).to_dict("records"):
-            now = step(now, turn)
+            now = step(dict(zip(names, start, strict=True)) if now["state"] == "completing" else now, turn)
             out.append({"session_id": key[0], "turn": turn["turn"], **now})
-        state.update(tuple(now[n] for n in names))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        if now["state"] != "completing":
+            state.update(tuple(now[n] for n in names))
+            state.setTimeoutDuration(ttl_seconds * 1000)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out)
 
     return features(turns).drop("text").groupBy("session_id").applyInPandasWithState(run, OUTPUT, STATE, "update", "ProcessingTimeTimeout")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from parlance import catalogue
+from parlance import catalogue, catalogue_records  # noqa: F401
 
 from .conftest import sql_differences
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parlance import catalogue
 from parlance.functions import emotion, extract, replies, rules, script
 from parlance.operators import audit, memory, occupation, quality, sessions
+from parlance.plans import turns as plan
 from parlance.sources import adapters, providers, tables
 
 
@@ -55,7 +56,7 @@ def test_segments_of_long_texts(spark):
 def test_whole_documents_keep_every_row_and_text(spark, tmp_path):
     rows = [(i, f"stored text {i} " * 900) for i in range(-1, 32)] + [(40, None), (None, "no id")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.segments for r in catalogue.script_segments_whole(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.segments for r in catalogue.script_segments(spark, str(tmp_path)).collect()}
     assert len(got) == len(rows) and got[40] is None
     for i, text in rows:
         if text is not None:
@@ -194,12 +195,41 @@ def expanded(spark, codes, k=5):
 def test_expansion(spark):
     assert expanded(spark, [("2512", 0.8)]) == [("2512", 0.8, "semantic", "hierarchical"), ("25", 0.68, "hierarchical_expansion", "hierarchical"), ("2", 0.56, "hierarchical_expansion", "hierarchical")]
     assert [x[:2] for x in expanded(spark, [("9411", 0.8)])] == [("9411", 0.8), ("9", 0.56)]
-    assert expanded(spark, [("2512", 0.8)], k=1) == [("2512", 0.8, "semantic", "semantic")]
+    assert expanded(spark, [("2512", 0.8)], k=1) == [("2512", 0.8, "semantic", "semantic_only")]
     path = occupation.with_path(spark.createDataFrame([("9411",)], "code string"), tables.occupations(spark)).first()
     assert path.sub_major_title_en == "Unknown" and path.major_code == "9"
     assert tables.occupations(spark).count() == 124 and occupation.clamped_k(0) == 1 and occupation.clamped_k(50) == 10
 
 
+def test_retrieval_takes_twice_k_and_reports_none(spark):
+    rows = [(i, f"{i}", [1.0, float(i)]) for i in range(30)]
+    index = spark.createDataFrame(rows, "item_id long, code string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 5.0])], "query_id long, embedding array<double>")
+    dim = tables.occupations(spark)
+    got = occupation.retrieve(q, index, dim, 3).collect()
+    assert len(got) == 3 and {r.total_retrieved for r in got} == {6} and {r.method for r in got} == {"semantic_only"}
+    assert occupation.retrieve(q, index, dim, 99).first().total_retrieved == 20
+    none = occupation.retrieve(q, index.where("false"), dim).collect()
+    assert [(r.code, r.total_retrieved, r.method) for r in none] == [(None, 0, "semantic_only")]
+
+
+def test_turns_leave_audit_rows_matches_and_reports(spark):
+    ent = "array<struct<text:string,label:string,language:string>>"
+    long = "I am employed full time 40 hours as a nurse in a hospital" + " and so on" * 40
+    said = ["hello there", long, "yes that is right", "thanks again"]
+    rows = [(1, i, t, [("nurse", "JOB_TITLE", "en")] if i == 1 else None) for i, t in enumerate(said)]
+    turns = spark.createDataFrame(rows, f"session_id long, turn long, text string, entities {ent}")
+    got = plan.results(turns)
+    assert [r.state for r in got.orderBy("turn").collect()] == ["collecting_info", "validating", "completing", "collecting_info"]
+    events, decisions = plan.audit_rows(got, turns, datetime(2024, 1, 1))
+    assert sorted(r.event_type for r in events.collect()) == ["message_sent"] * 4 + ["session_completed"]
+    d = {r.turn: r for r in decisions.collect()}
+    assert d[1].input_summary == long[:200] and d[1].output_summary == "lang=en, code_switched=False, entities=1"
+    coded = spark.createDataFrame([("nurse", "2221", 0.95, "semantic")], "text string, code string, confidence double, method string")
+    assert [tuple(r) for r in plan.occupation_matches(got, coded).collect()] == [(1, 1, "nurse", "2221", 0.95, "semantic")]
+    assert [(r.session_id, r.status) for r in plan.quality_reports(got, spark.createDataFrame([], RESPONSES)).collect()] == [(1, "escalated")]
+
+
 def test_explanations(spark):
     df = spark.createDataFrame([("2512", '```json\n[{"code": "2512", "explanation_en": "a", "explanation_ar": "b"}, {"code": "2512", "explanation_en": "c"}]\n```'), ("2512", "junk")], "code string, r string")
     rows = occupation.explained(df, tables.occupations(spark), replies.explanations(F.col("r"))).collect()

@@ -18,5 +18,5 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     cols = ["session_id", "turn", "state", "language", "employment_status", "job_title", "industry", "hours_per_week", "employment_type"]
     got = sorted(map(str, spark.table("replayed").select(*cols).collect()))
-    want = sorted(map(str, plan.replay(plan.features(rows)).select(*cols).collect()))
+    want = sorted(map(str, plan.replay(plan.features(rows), restart=True).select(*cols).collect()))
     assert got == want and len(got) > 20
