@@ -12,7 +12,7 @@ means by doc_id (null first), then line number, then hash of the text.
 * Words are counted once over all texts in ``buckets`` buckets of their hash. The table of the
   counts' levels has a fixed size (8 bytes for each bucket) and reaches the tasks as a scalar subquery.
 * Equal lines (white space and case aside) are one line at their first place before any is compared.
-* First each line is paired only with the earliest line of each of its rare words and with the
+* First each line is paired only with the earliest line of each of its words that occur ``OFTEN`` and with the
   one before it; the lines of a very common word are dealt out to several groups of ``CROWD``. That settles
   nearly all members of a large group of near copies; only lines that are still undecided then meet all
   earlier lines. The answer is that of the full join.
@@ -20,6 +20,7 @@ means by doc_id (null first), then line number, then hash of the text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -30,6 +31,8 @@ from . import shared
 BUCKETS = 1 << 20
 #: Lines of a word among which the earliest is tried first; words that occur oftener are dealt out at random.
 CROWD = 4096
+#: Occurrences from which a word's earliest line is tried first.
+OFTEN = 64
 #: Lines of more words carry a second parity, of half their words.
 LONG = 96
 _MASK = (1 << 56) - 1
@@ -63,7 +66,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _words(line: Column) -> Column:
     """The hashes of a line's distinct words."""
-    return F.array_distinct(F.array_remove(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    found = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    gaps = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(gaps, F.array_remove(found, F.xxhash64(F.lit("")))).otherwise(found)
 
 
 def _shift(x: Column, bits: int | Column) -> Column:
@@ -170,11 +175,11 @@ def later_matches(first: DataFrame, rows: DataFrame, docs: DataFrame, store: Cal
     """(id) of the distinct lines ``first`` to which some earlier distinct line is similar by t or more."""
     post = _postings(first)
     short = post.where(_i(F.col("size")) < _most(_n(F.col("size")), 2 * t / (1 + t)))
-    # The earliest line of each word, and the one before in its order; words that occur once have none.
+    # The earliest line of each word, and the one before in its order. Groups of fewer lines than OFTEN have few pairs anyway.
     level = F.call_function("shiftright", F.col("w"), F.lit(56))
     salt = F.pmod(F.xxhash64("id"), F.ceil(F.pow(F.lit(2.0), level / 4) / crowd)).cast("int")
     met = Window.partitionBy("w", "salt").orderBy("id")
-    ends = short.where(level >= 4).withColumn("salt", salt).select(
+    ends = short.where(level >= int(4 * math.log2(OFTEN))).withColumn("salt", salt).select(
         *_KEPT, *[F.first(c).over(met).alias(f"{c}_a") for c in _KEPT], *[F.lag(c).over(met).alias(f"{c}_b") for c in _KEPT])
     own = {c: F.col(c) for c in _KEPT}
     near = [F.when((F.col(f"id_{e}") < F.col("id")) & _may(own, {c: F.col(f"{c}_{e}") for c in _KEPT}, t), F.col(f"id_{e}")) for e in "ab"]
