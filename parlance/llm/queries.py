@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, licenses, linedup, mixing, quality, quotes, simhash, toxicity, warc
+from . import decontaminate, embeddings, licenses, linedup, mixing, neighbours, phrases, quality, quotes, repair, simhash, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -56,9 +56,22 @@ def op10_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.mended(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_quotes, op3_mixing, op4_simhash, op5_warc, op6_embeddings, op7_quality, op8_decontaminate, op9_licenses, op10_linedup,
+        op11_neighbours, op12_phrases, op13_repair,
     )
 }
 
@@ -98,4 +111,22 @@ g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_remo
       md5(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '')) AS kept_md5 FROM f GROUP BY doc_id)
 SELECT doc_id, coalesce(n_lines, 0)::INTEGER AS n_lines, coalesce(n_removed, 0)::INTEGER AS n_removed, kept_md5
 FROM documents LEFT JOIN g USING (doc_id)""",
+    "op12_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang),
+m AS (SELECT lang, w, unnest(range(1, least(5, len(w)) + 1)) AS m FROM ws),
+g AS (SELECT lang, m, w[s : s + m - 1] AS ph FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM m)),
+f AS (SELECT lang, m, ph, count(*) AS f FROM g GROUP BY lang, m, ph HAVING count(*) >= 100),
+inside AS (SELECT lang, ph[s : s + k - 1] AS ph, max(f) AS over FROM
+           (SELECT lang, ph, f, k, unnest(range(1, m - k + 2)) AS s FROM (SELECT lang, ph, f, m, unnest(range(2, m)) AS k FROM f WHERE m > 2))
+           GROUP BY 1, 2),
+c AS (SELECT f.* FROM f LEFT JOIN inside USING (lang, ph) WHERE m > 1 AND (over IS NULL OR 100 * over < 100 * f)),
+cut AS (SELECT lang, m, ph, f AS a, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT cut.lang, cut.ph, a, k, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cut JOIN f x ON x.lang = cut.lang AND x.ph = cut.ph[1:k] JOIN f y ON y.lang = cut.lang AND y.ph = cut.ph[k + 1 :] JOIN n ON n.lang = cut.lang),
+b AS (SELECT *, array_to_string(ph, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000""",
 }
