@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import emotion, extract, replies, rules, script
 from .operators import audit, memory, occupation, quality, sessions
 from .plans import turns as plan
-from .sources import adapters, tables
+from .sources import adapters, shared, tables, vector_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -528,43 +528,52 @@ def turn_results(spark, sf_dir):
 # --- occupations -----------------------------------------------------------------------------------------------
 
 _KNN = """
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 20),
-i AS (SELECT vec_id AS item_id, label::VARCHAR AS code, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id >= 10),
+q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+i AS (SELECT vec_id AS item_id, label::VARCHAR AS code, embedding::DOUBLE[] AS x FROM embeddings),
 s AS (SELECT query_id, item_id, code, round(greatest(0.0, least(1.0, list_cosine_similarity(q, x))), 4) AS confidence FROM q, i),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, code, item_id) AS rank FROM s QUALIFY rank <= 5)"""
 
 
-def _topk(spark, sf_dir):
-    return occupation.top_k(*adapters.vectors(spark, sf_dir), 5)
+def stored_index(spark, sf_dir):
+    """(queries, path of the stored index) over all vectors; the index is filled once for each state of the table."""
+    queries, items = adapters.vectors(spark, sf_dir)
+    return queries, vector_index.ensure(items, f"{shared.folder(spark)}/index-labels-{shared.fingerprint(tables.read(spark, sf_dir, 'embeddings'))}")
 
 
 @query(f"WITH {_KNN} SELECT * FROM k")
 def occupation_topk(spark, sf_dir):
-    return _topk(spark, sf_dir)
+    return occupation.top_k(*stored_index(spark, sf_dir), 5)
 
 
-@query(f"""WITH {_KNN} SELECT query_id, min_by(code, rank) AS code, max(confidence) AS confidence,
-CASE WHEN max(confidence) >= 0.92 THEN 'semantic' ELSE 'llm_ranked' END AS method, max(confidence) < 0.92 AS needs_rerank, max(confidence) >= 0.35 AS usable FROM k GROUP BY query_id""")
-def occupation_route(spark, sf_dir):
-    return occupation.route(_topk(spark, sf_dir))
+_ROUTE = """SELECT query_id, min_by(code, rank) AS code, max(confidence) AS confidence,
+CASE WHEN max(confidence) >= 0.92 THEN 'semantic' ELSE 'llm_ranked' END AS method, max(confidence) < 0.92 AS needs_rerank, max(confidence) >= 0.35 AS usable FROM {0} GROUP BY query_id"""
 
 
-_WHOLE_KNN = """
-q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
-i AS (SELECT vec_id AS item_id, label::VARCHAR AS code, embedding::DOUBLE[] AS x FROM embeddings),
-s AS (SELECT query_id, item_id, code, round(greatest(0.0, least(1.0, list_cosine_similarity(q, x))), 4) AS confidence FROM q, i),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, code, item_id) AS rank FROM s QUALIFY rank <= 5)"""
+@query(f"WITH {_KNN} {_ROUTE.format('k')}")
+def occupation_route(spark, sf_dir):
+    return occupation.route(occupation_topk(spark, sf_dir))
 
 
-@query(f"WITH {_WHOLE_KNN} SELECT * FROM k")
+@query(f"WITH {_KNN.replace('SELECT vec_id AS query_id', 'SELECT vec_id + 1 AS query_id')} SELECT * FROM k")
 def occupation_topk_whole(spark, sf_dir):
-    return occupation.top_k(*adapters.whole_vectors(spark, sf_dir), 5)
+    """The index stored anew, though one is filled already, and asked under other ids."""
+    queries, path = stored_index(spark, sf_dir)
+    vector_index.rebuild(adapters.vectors(spark, sf_dir)[1], f"{path}-rebuilt", lists=7)
+    return occupation.top_k(queries.withColumn("query_id", F.col("query_id") + 1), f"{path}-rebuilt", 5)
 
 
-@query(f"""WITH {_WHOLE_KNN} SELECT query_id, min_by(code, rank) AS code, max(confidence) AS confidence,
-CASE WHEN max(confidence) >= 0.92 THEN 'semantic' ELSE 'llm_ranked' END AS method, max(confidence) < 0.92 AS needs_rerank, max(confidence) >= 0.35 AS usable FROM k GROUP BY query_id""")
+@query(f"WITH {_KNN}, h AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank) FROM k WHERE item_id <> query_id) {_ROUTE.format('h')}")
 def occupation_route_whole(spark, sf_dir):
-    return occupation.route(occupation_topk_whole(spark, sf_dir))
+    """Without the query's own item, so that other items decide."""
+    return occupation.route(occupation_topk(spark, sf_dir).where("item_id <> query_id"))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT label) AS n_codes FROM embeddings")
+def index_filled(spark, sf_dir):
+    """What the stored index holds."""
+    path = stored_index(spark, sf_dir)[1]
+    stored = spark.read.parquet(f"{path}/vectors").agg(F.countDistinct("code").alias("n_codes"))
+    return spark.read.parquet(f"{path}/centres").agg(F.sum("n").alias("n")).join(stored, F.lit(True))
 
 
 def _dimension_sql() -> str:
@@ -602,10 +611,12 @@ SELECT query_id, code, confidence, stage, rank, CASE WHEN max(s) OVER (PARTITION
 (SELECT count(*) FROM r WHERE r.query_id = o.query_id) AS total_retrieved FROM o""")
 def occupation_expand(spark, sf_dir):
     d = tables.occupations(spark)
-    codes = [r.code for r in d.where("level = 4").orderBy("code").collect()]  # the fixed dimension
-    at = F.get(F.array(*map(F.lit, codes)), ((F.col("item_id") * 7) % len(codes)).cast("int"))
-    queries, index = adapters.whole_vectors(spark, sf_dir)
-    return occupation.retrieve(queries, index.withColumn("code", at), d, 5)
+    at = F.broadcast(d.where("level = 4").withColumn("at", F.row_number().over(Window.orderBy("code")) - 1))  # the fixed dimension
+    queries, items = adapters.vectors(spark, sf_dir)
+    n = d.where("level = 4").select(F.count("*").alias("codes"))
+    coded = items.drop("code").join(F.broadcast(n), F.lit(True)).join(at.select("at", "code"), (F.col("item_id") * 7) % F.col("codes") == F.col("at"))
+    path = f"{shared.folder(spark)}/index-level4-{shared.fingerprint(tables.read(spark, sf_dir, 'embeddings'))}"
+    return occupation.retrieve(queries, vector_index.ensure(coded, path), d, 5)
 
 
 # --- replies ---------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from .catalogue import _DOCS, _RECORDS, _RESPONSES, _sessions, lit, query
+from .catalogue import _DOCS, _RECORDS, _RESPONSES, _sessions, lit, query, stored_index
 from .functions import emotion, extract, replies, rules, script
 from .operators import audit, memory, occupation, quality, sessions
 from .plans import turns as plan
@@ -73,7 +73,8 @@ def audit_default_period(spark, sf_dir):
 
 @query("SELECT count(*) AS n FROM embeddings")
 def index_size(spark, sf_dir):
-    return tables.size(tables.read(spark, sf_dir, "embeddings"))
+    """From the sizes that the stored index keeps of its lists."""
+    return spark.read.parquet(f"{stored_index(spark, sf_dir)[1]}/centres").agg(F.sum("n").alias("n"))
 
 
 # --- changes ---------------------------------------------------------------------------------------------------

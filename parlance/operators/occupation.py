@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import shared, vector_index
+
 SURE = 0.92
 USABLE = 0.35
 UNKNOWN = ("Unknown", "غير معروف")
@@ -15,31 +19,16 @@ def clamped_k(k: int) -> int:
     return max(1, min(10, k))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-#: Rows of a block of queries.
-BLOCK = 512
-
-
-def top_k(queries: DataFrame, index: DataFrame, k: int = 5, block: int = BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame | str, k: int = 5, probes: int | None = None) -> DataFrame:
     """(query_id, code, item_id, confidence, rank): the k nearest items of each query, confidence cut to 0..1 and rounded to four places.
 
-    The index may be any table and stays in its partitions, queries are dealt into blocks of about ``block`` rows; each
-    task meets one partition of the index with one block and keeps its own best k of each query. Neither side passes through the
-    driver; the shuffle on the query merges the k of the partitions.
+    The index is the path of a stored one, or items (item_id, code, embedding) that are stored first. Exact unless ``probes`` says how many lists to read.
     """
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    q = q.repartition(max(1, -(-q.count() // block)))
-    x = index.select("item_id", "code", F.col("embedding").alias("x"))
-    pairs = x.hint("shuffle_replicate_nl").crossJoin(q.hint("shuffle_replicate_nl"))
-    scored = pairs.select("query_id", "item_id", "code", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("q"), F.col("x")))), 4).alias("confidence"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("confidence"), "code", "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if not isinstance(index, str):
+        path = f"{shared.folder(queries.sparkSession)}/index-{uuid4().hex}"
+        vector_index.rebuild(index, path)
+        index = path
+    return vector_index.search(queries, index, k, probes)
 
 
 def route(best: DataFrame) -> DataFrame:
@@ -95,7 +84,7 @@ def expand(raw: DataFrame, dimension: DataFrame, k: int = 5) -> DataFrame:
     return out.withColumn("method", F.when(grown, "hierarchical").otherwise("semantic_only")).drop("s", "ord")
 
 
-def retrieve(queries: DataFrame, index: DataFrame, dimension: DataFrame, k: int = 5) -> DataFrame:
+def retrieve(queries: DataFrame, index: DataFrame | str, dimension: DataFrame, k: int = 5) -> DataFrame:
     """Twice the clamped k are retrieved, parents added, k kept: (query_id, code, confidence, stage, rank, method, total_retrieved).
 
     A query without candidates gives one row with a null code, no matches and the method semantic_only.

@@ -98,14 +98,6 @@ def whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Occupation queries (vec_id < 20) and index (vec_id >= 10) from embeddings; codes are the labels."""
-    e = read(spark, sf_dir, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    x = e.where("vec_id >= 10").select(F.col("vec_id").alias("item_id"), F.col("label").cast("string").alias("code"), "embedding")
-    return q, x
-
-
-def whole_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Occupation queries (each vec_id divisible by 100) and index (all rows) from embeddings; codes are the labels."""
     e = read(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")

@@ -291,20 +291,3 @@ def test_key_value_documents(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
-def test_top_k_leaves_the_index_on_the_executors(spark, tmp_path):
-    rows = [(i, [float(i % 7 - 3), float(i % 11 - 5), 1.0], i % 5) for i in range(400)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    queries, index = adapters.whole_vectors(spark, str(tmp_path))
-    got = occupation.top_k(queries, index, 5, block=2)
-    assert "Broadcast" not in got._jdf.queryExecution().toString()
-    found = {}
-    for r in got.orderBy("query_id", "rank").collect():
-        found.setdefault(r.query_id, []).append(r.item_id)
-
-    def cosine(a, b):
-        return sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
-
-    for q in (0, 100, 200, 300):
-        order = sorted(rows, key=lambda r: (-round(min(1.0, max(0.0, cosine(rows[q][1], r[1]))), 4), str(r[2]), r[0]))
-        assert found[q] == [r[0] for r in order[:5]]
-    assert len(found) == 4
