@@ -373,11 +373,13 @@ def _script_sql() -> str:
     by = " ".join(f"WHEN {c} THEN [{', '.join(map(lit, lines))}][1 + least(p, {len(lines) - 1})]" for c, lines in adapters.SCRIPTS.items())
     return f"""
 p AS (SELECT conv_id AS session_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations WHERE role = 'user'),
-t AS (SELECT session_id, turn, p, CASE session_id % 4 {by} END AS text FROM p)"""
+scr AS (SELECT session_id, turn, p, CASE session_id % 4 {by} END AS text FROM p),
+bo AS (SELECT session_id, 2 * turn + 1 AS turn, text FROM scr UNION ALL SELECT conv_id, 2 * turn, coalesce(text, '') FROM conversations WHERE role = 'user'),
+t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS p FROM bo)"""
 
 
 _WHOLE_TURNS = """
-t0 AS (SELECT session_id, t.turn, t.p, coalesce(c.text, '') || ' ' || t.text AS text FROM t JOIN conversations c ON c.conv_id = t.session_id AND c.turn = t.turn AND c.role = 'user')"""
+t0 AS (SELECT session_id, scr.turn, scr.p, coalesce(c.text, '') || ' ' || scr.text AS text FROM scr JOIN conversations c ON c.conv_id = scr.session_id AND c.turn = scr.turn AND c.role = 'user')"""
 
 
 def _any(words: list[str]) -> str:

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from .catalogue import _DOCS, _RECORDS, _RESPONSES, _sessions, lit, query, stored_index
+from .catalogue import _DOCS, _RECORDS, _RESPONSES, _fsm_sql, _sessions, lit, query, stored_index
 from .functions import emotion, extract, replies, rules, script
 from .operators import audit, memory, occupation, quality, sessions
 from .plans import turns as plan
@@ -183,7 +183,53 @@ def session_saved(spark, sf_dir):
 @query("SELECT conv_id AS session_id, turn FROM conversations UNION ALL SELECT DISTINCT conv_id, 1000::BIGINT FROM conversations")
 def turn_appended(spark, sf_dir):
     t = tables.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn")
-    return memory.append_turn(t, t.select("session_id").distinct().withColumn("turn", F.lit(1000).cast("long")))
+    new = t.select("session_id").distinct().withColumn("turn", F.lit(1000).cast("long"))
+    return memory.append_turn(_known(t), t, new, NOON)[1]
+
+
+def _known(turns):
+    """Every third session is in the store."""
+    at = F.lit(adapters.AS_OF).cast("timestamp_ntz")
+    known = turns.where("session_id % 3 = 0").select("session_id").distinct()
+    return known.withColumns({"state": F.lit("validating"), "created_at": at, "last_updated": at})
+
+
+@query(f"""SELECT DISTINCT conv_id AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'validating' ELSE 'greeting' END AS state,
+CASE WHEN conv_id % 3 = 0 THEN TIMESTAMP '2024-01-31' ELSE {_NOON} END AS created_at, {_NOON} AS last_updated FROM conversations""")
+def turn_stubs(spark, sf_dir):
+    """A turn for an unknown session begins a stub; a known one keeps its state and time of creation."""
+    t = tables.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn")
+    return memory.append_turn(_known(t), t, t.select("session_id").distinct().withColumn("turn", F.lit(1000).cast("long")), NOON)[0]
+
+
+_CHANGES = """c AS (SELECT conv_id AS session_id, turn AS seq, TIMESTAMP '2024-01-01' + INTERVAL (turn) SECOND AS ts,
+ ['save', 'append', 'append', 'update', 'append', 'update', 'append', 'delete'][1 + (conv_id * 5 + turn) % 8] AS op, CASE WHEN turn % 2 = 0 THEN 'en' ELSE 'ar' END AS language,
+ 'state ' || turn AS state, CASE WHEN turn % 2 = 0 THEN 'job_title' ELSE 'industry' END AS name, CASE WHEN turn % 3 = 0 THEN '' ELSE role || turn END AS value,
+ CASE WHEN turn % 3 = 1 THEN 'assistant' ELSE 'user' END AS role, text AS content FROM conversations),
+g AS (SELECT *, coalesce(max(CASE WHEN op = 'delete' THEN seq END) OVER (PARTITION BY session_id), -1) AS gone FROM c),
+l AS (SELECT *, coalesce(max(CASE WHEN op = 'save' THEN seq END) OVER (PARTITION BY session_id), -1) AS save FROM g WHERE seq > gone),
+f AS (SELECT session_id, name, max_by(value, seq) AS value FROM l WHERE seq >= save AND (op = 'save' OR op = 'update' AND value <> '') GROUP BY session_id, name),
+fs AS (SELECT session_id, '{' || string_agg('"' || name || '":"' || value || '"', ',' ORDER BY name) || '}' AS fields FROM f GROUP BY session_id)"""
+
+
+@query(f"""WITH {_CHANGES} SELECT l.session_id, coalesce(max(CASE WHEN seq = save THEN language END), 'en') AS language, coalesce(max(CASE WHEN seq = save THEN state END), 'greeting') AS state,
+coalesce(any_value(fields), '{{}}') AS fields, count(*) FILTER (WHERE seq >= save AND op = 'append' AND role = 'user') AS turn_count,
+count(*) FILTER (WHERE seq >= save AND op = 'append') AS n_history, coalesce(sum(length(content)) FILTER (WHERE seq >= save AND op = 'append'), 0)::BIGINT AS n_chars,
+min_by(ts, seq) AS created_at, max_by(ts, seq) AS last_updated FROM l LEFT JOIN fs ON fs.session_id = l.session_id GROUP BY l.session_id""")
+def session_store(spark, sf_dir):
+    """What a log of changes leaves in the store: every turn of every conversation is one, by its place a save, an append, an update or a delete."""
+    t = tables.read(spark, sf_dir, "conversations")
+    ops = F.array(*map(F.lit, ("save", "append", "append", "update", "append", "update", "append", "delete")))
+    name, value = F.when(F.col("turn") % 2 == 0, "job_title").otherwise("industry"), F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat("role", F.col("turn").cast("string")))
+    changes = t.select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, turn)").alias("at"),
+        F.get(ops, ((F.col("conv_id") * 5 + F.col("turn")) % 8).cast("int")).alias("op"), F.when(F.col("turn") % 2 == 0, "en").otherwise("ar").alias("language"),
+        F.concat(F.lit("state "), F.col("turn").cast("string")).alias("state"), F.to_json(F.create_map(name, value)).alias("fields"),
+        F.when(F.col("turn") % 3 == 1, "assistant").otherwise("user").alias("role"), F.col("text").alias("content"),
+    )
+    said = F.from_json("history", "array<struct<content:string>>")
+    chars = F.aggregate(said, F.lit(0).cast("long"), lambda n, h: n + F.coalesce(F.length(h["content"]), F.lit(0)))
+    return memory.applied(changes).withColumns({"n_history": F.size(said).cast("long"), "n_chars": chars}).drop("history")
 
 
 @query("SELECT conv_id AS session_id, turn, role FROM conversations")
@@ -309,9 +355,8 @@ def llm_explanations(spark, sf_dir):
 # --- turns and occupations ---------------------------------------------------------------------------------------
 
 
-@query("""WITH p AS (SELECT conv_id, turn FROM conversations WHERE role = 'user')
-SELECT conv_id AS session_id, turn, 'message_sent' AS event_type FROM p
-UNION ALL SELECT session_id, turn, 'session_completed' FROM (SELECT conv_id AS session_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM p) WHERE session_id % 4 IN (0, 3) AND r = 3""")
+@query(f"""WITH RECURSIVE {_fsm_sql(restart=True)} SELECT session_id, turn, 'message_sent' AS event_type FROM f WHERE p >= 0
+UNION ALL SELECT session_id, turn, 'session_completed' FROM f WHERE state = 'completing'""")
 def turn_events(spark, sf_dir):
     t = adapters.turns(spark, sf_dir)
     return plan.audit_rows(plan.results(t), t, adapters.AS_OF)[0].select("session_id", "turn", "event_type")

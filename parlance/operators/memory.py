@@ -71,9 +71,40 @@ def saved(sessions: DataFrame, changes: DataFrame, now: datetime) -> DataFrame:
     )
 
 
-def append_turn(turns: DataFrame, rows: DataFrame) -> DataFrame:
-    """The turn log grows only; nothing overwrites it."""
-    return turns.unionByName(rows, allowMissingColumns=True)
+def append_turn(sessions: DataFrame, turns: DataFrame, rows: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(sessions, turns) with rows (session_id, turn, role, text...) appended: the log grows only, and a session that is not there begins as a stub."""
+    fresh = rows.select("session_id").distinct().withColumn("state", F.lit("greeting"))
+    known = sessions.select(F.col("session_id").alias("session_id"), F.col("state").alias("_old"))
+    changes = fresh.join(known, "session_id", "left").select("session_id", F.coalesce("_old", "state").alias("state"))
+    return saved(sessions, changes, now), turns.unionByName(rows, allowMissingColumns=True)
+
+
+def applied(changes: DataFrame) -> DataFrame:
+    """The sessions that a log of changes leaves: (session_id, language, state, fields, turn_count, history, created_at, last_updated).
+
+    changes (session_id, seq, at, op, language, state, fields, role, content), as the streamed store takes them. Only those after a session's last delete
+    count; its last save gives state, language, fields and an empty history; later updates merge their non-empty fields and later appends add turns. The time of
+    creation is that of the first change after the delete. One aggregation finds the delete, one the save and one folds the rest, so a session's changes meet only as small maps of fields and its turns.
+    """
+    by = Window.partitionBy("session_id")
+    gone = F.coalesce(F.max(F.when(F.col("op") == "delete", F.col("seq"))).over(by), F.lit(-1))
+    live = changes.withColumn("_gone", gone).where(F.col("seq") > F.col("_gone"))
+    save = F.coalesce(F.max(F.when(F.col("op") == "save", F.col("seq"))).over(by), F.lit(-1))
+    live = live.withColumn("_save", save)
+    first = F.col("seq") == F.col("_save")
+    after = F.col("seq") >= F.col("_save")
+    pairs = F.from_json(F.coalesce("fields", F.lit("{}")), "map<string,string>")
+    sessions = live.groupBy("session_id").agg(
+        F.coalesce(F.max(F.when(first, F.col("language"))), F.lit("en")).alias("language"), F.coalesce(F.max(F.when(first, F.col("state"))), F.lit("greeting")).alias("state"),
+        F.count_if(after & (F.col("op") == "append") & (F.col("role") == "user")).alias("turn_count"), F.min_by("at", "seq").alias("created_at"), F.max_by("at", "seq").alias("last_updated"),
+    )
+    set_ = live.where(after & F.col("op").isin("save", "update")).select("session_id", "seq", "op", F.explode(pairs).alias("name", "value"))
+    set_ = set_.where((F.col("op") == "save") | (F.coalesce("value", F.lit("")) != "")).groupBy("session_id", "name").agg(F.max_by("value", "seq").alias("value"))
+    fields = set_.groupBy("session_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value"))))).alias("fields"))
+    said = live.where(after & (F.col("op") == "append")).groupBy("session_id").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("seq", "role", "content", F.col("language").alias("detected_language")))), lambda t: t.dropFields("seq"))).alias("history"))
+    out = sessions.join(fields, "session_id", "left").join(said, "session_id", "left")
+    return out.withColumns({"fields": F.coalesce("fields", F.lit("{}")), "history": F.coalesce("history", F.lit("[]"))})
 
 
 def delete(sessions: DataFrame, session_id: int) -> DataFrame:

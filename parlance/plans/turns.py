@@ -1,22 +1,23 @@
-"""Interview turns: per-turn features, the state machine folded in order, and the whole turn result."""
+"""Interview turns: per-turn features, the state machine replayed in order, and the whole turn result."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import emotion, extract, rules, script
 from ..operators import audit, memory, quality
+from ..sources import shared
+from . import machine
 
-STATES = ("greeting", "collecting_info", "clarifying", "validating", "completing")
-#: What a turn must bring to the fold, besides its place.
-TURN = (
-    "turn bigint, employment_status string, job_title string, industry string, hours_per_week string, employment_type string, "
-    "ambiguous boolean, confirmed_en boolean, confirmed_ar boolean, detected string"
-)
-
-
-KIND = "struct<state:string,language:string," + ",".join(f"{f}:string" for f in extract.FIELDS) + ">"
+#: Turn numbers of a block; blocks of a session are replayed in parallel once the place at which each begins is known.
+BLOCK = 1024
+#: Maps of blocks that one task composes.
+FAN = 8
 
 
 def features(turns: DataFrame, text: str = "text") -> DataFrame:
@@ -28,62 +29,111 @@ def features(turns: DataFrame, text: str = "text") -> DataFrame:
     })
 
 
-def _step(acc: Column, x: Column, restart: bool = False) -> Column:
-    """The state after a turn x. Fields first, then the new state, each bound once."""
-    def fields(a: Column) -> Column:
-        lang = F.when(x["detected"].isin("en", "ar"), x["detected"]).otherwise(a["language"])
-        reads = a["state"].isin("collecting_info", "clarifying")
-        got = [F.when(a[f].isNull() & reads, x[f]).otherwise(a[f]).alias(f) for f in extract.FIELDS]
-        return F.struct(a["state"].alias("state"), lang.alias("language"), *got)
-
-    def moved(g: Column) -> Column:
-        state, full = g["state"], F.lit(True)
-        for f in extract.FIELDS:
-            full = full & g[f].isNotNull()
-        agreed = F.when(g["language"] == "ar", x["confirmed_ar"]).otherwise(x["confirmed_en"])
-        new = (
-            F.when(state == "greeting", "collecting_info")
-            .when((state == "collecting_info") & x["ambiguous"], "clarifying")
-            .when((state == "collecting_info") & full, "validating")
-            .when(state == "clarifying", "collecting_info")
-            .when(state == "validating", F.when(agreed, "completing").otherwise("collecting_info"))
-            .otherwise(state)
-        )
-        return F.struct(new.alias("state"), g["language"].alias("language"), *[g[f].alias(f) for f in extract.FIELDS])
+def _same(key: str, right: str) -> Column:
+    return F.col(key).eqNullSafe(F.col(right))
 
-    if restart:  # a completed session's context is dropped, so its next turn begins anew
-        acc = F.when(acc["state"] == "completing", _start("en").cast(KIND)).otherwise(acc)
-    return script.bound(script.bound(acc, fields), moved)
 
+def blocks(feats: DataFrame, key: str, size: int) -> DataFrame:
+    """(key, block, turns): the turns' kinds and offered fields (never their texts) of each stretch of ``size`` turn numbers, in order; null turns first."""
+    at = F.coalesce(F.floor(F.col("turn") / size), F.lit(-(2**40)))
+    rows = feats.select(key, F.col("turn").cast("bigint").alias("turn"), machine.kind().alias("kind"), *extract.FIELDS)
+    return rows.groupBy(key, at.alias("block")).agg(F.array_sort(F.collect_list(F.struct("turn", "kind", *extract.FIELDS))).alias("turns"))
 
-def _start(language: str) -> Column:
-    return F.struct(F.lit("greeting").alias("state"), F.lit(language).alias("language"), *[F.lit(None).cast("string").alias(f) for f in extract.FIELDS])
 
+def entries(maps: DataFrame, key: str) -> DataFrame:
+    """(key, block, entry): where each block begins, by a prefix scan over maps (key, block, exits).
 
-def replay(feats: DataFrame, key: str = "session_id", language: str = "en", restart: bool = False) -> DataFrame:
+    Neighbouring maps are composed in groups of 2^FAN until each session has one; then the places are carried down again, each group
+    from where it begins. No task holds more than a group.
+    """
+    levels = [maps]
+    while not (top := levels[-1]).groupBy(key).count().where("count > 1").isEmpty():
+        whole = F.array(*map(F.lit, range(machine.PLACES))).cast("array<smallint>")
+        run = F.array_sort(F.collect_list(F.struct("block", "exits")))
+        joined = F.aggregate("run", whole, lambda acc, m: F.transform(acc, lambda place: F.get(m["exits"], place.cast("int"))))
+        grouped = top.groupBy(key, F.shiftright("block", FAN).alias("block")).agg(run.alias("run"))
+        levels.append(shared.cut(grouped.select(key, "block", joined.alias("exits"))))
+    out = levels[-1].select(key, "block", F.lit(machine.START).alias("entry"))
+    log = "array<struct<block:bigint,entry:int>>"
+    for level in levels[-2::-1]:
+        up = out.select(F.col(key).alias("_k"), F.col("block").alias("_b"), "entry")
+        down = level.groupBy(key, F.shiftright("block", FAN).alias("_up")).agg(F.array_sort(F.collect_list(F.struct("block", "exits"))).alias("run"))
+        down = down.join(up, _same(key, "_k") & (F.col("_up") == F.col("_b")))
+        begin = F.struct(F.col("entry").alias("now"), F.array().cast(log).alias("log"))
+
+        def passed(acc: Column, m: Column) -> Column:
+            here = F.array(F.struct(m["block"].alias("block"), acc["now"].alias("entry")))
+            return F.struct(F.get(m["exits"], acc["now"]).cast("int").alias("now"), F.concat(acc["log"], here).cast(log).alias("log"))
+
+        out = shared.cut(down.select(key, F.explode(F.aggregate("run", begin, passed)["log"]).alias("e")).select(key, "e.*"))
+    return out
+
+
+def _walked(language: str, restart: bool, last: bool):
+    """Blocks with the place and values at which they begin to a row after every turn; with ``last`` to the values that each block sets, by its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[] for _ in range(6 + len(extract.FIELDS))]
+            for at in range(len(b)):
+                turns = b.column("turns")[at].as_py()
+                place, values = b.column("entry")[at].as_py(), [b.column(f"from_{f}")[at].as_py() for f in extract.FIELDS]
+                for nth, turn in enumerate(turns):
+                    place, values = machine.step(place, values, turn["kind"], [turn[f] for f in extract.FIELDS], language, restart)
+                    if not last or nth == len(turns) - 1:
+                        row = (at, b.column("block")[at].as_py(), nth, turn["turn"], machine.state_of(place), machine.language_of(place, language), *values)
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * (2 + len(extract.FIELDS))]
+            arrays = [pa.array(v, k) for v, k in zip(out[1:], kinds, strict=True)]
+            key = b.column(0).take(pa.array(out[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([key, *arrays], names=[b.schema.names[0], "block", "nth", "turn", "state", "language", *extract.FIELDS])
+
+    return run
+
+
+def _replayed(feats: DataFrame, key: str, language: str, restart: bool, size: int) -> DataFrame:
+    """(key, block, nth, turn, state, language, fields...) after every turn."""
+    kind = f"{key} {feats.schema[key].dataType.simpleString()}, block bigint, nth bigint, turn bigint, state string, language string, "
+    kind += ", ".join(f"{f} string" for f in extract.FIELDS)
+    nothing = {f"from_{f}": F.lit(None).cast("string") for f in extract.FIELDS}
+    cut_up = shared.cut(blocks(feats, key, size))
+    many = shared.cut(cut_up.groupBy(key).count().where("count > 1").select(F.col(key).alias("_k")))
+    if many.isEmpty():
+        return cut_up.withColumns({"entry": F.lit(machine.START), **nothing}).mapInArrow(_walked(language, restart, False), kind)
+    single = cut_up.join(many, _same(key, "_k"), "left_anti").withColumns({"entry": F.lit(machine.START), **nothing})
+
+    @F.pandas_udf("array<smallint>")
+    def exits(kinds: pd.Series) -> pd.Series:
+        return pd.Series([machine.mapped(k, language, restart) for k in kinds])
+
+    long = cut_up.join(many, _same(key, "_k"), "left_semi")
+    begun = entries(shared.cut(long.select(key, "block", exits("turns.kind").alias("exits"))), key).withColumnsRenamed({key: "_k", "block": "_b"})
+    long = long.join(begun, _same(key, "_k") & (F.col("block") == F.col("_b"))).drop("_k", "_b")
+    # A field that has a value where a block begins has the one that was set last before it.
+    ends = long.withColumns(nothing).mapInArrow(_walked(language, restart, True), kind)
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(key).alias("_k"), F.col("block").alias("_b"), *[F.last(f, ignorenulls=True).over(before).alias(f"from_{f}") for f in extract.FIELDS])
+    long = long.join(shared.cut(carried), _same(key, "_k") & (F.col("block") == F.col("_b"))).drop("_k", "_b")
+    has = {f"from_{f}": F.when(F.col("entry").bitwiseAND(1 << at) > 0, F.col(f"from_{f}")) for at, f in enumerate(extract.FIELDS)}
+    return single.unionByName(long.withColumns(has)).mapInArrow(_walked(language, restart, False), kind)
+
+
+def replay(feats: DataFrame, key: str = "session_id", language: str = "en", restart: bool = False, size: int = BLOCK) -> DataFrame:
     """(session_id, turn, state, language, fields...) after every turn: first values win, fields are read while collecting or clarifying.
 
-    One shuffle by session brings the turns' small structs together (never their texts); they are ordered and folded once.
+    Sessions are cut into blocks of turns, so a session of any length is replayed in parallel: each block is first a map from the places
+    at which it may begin to those at which it ends, and a prefix scan over these maps says where it does begin.
     With ``restart`` a turn after the completing one begins a new interview, as where the session's context is dropped then.
     """
-    names = [c.split()[0] for c in TURN.split(", ")]
-    ordered = F.array_sort(F.collect_list(F.struct(*names)))
-    start = F.struct(_start(language).cast(KIND).alias("now"), F.array().cast(f"array<struct<turn:bigint,at:{KIND}>>").alias("log"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        now = _step(acc["now"], x, restart).cast(KIND)
-        return F.struct(now.alias("now"), F.concat(acc["log"], F.array(F.struct(x["turn"].cast("bigint").alias("turn"), now.alias("at")))).alias("log"))
-
-    out = feats.groupBy(key).agg(F.aggregate(ordered, start, fold).alias("f"))
-    return out.select(key, F.explode("f.log").alias("e")).select(key, "e.turn", "e.at.*")
+    return _replayed(feats, key, language, restart, size).drop("block", "nth")
 
 
-def final(feats: DataFrame, key: str = "session_id", language: str = "en") -> DataFrame:
+def final(feats: DataFrame, key: str = "session_id", language: str = "en", size: int = BLOCK) -> DataFrame:
     """One row for each session: its last state."""
-    names = [c.split()[0] for c in TURN.split(", ")]
-    ordered = F.array_sort(F.collect_list(F.struct(*names)))
-    out = feats.groupBy(key).agg(F.aggregate(ordered, _start(language).cast(KIND), lambda a, x: _step(a, x).cast(KIND)).alias("f"), F.count("*").alias("n_turns"))
-    return out.select(key, "n_turns", "f.*")
+    rows = _replayed(feats, key, language, False, size)
+    last = F.max_by(F.struct("state", "language", *extract.FIELDS), F.struct("block", "nth"))
+    return rows.groupBy(key).agg(F.count("*").alias("n_turns"), last.alias("f")).select(key, "n_turns", "f.*")
 
 
 def results(turns: DataFrame, language: str = "en") -> DataFrame:

@@ -81,20 +81,24 @@ def line_of(conv: Column, position: Column) -> Column:
     return out
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, turn, text): the user's turns of conversations, their texts replaced by the scripts."""
+def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, turn, stored, text): the user's turns of conversations, whole, and what the script says at each."""
     from pyspark.sql import Window
 
-    c = read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn")
-    p = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
-    return c.withColumn("p", p).select(F.col("conv_id").alias("session_id"), "turn", line_of(F.col("conv_id"), F.col("p")).alias("text"))
+    c = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session_id"), "turn", F.coalesce("text", F.lit("")).alias("stored"))
+    p = F.row_number().over(Window.partitionBy("session_id").orderBy("turn")) - 1
+    return c.withColumn("p", p).select("session_id", "turn", "stored", line_of(F.col("session_id"), F.col("p")).alias("text"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, turn, text): the user's turns with their whole stored texts, each followed by a turn of the script."""
+    said = F.array(F.struct((2 * F.col("turn")).alias("turn"), F.col("stored").alias("text")), F.struct((2 * F.col("turn") + 1).alias("turn"), "text"))
+    return scripted(spark, sf_dir).select("session_id", F.explode(said).alias("t")).select("session_id", "t.*")
 
 
 def whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, turn, text): the user's turns, what the script says appended to their whole stored texts."""
-    stored = read(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session_id"), "turn", F.col("text").alias("stored"))
-    both = turns(spark, sf_dir).join(stored, ["session_id", "turn"])
-    return both.select("session_id", "turn", F.concat(F.coalesce("stored", F.lit("")), F.lit(" "), "text").alias("text"))
+    return scripted(spark, sf_dir).select("session_id", "turn", F.concat("stored", F.lit(" "), "text").alias("text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -30,3 +30,11 @@ def fingerprint(df: DataFrame) -> str:
     files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     got = files.agg(F.count("*").alias("n"), F.sum(F.xxhash64("*").cast("decimal(38,0)")).alias("h")).first()
     return f"{got['n']}-{got['h']}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and cut the lineage there, so that no executor's loss repeats the work before it."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder(spark))
+    return df.checkpoint(eager=True)
