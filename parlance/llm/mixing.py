@@ -131,8 +131,11 @@ def mix(
         [(p, totals[p] // n if n else 0, totals[p] % n if n else 0) for p, n in supply.items()],
         T.StructType([T.StructField("pattern", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("part", T.LongType())]),
     )
-    rows = rows.drop("sources").join(F.broadcast(quota), "pattern").withColumn("bucket", F.pmod("u", F.lit(BUCKETS)))
-    chosen = _choose(rows)
+    # Equal rows are one with their number m, so a move can take some of them and a hot one is one row.
+    rows = rows.groupBy("pattern", "u", "doc_id", "size").agg(F.count("*").alias("m"))
+    rows = rows.join(F.broadcast(quota), "pattern").withColumn("bucket", F.pmod("u", F.lit(BUCKETS)))
+    chosen = _choose(rows).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    chosen = chosen.withColumn("extra", F.when(F.col("nth") <= F.col("extra"), 1).otherwise(0))
     copies = F.least(F.col("whole") + F.col("extra"), F.lit(max_copies))  # a row without words may be chosen beyond
     return (
         chosen.select("doc_id", "size", "pattern", copies.alias("copies"), (copies * F.col("size")).alias("taken")),
@@ -141,10 +144,11 @@ def mix(
 
 
 def _choose(rows: DataFrame) -> DataFrame:
-    """rows with extra 0 or 1: a seeded choice of documents whose sizes add up to about ``part`` in each pattern."""
+    """rows with extra, 0 to m: a seeded choice of documents whose sizes add up to about ``part`` in each pattern."""
     from pyspark.sql import Window
 
-    sums = rows.groupBy("pattern", "bucket", "part").agg(F.sum("size").alias("n"))
+    rows = rows.withColumn("all", F.col("size") * F.col("m"))
+    sums = rows.groupBy("pattern", "bucket", "part").agg(F.sum("all").alias("n"))
     before = F.sum("n").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("n")
     edge = (
         sums.withColumn("before", before).where("before <= part").groupBy("pattern")
@@ -152,22 +156,25 @@ def _choose(rows: DataFrame) -> DataFrame:
         .select("pattern", F.col("e.bucket").alias("last"), F.col("e.before").alias("before"))
     )
     rows = rows.join(F.broadcast(edge), "pattern")  # a row for each pattern, whose number mix() has bounded
-    inside = rows.where("bucket < last").withColumn("extra", F.lit(1))
-    outside = rows.where("bucket > last").withColumn("extra", F.lit(0))
-    cum = F.sum("size").over(Window.partitionBy("pattern").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    at = rows.where("bucket = last").withColumn("cum", cum)
-    at = at.withColumn("extra", F.when(F.col("cum") <= F.col("part") - F.col("before"), 1).otherwise(0)).drop("cum")
-    out = shared.cut(inside.unionByName(at).unionByName(outside).drop("last", "before", "bucket"))
-    # Each round moves one document of each pattern in or out, the one that leaves the least gap, if that is less than now.
+    inside = rows.where("bucket < last").withColumn("extra", F.col("m"))
+    outside = rows.where("bucket > last").withColumn("extra", F.lit(0).cast("long"))
+    cum = F.sum("all").over(Window.partitionBy("pattern").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    room = F.col("part") - F.col("before") - F.col("cum") + F.col("all")
+    fit = F.when(F.col("size") > 0, F.floor(room / F.col("size"))).when(room >= 0, F.col("m")).otherwise(0)
+    at = rows.where("bucket = last").withColumn("cum", cum).withColumn("extra", F.greatest(F.lit(0), F.least("m", fit)).cast("long")).drop("cum")
+    out = shared.cut(inside.unionByName(at).unionByName(outside).drop("last", "before", "bucket", "all"))
+    # Each round moves rows of one document of each pattern in or out, those that leave the least gap, if that is less than now.
+    same = (F.col("u") == F.col("fill_u")) & F.col("doc_id").eqNullSafe(F.col("fill_id")) & (F.col("size") == F.col("fill_size"))
     for _ in range(FILLS):
         took = out.groupBy("pattern", "part").agg(F.sum(F.col("size") * F.col("extra")).alias("took"))
         gap = took.select("pattern", (F.col("part") - F.col("took")).alias("gap"))
-        move = F.col("size") * (1 - 2 * F.col("extra"))
-        fits = out.join(F.broadcast(gap), "pattern").withColumn("left", F.abs(F.col("gap") - move)).where(F.col("left") < F.abs("gap"))
-        fill = fits.groupBy("pattern").agg(F.min(F.struct("left", "u")).alias("f"))
-        fill = fill.select("pattern", F.col("f.u").alias("fill_u"))
-        moved = F.when(F.col("u") == F.col("fill_u"), 1 - F.col("extra")).otherwise(F.col("extra"))
-        out = shared.cut(out.join(F.broadcast(fill), "pattern", "left").withColumn("extra", moved).drop("fill_u"))
+        wanted = F.round(F.col("gap") / F.col("size")).cast("long")
+        moves = out.where("size > 0").join(F.broadcast(gap), "pattern").withColumn("move", F.greatest(-F.col("extra"), F.least(F.col("m") - F.col("extra"), wanted)))
+        fits = moves.withColumn("left", F.abs(F.col("gap") - F.col("move") * F.col("size"))).where(F.col("left") < F.abs("gap"))
+        fill = fits.groupBy("pattern").agg(F.min(F.struct("left", "u", "doc_id", "size", "move")).alias("f"))
+        fill = fill.select("pattern", F.col("f.u").alias("fill_u"), F.col("f.doc_id").alias("fill_id"), F.col("f.size").alias("fill_size"), F.col("f.move").alias("move"))
+        moved = F.col("extra") + F.when(same, F.col("move")).otherwise(0)
+        out = shared.cut(out.join(F.broadcast(fill), "pattern", "left").withColumn("extra", moved).drop("fill_u", "fill_id", "fill_size", "move"))
     return out
 
 

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from parlance.llm import neighbours, phrases, queries, repair
+from parlance.llm import mixing, neighbours, phrases, queries, repair
 
 from ..conftest import sql_differences
 
@@ -237,3 +237,19 @@ def test_radix_order_is_lexicographic():
     assert keys[phrases.radix_order(keys)].tolist() == sorted(keys.tolist())
     long = b"ab " * 800_000 + b"X.y"
     assert [w for words in phrases.tokens(long) for w in words] == [b"ab"] * 800_000 + [b"x", b",", b"y"]
+
+
+def test_mixing_of_equal_rows(spark):
+    """Equal rows are taken one by one, as many as the target asks for."""
+    for equal, other in ((400, 43), (1000, 43), (399, 7)):
+        rows = [(1, "a b c", "A")] * equal + [(i + 10, "w " * 21, "B") for i in range(other)] + [(None, "", "A")] * 5 + [(2, "long " * 200_000, "C")]
+        got = mixing.by_source(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r["size"] for r in got)
+        by = {}
+        for r in got:
+            key = "A" if r.doc_id in (1, None) else "C" if r.doc_id == 2 else "B"
+            taken, target, largest = by.get(key, (0, 0, 0))
+            by[key] = (taken + r.taken, r.target, max(largest, r["size"]))
+        for taken, target, largest in by.values():
+            assert abs(taken - target) <= largest
+        assert abs(by["A"][0] - by["A"][1]) <= 3
