@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,19 +89,48 @@ def _caps(text: Column) -> Column:
     return F.filter(found, lambda w: (F.upper(w) == w) & (F.lower(w) != w))
 
 
-def stem(pattern: str) -> str:
-    """The longest run of letters and spaces that each match of a pattern must hold, in lower case: groups and optional letters are left out."""
-    bare = re.sub(r".\?", "|", re.sub(r"\([^)]*\)\??", "|", pattern.replace(r"\b", "|")))
-    return max(re.findall(r"[^|'\\]+", bare), key=len).lower()
+#: All patterns in their order, and the first and last place of each state's.
+ORDERED = [p for s in STATES for p in PATTERNS[s]]
+SPANS = {s: (sum(len(PATTERNS[x]) for x in STATES[:at]), sum(len(PATTERNS[x]) for x in STATES[: at + 1]) - 1) for at, s in enumerate(STATES)}
+
+
+def one_pass(patterns: list[str]) -> str:
+    """One pattern that finds, at each place of a text, the match of any of the patterns that begins there.
+
+    Patterns of whole words are tried at word boundaries only, all are told apart by their first letter before the rest is tried, and
+    nothing is consumed, so matches that overlap are all found. Group 1 is the match. No two patterns may match at one place.
+    """
+
+    def by_letter(some: list[str]) -> str:
+        letters: dict[str, list[str]] = {}
+        for p in some:
+            letters.setdefault(p[0].lower(), []).append(p[1:])
+        return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in letters.items())
+
+    bare = [p.removeprefix(r"\b").removesuffix(r"\b") for p in patterns if p.startswith(r"\b")]
+    rest = [p for p in patterns if not p.startswith(r"\b")]
+    return rf"(?iU)(?=(\b(?:{by_letter(bare)})\b|{by_letter(rest)}))"
 
 
-def _folded(text: Column) -> Column:
-    """Lower case; the two letters that only folding takes for ASCII ones replaced."""
-    return F.replace(F.replace(F.lower(text), F.lit("ſ"), F.lit("s")), F.lit("ı"), F.lit("i"))
+def matches(text: Column, patterns: list[str] = ORDERED) -> Column:
+    """array<struct<pattern, text>>: the first match of each pattern that matches, in the order of the patterns; the text is walked once."""
+
+    def which(hit: Column) -> Column:
+        return F.coalesce(*(F.when(hit.rlike(f"(?iU)^(?:{p})$"), at) for at, p in enumerate(patterns)))
+
+    def first(placed: Column) -> Column:
+        kept = F.filter(placed, lambda x, at: (at == 0) | (F.get(placed, at - 1)["pattern"] != x["pattern"]))
+        return F.transform(kept, lambda x: F.struct(x["pattern"].alias("pattern"), x["text"].alias("text")))
+
+    def ordered(hits: Column) -> Column:
+        placed = F.transform(hits, lambda hit, at: F.struct(which(hit).alias("pattern"), at.alias("nth"), hit.alias("text")))
+        return F.when(F.size(hits) == 0, F.array().cast("array<struct<pattern:int,text:string>>")).otherwise(bound(F.array_sort(placed), first))
+
+    return bound(F.regexp_extract_all(text, F.lit(one_pass(patterns)), F.lit(1)), ordered)
 
 
 def scores(text: Column) -> Column:
-    """struct of a score for each state, 0 to 1 to four places. A pattern is searched only where its stem occurs."""
+    """struct of a score for each state, 0 to 1 to four places."""
     bang = F.when(text.rlike("!{3,}"), PUNCTUATION).otherwise(0.0)
     ask = F.when(text.rlike(r"\?{3,}"), PUNCTUATION).otherwise(0.0)
     caps = F.when(F.size(_caps(text)) >= 2, CAPS).otherwise(0.0)
@@ -112,12 +139,12 @@ def scores(text: Column) -> Column:
         extra = {"stressed": b["bang"], "confused": b["ask"], "frustrated": b["bang"] + b["caps"], "engaged": F.lit(0.0)}
 
         def state(name: str) -> Column:
-            hits = sum((F.when(b["low"].contains(stem(p)), b["text"].rlike("(?iU)" + p).cast("int")).otherwise(0) for p in PATTERNS[name]), F.lit(0))
+            hits = F.size(F.filter(b["hits"], lambda h: h["pattern"].between(*SPANS[name])))
             return F.round(F.least(F.lit(1.0), hits * KEYWORD + extra[name]), 4).alias(name)
 
         return F.struct(*map(state, STATES))
 
-    once = F.struct(text.alias("text"), _folded(text).alias("low"), bang.alias("bang"), ask.alias("ask"), caps.alias("caps"))
+    once = F.struct(matches(text).alias("hits"), bang.alias("bang"), ask.alias("ask"), caps.alias("caps"))
     return F.when(text.isNotNull(), bound(once, all_states))
 
 
@@ -143,19 +170,16 @@ def signals(text: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), found.alias("text"), F.lit(weight).alias("weight"))
 
     def found(b: Column) -> Column:
-        words = [
-            F.when(b["low"].contains(stem(p)), signal("keyword", F.regexp_extract(b["text"], "(?iU)" + p, 0), KEYWORD))
-            for s in STATES for p in PATTERNS[s]
-        ]
+        words = F.transform(b["hits"], lambda h: signal("keyword", h["text"], KEYWORD))
         rest = [
             F.when(b["text"].rlike("!{3,}"), signal("punctuation", F.lit("!!!"), PUNCTUATION)),
             F.when(b["text"].rlike(r"\?{3,}"), signal("punctuation", F.lit("???"), PUNCTUATION)),
             F.when(F.size(b["caps"]) >= 2, signal("caps", F.array_join(F.slice(b["caps"], 1, 3), " "), CAPS)),
         ]
-        return F.array(*words, *rest)
+        return F.concat(words, F.array_compact(F.array(*rest)))
 
-    once = F.struct(text.alias("text"), _folded(text).alias("low"), _caps(text).alias("caps"))
-    return F.when(text.isNotNull(), F.filter(bound(once, found), lambda x: x["text"] != ""))
+    once = F.struct(text.alias("text"), matches(text).alias("hits"), _caps(text).alias("caps"))
+    return F.when(text.isNotNull(), bound(once, found))
 
 
 # Action and reason by state, for a strong and for a mild degree.

@@ -24,11 +24,11 @@ def stripped(text: Column) -> Column:
 
 
 def n_arabic(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{ARABIC}]", ""))
+    return F.when(text.rlike(f"[{ARABIC}]"), F.length(F.regexp_replace(text, f"[^{ARABIC}]+", ""))).otherwise(F.when(text.isNotNull(), 0))
 
 
 def n_latin(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
+    return F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
 
 
 def ratios(text: Column) -> tuple[Column, Column]:
@@ -47,7 +47,7 @@ def language(text: Column) -> Column:
     """struct(language, confidence) from the scripts alone: ar, en or other; blank text is other with 0."""
     a, b = n_arabic(text), n_latin(text)
     share = a / F.greatest(a + b, F.lit(1))
-    return F.when(stripped(text) == "", _lang("other", F.lit(0.0))).when(
+    return F.when(~text.rlike(r"(?U)\S"), _lang("other", F.lit(0.0))).when(
         (a + b > 0) & (share >= 0.5), _lang("ar", share)
     ).when(b > 0, _lang("en", 1 - share)).otherwise(_lang("other", F.lit(0.5)))
 
@@ -99,10 +99,12 @@ def segments(text: Column) -> Column:
 
     def segment(run: Column) -> Column:
         script = F.when(run.rlike(f"^{a}"), "arabic").when(run.rlike(rf"^\p{{L}}"), "latin").otherwise("other")
-        lang = F.when((F.length(stripped(run)) >= 4) & (script != "other"), language(run)["language"])
-        return F.struct(run.alias("text"), script.alias("script"), lang.alias("lang"))
+        four = run.rlike(r"(?Us)\S.{2,}\S")
+        # An Arabic run holds no other letters and a Latin one no Arabic ones, so the run's language follows from its script.
+        lang = F.when(script == "arabic", "ar").when(script == "latin", F.when(run.rlike("[A-Za-z]"), "en").otherwise("other"))
+        return F.struct(run.alias("text"), script.alias("script"), F.when(four, lang).alias("lang"))
 
-    return F.transform(F.filter(runs, lambda r: stripped(r) != ""), segment)
+    return F.transform(F.filter(runs, lambda r: r.rlike(r"(?U)\S")), segment)
 
 
 def stable_id(code: Column) -> Column:

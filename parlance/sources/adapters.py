@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read
+from .tables import read, spread
 
 AS_OF = datetime(2024, 1, 31)
 WINDOW = (datetime(2024, 1, 10), datetime(2024, 1, 20))
@@ -44,7 +44,7 @@ def logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survey records from orders."""
-    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    o = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))
     k = F.col("o_orderkey")
     status = F.when(k % 13 == 0, "").when(F.col("o_orderstatus") == "O", "employed").when(F.col("o_orderstatus") == "F", "unemployed").otherwise("not_in_labour_force")
     hours = F.when(k % 17 == 0, "n/a").when(k % 19 == 0, "").when(k % 23 == 0, "0").otherwise((k % 200).cast("string"))
@@ -69,7 +69,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text) of all documents, their whole stored texts with the seed of doc_id % 16 appended."""
     seeds = F.array(*[F.lit(SEEDS[n]) for n in range(16)])
     at = (F.col("doc_id") % 16).cast("int")
-    return read(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.coalesce(F.get(seeds, at), F.lit(""))).alias("text"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.coalesce(F.get(seeds, at), F.lit(""))).alias("text"))
 
 
 def line_of(conv: Column, position: Column) -> Column:
@@ -93,12 +93,12 @@ def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, turn, text): the user's turns with their whole stored texts, each followed by a turn of the script."""
     said = F.array(F.struct((2 * F.col("turn")).alias("turn"), F.col("stored").alias("text")), F.struct((2 * F.col("turn") + 1).alias("turn"), "text"))
-    return scripted(spark, sf_dir).select("session_id", F.explode(said).alias("t")).select("session_id", "t.*")
+    return spread(scripted(spark, sf_dir)).select("session_id", F.explode(said).alias("t")).select("session_id", "t.*")
 
 
 def whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, turn, text): the user's turns, what the script says appended to their whole stored texts."""
-    return scripted(spark, sf_dir).select("session_id", "turn", F.concat("stored", F.lit(" "), "text").alias("text"))
+    return spread(scripted(spark, sf_dir)).select("session_id", "turn", F.concat("stored", F.lit(" "), "text").alias("text"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

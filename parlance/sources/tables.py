@@ -14,6 +14,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, per_core: int = 64 << 20) -> DataFrame:
+    """The rows dealt over all cores where the table is so small that its files have fewer row groups than there are cores; large tables stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < per_core * cores
+    return df.repartition(cores) if small else df
+
+
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Append rows to a table; the schema is that of the rows."""
     (df.write.mode("append").partitionBy(*partition_by) if partition_by else df.write.mode("append")).parquet(path)
