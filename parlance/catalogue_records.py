@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from .catalogue import _DOCS, _RECORDS, _RESPONSES, _fsm_sql, _sessions, lit, qu
 from .functions import emotion, extract, replies, rules, script
 from .operators import audit, memory, occupation, quality, sessions
 from .plans import turns as plan
-from .sources import adapters, providers, tables
+from .sources import adapters, keyed, providers, shared, tables
 
 NOON = datetime(2024, 1, 16, 12)
 _NOON = "TIMESTAMP '2024-01-16 12:00:00'"
@@ -77,6 +78,21 @@ def index_size(spark, sf_dir):
     return spark.read.parquet(f"{stored_index(spark, sf_dir)[1]}/centres").agg(F.sum("n").alias("n"))
 
 
+@query("""SELECT o_orderkey AS session_id, CASE WHEN o_orderkey % 100 <> 1 OR o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'completed' END AS status,
+CASE WHEN o_orderkey % 100 <> 1 OR o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS version FROM orders WHERE o_orderkey % 500 <> 2
+UNION ALL SELECT o_orderkey, o_orderstatus, 1 FROM orders WHERE o_orderkey % 500 = 2 AND o_orderkey % 3 = 1""")
+def sessions_changed(spark, sf_dir):
+    """One in a hundred sessions is completed, a third of those by a stale change; one in five hundred is deleted, or not where the change is stale."""
+    o = tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderstatus").alias("status"))
+    path = f"{shared.folder(spark)}/sessions-{uuid4().hex}"
+    keyed.create(o, path, "session_id")
+    k = F.col("session_id")
+    done = o.where(k % 100 == 1).select(k, F.lit(1).alias("seq"), F.lit("update").alias("op"), F.when(k % 3 == 0, 7).otherwise(1).alias("made_for"), F.lit("completed").alias("status"))
+    gone = o.where(k % 500 == 2).select(k, F.lit(1).alias("seq"), F.lit("delete").alias("op"), F.when(k % 3 == 1, 7).alias("made_for"), F.lit(None).cast("string").alias("status"))
+    keyed.apply(done.unionByName(gone), path)
+    return keyed.read(spark, path)
+
+
 # --- changes ---------------------------------------------------------------------------------------------------
 
 _CODES = f"""c AS (SELECT event_id AS id, user_id, lpad((event_id * 7919 % 1000000)::VARCHAR, 6, '0') AS code, ts + INTERVAL 10 MINUTE AS expires_at,
