@@ -374,7 +374,7 @@ def _script_sql() -> str:
     return f"""
 p AS (SELECT conv_id AS session_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p FROM conversations WHERE role = 'user'),
 scr AS (SELECT session_id, turn, p, CASE session_id % 4 {by} END AS text FROM p),
-bo AS (SELECT session_id, 2 * turn + 1 AS turn, text FROM scr UNION ALL SELECT conv_id, 2 * turn, coalesce(text, '') FROM conversations WHERE role = 'user'),
+bo AS (SELECT 2 * session_id + 1 AS session_id, turn, text FROM scr UNION ALL SELECT 2 * conv_id, turn, coalesce(text, '') FROM conversations WHERE role = 'user'),
 t AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS p FROM bo)"""
 
 

@@ -136,25 +136,42 @@ def final(feats: DataFrame, key: str = "session_id", language: str = "en", size:
     return rows.groupBy(key).agg(F.count("*").alias("n_turns"), last.alias("f")).select(key, "n_turns", "f.*")
 
 
+def _described(turns: DataFrame) -> DataFrame:
+    """turns with all that a text alone says: features, scripts, emotion and the language's confidence; entities are none where they lack."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    a, lat = script.ratios(t)
+    own = features(turns).withColumns({
+        "arabic_ratio": F.round(a, 4), "latin_ratio": F.round(lat, 4), "code_switched": script.code_switched(t),
+        "verdict": emotion.verdict(emotion.scores(t)), "language_confidence": script.language(t)["confidence"],
+    })
+    return own if "entities" in turns.columns else own.withColumn("entities", _no_entities())
+
+
+def _no_entities() -> Column:
+    return F.array().cast("array<struct<text:string,label:string,language:string>>")
+
+
 def results(turns: DataFrame, language: str = "en") -> DataFrame:
     """The turn result of every turn: language, scripts, emotion and action, state, missing fields, validation, completion.
 
     Where turns have ``entities`` (of a provider's reply), they are kept and counted; without them there are none. The context of
     a completed session is dropped, so a later turn begins anew.
 
-    Features, emotion and validation are columns; the only shuffles are those of the fold and of its join back.
+    Features, emotion and validation are columns; the only shuffles are those of the replay and of its join back.
     """
-    t = F.coalesce(F.col("text"), F.lit(""))
-    a, lat = script.ratios(t)
-    own = features(turns).withColumns({
-        "arabic_ratio": F.round(a, 4), "latin_ratio": F.round(lat, 4), "code_switched": script.code_switched(t),
-        "verdict": emotion.verdict(emotion.scores(t)), "language_confidence": script.language(t)["confidence"],
-    })
-    none = F.array().cast("array<struct<text:string,label:string,language:string>>")
-    if "entities" not in turns.columns:
-        own = own.withColumn("entities", none)
+    own = _described(turns)
     after = replay(own.drop("text"), language=language, restart=True).withColumnsRenamed({f: f"c_{f}" for f in extract.FIELDS} | {"session_id": "_s", "turn": "_t"})
     out = own.drop(*extract.FIELDS).join(after, (F.col("session_id") == F.col("_s")) & (F.col("turn") == F.col("_t"))).drop("_s", "_t")
+    return _resulted(out)
+
+
+def results_of(states: DataFrame) -> DataFrame:
+    """The turn results of turns that were replayed already: states (session_id, turn, text, state, language, fields...)."""
+    kept = states.withColumnsRenamed({f: f"c_{f}" for f in extract.FIELDS})
+    return _resulted(_described(kept).drop(*extract.FIELDS))
+
+
+def _resulted(out: DataFrame) -> DataFrame:
     out = out.withColumnsRenamed({f"c_{f}": f for f in extract.FIELDS})
     data = F.map_filter(F.create_map(*[x for f in extract.FIELDS for x in (F.lit(f), F.col(f))]), lambda _, v: v.isNotNull())
     out = out.withColumn("missing_fields", memory.missing(data))
@@ -169,7 +186,7 @@ def results(turns: DataFrame, language: str = "en") -> DataFrame:
         emotion.message(emotion.PROMPTS, F.col("verdict.state"), F.col("detected")).alias("adapted_prompt"), "state",
         F.array_join("missing_fields", ",").alias("missing_fields"), (empty | (F.col("_n") == 0)).alias("is_valid"),
         F.when(empty, 0).otherwise(F.col("_n")).alias("n_errors"), (F.col("state") == "completing").alias("session_completed"),
-        F.col("detected").alias("detected"), F.col("language_confidence"), F.coalesce(F.col("entities"), none).alias("entities"),
+        F.col("detected").alias("detected"), F.col("language_confidence"), F.coalesce(F.col("entities"), _no_entities()).alias("entities"),
     )
 
 

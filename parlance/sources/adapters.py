@@ -91,9 +91,10 @@ def scripted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(session_id, turn, text): the user's turns with their whole stored texts, each followed by a turn of the script."""
-    said = F.array(F.struct((2 * F.col("turn")).alias("turn"), F.col("stored").alias("text")), F.struct((2 * F.col("turn") + 1).alias("turn"), "text"))
-    return spread(scripted(spark, sf_dir)).select("session_id", F.explode(said).alias("t")).select("session_id", "t.*")
+    """(session_id, turn, text): of each conversation a session of the user's whole stored texts (even ids) and one in which the script is said instead (odd ids)."""
+    own = F.struct((2 * F.col("session_id")).alias("session_id"), "turn", F.col("stored").alias("text"))
+    said = F.struct((2 * F.col("session_id") + 1).alias("session_id"), "turn", "text")
+    return spread(scripted(spark, sf_dir)).select(F.explode(F.array(own, said)).alias("t")).select("t.*")
 
 
 def whole_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators.memory import TTL_SECONDS
 from ..plans import machine
 from ..plans.turns import features
 
-OUTPUT = "session_id bigint, turn bigint, state string, language string, " + ", ".join(f"{f} string" for f in FIELDS)
+OUTPUT = "session_id bigint, turn bigint, text string, state string, language string, " + ", ".join(f"{f} string" for f in FIELDS)
 #: A session's place in the machine and the values of its fields.
 STATE = "place int, " + ", ".join(f"{f} string" for f in FIELDS)
 
@@ -47,25 +47,25 @@ class Replay(StatefulProcessor):
         out = []
         for turn in turns.astype(object).where(turns.notna(), None).to_dict("records"):
             place, values = machine.step(int(place), values, turn["kind"], [turn[f] for f in FIELDS], self.language, True)
-            out.append((key[0], turn["turn"], machine.state_of(place), machine.language_of(place, self.language), *values))
+            out.append((key[0], turn["turn"], turn["text"], machine.state_of(place), machine.language_of(place, self.language), *values))
         if machine.state_of(place) == "completing":
             self.now.clear()
         else:
             self.now.update((place, *values))
-        yield pd.DataFrame(out, columns=["session_id", "turn", "state", "language", *FIELDS])
+        yield pd.DataFrame(out, columns=["session_id", "turn", "text", "state", "language", *FIELDS])
 
     def close(self) -> None:
         pass
 
 
 def replay(turns: DataFrame, language: str = "en", ttl_seconds: int = TTL_SECONDS, initial: DataFrame | None = None) -> DataFrame:
-    """A stream of turns(session_id, turn, text) to a row after every turn. Within a batch a session's rows are ordered by turn.
+    """A stream of turns(session_id, turn, text) to a row after every turn, with its text. Within a batch a session's rows are ordered by turn.
 
     A completed session's state is dropped, so a later turn begins anew; the time to live runs from the last write. ``initial`` (session_id, place, fields)
     gives sessions that are under way, as :func:`places` makes it of a batch replay.
     """
     with_rocksdb(turns.sparkSession)
-    rows = features(turns).select("session_id", F.col("turn").cast("bigint").alias("turn"), machine.kind().alias("kind"), *FIELDS)
+    rows = features(turns).select("session_id", F.col("turn").cast("bigint").alias("turn"), "text", machine.kind().alias("kind"), *FIELDS)
     start = None if initial is None else initial.select("session_id", "place", *FIELDS).groupBy("session_id")
     return rows.groupBy("session_id").transformWithStateInPandas(Replay(language, ttl_seconds), OUTPUT, "Update", "ProcessingTime", start)
 

@@ -50,7 +50,7 @@ def test_stream_goes_on_from_a_batch(spark, tmp_path, no_empty_batches):
     source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     run(stream.replay(source, initial=stream.places(old)), "went_on", tmp_path / "cp")
     want = plan.replay(plan.features(rows), restart=True).where("turn > 2")
-    assert sorted(map(str, spark.table("went_on").collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, spark.table("went_on").drop("text").collect())) == sorted(map(str, want.collect()))
 
 
 def folded(turns, language="en", restart=False):
