@@ -11,7 +11,7 @@ from .catalogue import _DOCS, _RECORDS, _RESPONSES, _fsm_sql, _sessions, lit, qu
 from .functions import emotion, extract, replies, rules, script
 from .operators import audit, memory, occupation, quality, sessions
 from .plans import turns as plan
-from .sources import adapters, keyed, providers, shared, tables
+from .sources import adapters, days, keyed, providers, shared, tables
 
 NOON = datetime(2024, 1, 16, 12)
 _NOON = "TIMESTAMP '2024-01-16 12:00:00'"
@@ -93,6 +93,32 @@ def sessions_changed(spark, sf_dir):
     return keyed.read(spark, path)
 
 
+def _by_day(spark, sf_dir):
+    """The three logs laid out by day, the access log by the day until which its rows are kept."""
+    folder = f"{shared.folder(spark)}/logs-{uuid4().hex}"
+    own = (("audit", "timestamp", "event_type"), ("access", "retained_until", "access_type"), ("decision", "timestamp", "agent_name"))
+    for (name, column, by), log in zip(own, adapters.logs(spark, sf_dir), strict=True):
+        days.append(log, f"{folder}/{name}", column, (by,))
+    return [f"{folder}/{name}" for name, _, _ in own]
+
+
+@query("""SELECT event_type, count(*) AS n FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 07:30:00' AND TIMESTAMP '2024-01-20 16:45:10' GROUP BY event_type""")
+def audit_counts_by_day(spark, sf_dir):
+    """A period's counts from the kept counts of its whole days and the rows of its first and last."""
+    return days.counts(spark, _by_day(spark, sf_dir)[0], datetime(2024, 1, 10, 7, 30), datetime(2024, 1, 20, 16, 45, 10))
+
+
+@query("""SELECT 'audit' AS log, event_type AS kind, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 2
+UNION ALL SELECT 'audit', 'purge_executed', 1 UNION ALL SELECT 'access', '', count(*) FROM events WHERE ts + INTERVAL 15 DAY >= TIMESTAMP '2024-01-31'""")
+def logs_purged(spark, sf_dir):
+    """What is left of logs laid out by day after a purge, which tells itself once though it is asked for twice."""
+    paths = _by_day(spark, sf_dir)
+    for _ in range(2):
+        days.purge_logs(spark, *paths, adapters.AS_OF, adapters.RETENTION_DAYS)
+    kept = days.read(spark, paths[0]).groupBy(F.lit("audit").alias("log"), F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return kept.unionByName(days.read(spark, paths[1]).agg(F.lit("access").alias("log"), F.lit("").alias("kind"), F.count("*").alias("n")))
+
+
 # --- changes ---------------------------------------------------------------------------------------------------
 
 _CODES = f"""c AS (SELECT event_id AS id, user_id, lpad((event_id * 7919 % 1000000)::VARCHAR, 6, '0') AS code, ts + INTERVAL 10 MINUTE AS expires_at,
