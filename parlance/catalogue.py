@@ -598,6 +598,24 @@ def occupation_hierarchy(spark, sf_dir):
 _CODES = "(SELECT list(code ORDER BY code) FROM dim WHERE level = 4)"
 
 
+def _level4(spark, sf_dir):
+    """The items of embeddings with the codes of level 4 dealt to them by id."""
+    d = tables.occupations(spark)
+    at = F.broadcast(d.where("level = 4").withColumn("at", F.row_number().over(Window.orderBy("code")) - 1))  # the fixed dimension
+    n = d.where("level = 4").select(F.count("*").alias("codes"))
+    items = adapters.vectors(spark, sf_dir)[1].drop("code").join(F.broadcast(n), F.lit(True))
+    return items.join(at.select("at", "code"), (F.col("item_id") * 7) % F.col("codes") == F.col("at")).drop("codes", "at")
+
+
+@query(f"""WITH {_dimension_sql()}, i AS (SELECT vec_id AS item_id, {_CODES}[1 + (vec_id * 7) % len({_CODES})] AS code FROM embeddings)
+SELECT item_id, i.code, substr(i.code, 1, 1) AS major_code, coalesce(m.title_en, 'Unknown') AS major_title_en, coalesce(m.title_ar, 'غير معروف') AS major_title_ar,
+substr(i.code, 1, 2) AS sub_major_code, coalesce(s.title_en, 'Unknown') AS sub_major_title_en, coalesce(s.title_ar, 'غير معروف') AS sub_major_title_ar
+FROM i LEFT JOIN dim m ON m.code = substr(i.code, 1, 1) LEFT JOIN dim s ON s.code = substr(i.code, 1, 2)""")
+def occupation_paths(spark, sf_dir):
+    """The path of every coded item; several codes lack a sub-major row."""
+    return occupation.with_path(_level4(spark, sf_dir).select("item_id", "code"), tables.occupations(spark))
+
+
 @query(f"""WITH {_dimension_sql()},
 q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 i AS (SELECT vec_id AS item_id, {_CODES}[1 + (vec_id * 7) % len({_CODES})] AS code, embedding::DOUBLE[] AS x FROM embeddings),
@@ -613,10 +631,7 @@ SELECT query_id, code, confidence, stage, rank, CASE WHEN max(s) OVER (PARTITION
 (SELECT count(*) FROM r WHERE r.query_id = o.query_id) AS total_retrieved FROM o""")
 def occupation_expand(spark, sf_dir):
     d = tables.occupations(spark)
-    at = F.broadcast(d.where("level = 4").withColumn("at", F.row_number().over(Window.orderBy("code")) - 1))  # the fixed dimension
-    queries, items = adapters.vectors(spark, sf_dir)
-    n = d.where("level = 4").select(F.count("*").alias("codes"))
-    coded = items.drop("code").join(F.broadcast(n), F.lit(True)).join(at.select("at", "code"), (F.col("item_id") * 7) % F.col("codes") == F.col("at"))
+    queries, coded = adapters.vectors(spark, sf_dir)[0], _level4(spark, sf_dir)
     path = f"{shared.folder(spark)}/index-level4-{shared.fingerprint(tables.read(spark, sf_dir, 'embeddings'))}"
     return occupation.retrieve(queries, vector_index.ensure(coded, path), d, 5)
 

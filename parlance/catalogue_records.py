@@ -42,6 +42,20 @@ def session_responses(spark, sf_dir):
     return sessions.responses_for_review(_answers(spark, sf_dir), 201).select("id", "answer")
 
 
+@query("SELECT p_partkey AS id, p_partkey // 10 AS session_id, p_brand AS answer FROM part WHERE p_partkey = 57 AND p_partkey // 10 = 5")
+def response_by_keys(spark, sf_dir):
+    """One response by its own and its session's id; parts are responses of sessions of ten."""
+    k = F.col("p_partkey")
+    r = tables.read(spark, sf_dir, "part").select(k.alias("id"), F.floor(k / 10).alias("session_id"), F.col("p_brand").alias("answer"))
+    return sessions.response(r, 57, 5)
+
+
+@query("SELECT count(*) AS n, min(l_linenumber) AS first FROM lineitem WHERE l_orderkey = 201")
+def responses_by_session(spark, sf_dir):
+    found = sessions.responses_of(_answers(spark, sf_dir), 201)
+    return found.agg(F.count("*").alias("n"), (F.min("id") - 2010).cast("int").alias("first"))
+
+
 @query("SELECT c_custkey AS id, lower(c_name || '@example.org') AS email FROM customer WHERE c_custkey = 7 AND c_nationkey % 3 <> 0")
 def user_by_id(spark, sf_dir):
     return sessions.active_user(_users(spark, sf_dir), user_id=7).select("id", "email")

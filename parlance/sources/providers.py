@@ -42,9 +42,10 @@ def complete(df: DataFrame, prompt: Column, gate: Column, provider: Provider | N
             for at in range(0, len(b), BATCH):
                 part = b["_prompt"].iloc[at : at + BATCH].tolist()
                 try:
-                    replies += provider(part)
+                    got = list(provider(part))
                 except Exception:  # a failed call gives the fallback downstream
-                    replies += [None] * len(part)
+                    got = []
+                replies += got if len(got) == len(part) else [None] * len(part)  # else replies would stand at other rows
             yield b.drop(columns="_prompt").assign(**{out: replies})
 
     rest = df.where(~F.coalesce(gate, F.lit(False))).withColumn(out, F.lit(None).cast("string"))
@@ -65,7 +66,10 @@ def embed(df: DataFrame, text: Column, embedder: Embedder, out: str = "embedding
         for b in batches:
             got: list[list[float]] = []
             for at in range(0, len(b), BATCH):
-                x = np.asarray(embedder(b["_text"].iloc[at : at + BATCH].tolist()), float)
+                part = b["_text"].iloc[at : at + BATCH].tolist()
+                x = np.asarray(embedder(part), float)
+                if len(x) != len(part):
+                    raise ValueError(f"{len(part)} texts gave {len(x)} vectors")
                 got += (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).tolist()
             yield b.drop(columns="_text").assign(**{out: got})
 

@@ -291,3 +291,18 @@ def test_key_value_documents(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+
+
+def test_a_provider_with_too_few_or_too_many_replies_gives_none(spark):
+    df = spark.range(128).coalesce(1).select("id", F.col("id").cast("string").alias("p"))
+    short = lambda texts: texts[:-1] if "0" in texts else [*texts, "x"] if "70" in texts else texts
+
+    def broken(texts):
+        yield "one"
+        raise RuntimeError
+
+    assert {r.reply for r in providers.complete(df, F.col("p"), F.lit(True), short).collect()} == {None}
+    assert {r.reply for r in providers.complete(df, F.col("p"), F.lit(True), broken).collect()} == {None}
+    assert all(r.reply == r.p for r in providers.complete(df, F.col("p"), F.lit(True), lambda texts: texts).collect())
+    with pytest.raises(Exception, match="64 texts gave 63 vectors"):
+        providers.embed(df, F.col("p"), lambda texts: [[1.0]] * (len(texts) - 1)).collect()
