@@ -11,7 +11,7 @@ from .catalogue import _DOCS, _RECORDS, _RESPONSES, _fsm_sql, _sessions, lit, qu
 from .functions import emotion, extract, replies, rules, script
 from .operators import audit, memory, occupation, quality, sessions
 from .plans import turns as plan
-from .sources import adapters, days, keyed, providers, shared, tables
+from .sources import adapters, days, keyed, providers, requests, shared, tables
 
 NOON = datetime(2024, 1, 16, 12)
 _NOON = "TIMESTAMP '2024-01-16 12:00:00'"
@@ -441,3 +441,24 @@ def passage_texts(spark, sf_dir):
 def occupation_empty(spark, sf_dir):
     r = tables.read(spark, sf_dir, "documents").select("doc_id", occupation.empty_route(F.lit("")).alias("r"))
     return r.select("doc_id", "r.code", "r.title_en", F.col("r.confidence").cast("double").alias("confidence"), "r.method")
+
+
+def _upper(texts):
+    return [t.upper() for t in texts]
+
+
+def _upper_but_french(texts):
+    if any(t.startswith("fr") for t in texts):
+        raise RuntimeError("no French")
+    return _upper(texts)
+
+
+@query("""SELECT doc_id, coalesce(upper(lang || ' ' || source), 'NONE') AS reply, CASE WHEN n_chars % 2 = 0 THEN upper(source) ELSE 'calm' END AS other FROM documents""")
+def replies_stored(spark, sf_dir):
+    """Each kind of document is asked for once; a batch with French ones fails at first and is asked again; the other stage doesn't notice."""
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    path = f"{shared.folder(spark)}/replies-{uuid4().hex}"
+    kind = F.concat("lang", F.lit(" "), "source")
+    other = requests.Enrichment(F.col("source"), F.col("n_chars") % 2 == 0, _upper, "calm")
+    requests.enriched(d, path, {"reply": requests.Enrichment(kind, F.lit(True), _upper_but_french, "NONE"), "other": other})
+    return requests.enriched(d, path, {"reply": requests.Enrichment(kind, F.lit(True), _upper, "NONE"), "other": other}).select("doc_id", "reply", "other")
