@@ -527,6 +527,29 @@ def turn_results(spark, sf_dir):
     return plan.results(adapters.turns(spark, sf_dir)).drop("detected", "language_confidence", "entities")
 
 
+@query(f"""WITH RECURSIVE {_fsm_sql(restart=True)},
+z AS (SELECT f.session_id, f.turn, f.state, cd.job_title AS title, cd.detected, a / greatest(a + l, 1) >= 0.1 AND l / greatest(a + l, 1) >= 0.1 AS switched FROM f JOIN cd ON cd.session_id = f.session_id AND cd.p = f.p)
+SELECT session_id, turn, state, CASE WHEN title IS NULL THEN '' ELSE title || '|' || (1000 + length(title) % 9) || '|' || CASE WHEN length(title) % 100 >= 92 THEN 'semantic' ELSE 'llm_ranked' END END AS matches,
+'lang=' || detected || ', code_switched=' || CASE WHEN switched THEN 'True' ELSE 'False' END || ', entities=' || CASE WHEN title IS NULL THEN 0 ELSE 1 END AS decision, r.status, r.quality_score
+FROM z LEFT JOIN (SELECT * FROM (WITH {_RESPONSES} SELECT session_id AS sid, quality_score, status FROM j)) r ON r.sid = z.session_id AND z.state = 'completing'
+WHERE state <> 'completing' OR r.sid IS NOT NULL""")
+def turn_outcomes(spark, sf_dir):
+    """Matches, decision and review beside each turn's state. A title is the one that a turn offers, classed by its length; completing turns of sessions with responses."""
+    t = adapters.turns(spark, sf_dir)
+    titled = plan.features(t).select("session_id", "turn", "text", "job_title")
+    one = F.struct(F.col("job_title").alias("text"), F.lit("JOB_TITLE").alias("label"), F.lit("en").alias("language"))
+    said = titled.withColumn("entities", F.when(F.col("job_title").isNotNull(), F.array(one))).drop("job_title")
+    n = F.length("text")
+    classed = titled.where("job_title is not null").select(F.col("job_title").alias("text")).distinct().withColumns({
+        "code": (1000 + n % 9).cast("string"), "confidence": (n % 100) / 100.0, "method": F.when(n % 100 >= 92, "semantic").otherwise("llm_ranked")})
+    responses = adapters.responses(spark, sf_dir)
+    out = plan.outcomes(said, classed, responses)
+    shown = F.transform("matches", lambda m: F.concat_ws("|", m["job_title"], m["code"], m["method"]))
+    known = responses.select(F.col("session_id").alias("_k")).distinct()
+    out = out.join(known, F.col("session_id") == F.col("_k"), "left").where("state <> 'completing' or _k is not null")
+    return out.select("session_id", "turn", "state", F.array_join(shown, ";").alias("matches"), F.col("output_summary").alias("decision"), "status", "quality_score")
+
+
 # --- occupations -----------------------------------------------------------------------------------------------
 
 _KNN = """

@@ -217,3 +217,21 @@ def occupation_matches(results: DataFrame, classified: DataFrame) -> DataFrame:
 def quality_reports(results: DataFrame, responses: DataFrame) -> DataFrame:
     """The quality review of each session that completes; one whose review has no responses is escalated."""
     return quality.review(results.where("session_completed").select("session_id"), responses)
+
+
+def outcomes(turns: DataFrame, classified: DataFrame, responses: DataFrame) -> DataFrame:
+    """The whole outcome of every turn: its result, the matches of its job titles in the order of their text, what the decision log keeps of it, and where it completes the session the quality review.
+
+    classified is (text, code, confidence, method), a row for each title; one that it lacks has no match.
+    """
+    found = shared.cut(results(turns))
+    matches = occupation_matches(found, classified).groupBy(F.col("session_id").alias("_s"), F.col("turn").alias("_t")).agg(
+        F.array_sort(F.collect_list(F.struct("job_title", "code", "confidence", "method"))).alias("matches"))
+    reviewed = quality_reports(found, responses).dropDuplicates(["session_id"]).select(F.col("session_id").alias("_q"), "status", "quality_score")
+    _, decisions = audit_rows(found, turns, "2000-01-01")
+    decisions = decisions.select(F.col("session_id").alias("_ds"), F.col("turn").alias("_dt"), "output_summary")
+    out = found.join(matches, (F.col("session_id") == F.col("_s")) & (F.col("turn") == F.col("_t")), "left").join(
+        decisions, (F.col("session_id") == F.col("_ds")) & (F.col("turn") == F.col("_dt")), "left").join(
+        reviewed, F.col("session_completed") & (F.col("session_id") == F.col("_q")), "left")
+    none = F.array().cast("array<struct<job_title:string,code:string,confidence:double,method:string>>")
+    return out.drop("_s", "_t", "_ds", "_dt", "_q").withColumn("matches", F.coalesce("matches", none))
