@@ -29,7 +29,7 @@ from . import shared
 #: Separators of pieces become commas; letters A-Z are lower-cased apart.
 _BREAKS = bytes.maketrans(b".;:!?\n\x0b\x0c\r", b",,,,,,,,,")
 #: Words of the dictionary that one broadcast holds, frequent pairs that one holds, distinct words counted and keys packed before they are given on.
-WORDS, PAIRS, HELD, PACKED = 1_000_000, 8_000_000, 500_000, 1 << 21
+WORDS, PAIRS, HELD, PACKED = 1_000_000, 8_000_000, 300_000, 1 << 20
 #: Bytes of a text that are cut into words at a time, and keys of one range.
 SLICE, RANGE = 1 << 20, 1 << 20
 
