@@ -38,17 +38,22 @@ def flags(responses: DataFrame, low: float = LOW_CONFIDENCE) -> DataFrame:
     return responses.withColumn("reason", flag(low)).where("reason is not null")
 
 
-def metrics(responses: DataFrame, low: float = LOW_CONFIDENCE) -> DataFrame:
-    """A row for each session; means and shares are cut to 0..1 and rounded to four places, 0 without rows to count."""
+def metrics(responses: DataFrame, low: float = LOW_CONFIDENCE, exact: bool = False) -> DataFrame:
+    """A row for each session; means and shares are cut to 0..1 and rounded to four places, 0 without rows to count.
+
+    With ``exact`` scores are summed as decimals, so the mean doesn't hang on the order in which they come.
+    """
     n = F.count("*")
     coded, scored = F.count_if(_coded()), F.count("confidence_score")
+    total = F.sum(F.col("confidence_score").cast("decimal(28,18)")).cast("double")
+    mean = total / scored if exact else F.avg("confidence_score")
 
     def share(x: Column) -> Column:
         return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 4)
 
     return responses.groupBy("session_id").agg(
         n.alias("total_responses"), coded.alias("with_isco"), scored.alias("with_score"),
-        share(F.coalesce(F.avg("confidence_score"), F.lit(0.0))).alias("avg_confidence"), share(coded / n).alias("isco_coverage"),
+        share(F.coalesce(F.when(scored > 0, mean), F.lit(0.0))).alias("avg_confidence"), share(coded / n).alias("isco_coverage"),
         F.count_if(F.col("confidence_score") < low).alias("low_confidence_count"), (n - coded).alias("missing_isco_count"),
         F.count_if(flag(low).isNotNull()).alias("flagged_count"),
     )
