@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from parlance.llm import mixing, neighbours, phrases, queries, repair
+from parlance.llm import mixing, neighbours, phrases, quality, queries, quotes, repair
 
 from ..conftest import sql_differences
 
@@ -253,3 +253,53 @@ def test_mixing_of_equal_rows(spark):
         for taken, target, largest in by.values():
             assert abs(taken - target) <= largest
         assert abs(by["A"][0] - by["A"][1]) <= 3
+
+
+def test_quality_scores_equal_dense_matrices(spark):
+    """The discriminant from whole covariance matrices, inverted and with their determinants, without a factor."""
+    rng = random.Random(12)
+    words = ["alpha", "Beta", "12", "##", "long" * 6, "é", "end.", "|"]
+    texts = {i: "\n".join(" ".join(rng.choice(words[: 3 + 5 * (i % 2)]) for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 5))) for i in range(240)}
+    docs = spark.createDataFrame([*texts.items(), (900, ""), (901, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if rng.random() < 0.9 else 1 - i % 2) for i in texts], "doc_id long, quality int")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    used = [i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1]
+    x = np.array([quality._statistics(texts[i]) for i in used])
+    y = np.array([truth[i] for i in used])
+    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    z = (x - mean) / scale
+    cov = {c: np.cov(z[y == c].T, bias=True) for c in (0, 1)}
+    pooled = sum(cov[c] * (y == c).mean() for c in (0, 1))
+
+    def density(v, c):
+        n = (y == c).sum()
+        a = max(0.1, x.shape[1] / (x.shape[1] + n))
+        m = (1 - a) * cov[c] + a * (0.9 * pooled + 0.1 * np.diag(np.diag(pooled))) + 1e-3 * np.eye(x.shape[1])
+        gap = (v - mean) / scale - z[y == c].mean(axis=0)
+        return np.log(n / len(y)) - 0.5 * (np.linalg.slogdet(m)[1] + gap @ np.linalg.inv(m) @ gap)
+
+    got = {r.doc_id: r for r in quality.scored(docs, labels).collect()}
+    assert len(got) == 242
+    for i, r in got.items():
+        v = np.array(quality._statistics(texts.get(i)))
+        assert abs(r.score - 1 / (1 + np.exp(np.clip(density(v, 0) - density(v, 1), -500, 500)))) < 1e-8
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.5)
+
+
+def test_quotes_of_a_long_conversation(spark):
+    """Replies over several chunks of turns, with a very long text."""
+    rng = random.Random(13)
+    n = 2 * quotes.CHUNK + 300
+    parent = {0: None} | {t: rng.randrange(t) if rng.random() < 0.03 else t - 1 for t in range(1, n)}
+    rows = [(9, t, "user", (f"> word{p}\n" if p is not None and p != t - 1 else "") + f"word{t}" + (" x" * 300_000 if t == 1500 else "")) for t, p in parent.items()]
+    parent = {t: p if p != 1500 or t == 1501 else t - 1 for t, p in parent.items()}  # its line is no longer equal to the quote
+    got = {r.turn: r for r in quotes.rebuilt(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("turn", "parent_turn", "reply_order").collect()}
+    assert {t: r.parent_turn for t, r in got.items()} == parent
+    children, order, stack = {}, [], [0]
+    for t, p in parent.items():
+        children.setdefault(p, []).append(t)
+    while stack:
+        t = stack.pop()
+        order.append(t)
+        stack += sorted(children.get(t, []), reverse=True)
+    assert sorted(got, key=lambda t: got[t].reply_order) == order
