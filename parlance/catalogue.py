@@ -661,10 +661,10 @@ def occupation_expand(spark, sf_dir):
 
 # --- replies ---------------------------------------------------------------------------------------------------
 
-#: Replies by doc_id % 6, as a model may write them.
+#: Replies by doc_id % 6, as a model may write them; {code} and {said} are of the document.
 _REPLIES = {
-    0: '```json\n{"selected_code": "2512", "reasoning": "fits"}\n```', 1: 'Sure: {"selected_code": "9999"} done', 2: "no json at all",
-    3: '[{"selected_code": "2512"}]', 4: '{"selected_code": " 2511 ", "reasoning": ""}', 5: '{"broken": ',
+    0: '```json\n{"selected_code": "{code}", "reasoning": "{said}"}\n```', 1: 'Sure: {"selected_code": "9{code}"} done', 2: "no json at all: {said}",
+    3: '[{"selected_code": "{code}"}]', 4: '{"selected_code": " {code} ", "reasoning": ""}', 5: '{"broken": "{said}',
 }
 
 
@@ -672,27 +672,36 @@ def _replied(spark, sf_dir):
     out = F.lit(None).cast("string")
     for k, v in _REPLIES.items():
         out = F.when(F.col("doc_id") % 6 == k, v).otherwise(out)
-    return tables.read(spark, sf_dir, "documents").select("doc_id", out.alias("reply"))
+    code = (2510 + F.col("n_chars") % 5).cast("string")
+    said = F.concat_ws(" ", "lang", "source", F.col("n_chars").cast("string"))
+    filled = F.replace(F.replace(out, F.lit("{code}"), code), F.lit("{said}"), said)
+    return tables.read(spark, sf_dir, "documents").select("doc_id", filled.alias("reply"))
 
 
-@query("""SELECT doc_id, [' {"selected_code": "2512", "reasoning": "fits"}', '{"selected_code": "9999"}', NULL, NULL, '{"selected_code": " 2511 ", "reasoning": ""}', NULL][1 + doc_id % 6].trim() AS object FROM documents""")
+_REPLY_SQL = "r AS (SELECT doc_id, doc_id % 6 AS k, (2510 + n_chars % 5)::VARCHAR AS code, concat_ws(' ', lang, source, n_chars::VARCHAR) AS said FROM documents)"
+
+
+@query(f"""WITH {_REPLY_SQL} SELECT doc_id, CASE k WHEN 0 THEN '{{"selected_code": "' || code || '", "reasoning": "' || said || '"}}' WHEN 1 THEN '{{"selected_code": "9' || code || '"}}'
+WHEN 4 THEN '{{"selected_code": " ' || code || ' ", "reasoning": ""}}' END AS object FROM r""")
 def llm_json_object(spark, sf_dir):
     return _replied(spark, sf_dir).select("doc_id", replies.json_object(F.col("reply")).alias("object"))
 
 
-@query("""SELECT doc_id, ['2512', '2513', '2513', '2513', '2511', '2513'][1 + doc_id % 6] AS code,
-['fits', 'F', 'F', 'F', 'Selected by LLM classifier.', 'F'][1 + doc_id % 6].replace('F', 'Fallback to top semantic match (LLM response could not be parsed).') AS reasoning
-FROM documents""")
+@query(f"""WITH {_REPLY_SQL}, c AS (SELECT *, k IN (0, 4) AND code IN ('2511', '2512', '2513') AS named FROM r)
+SELECT doc_id, CASE WHEN named THEN code ELSE '2513' END AS code,
+CASE WHEN named AND k = 0 THEN said WHEN named THEN 'Selected by LLM classifier.' ELSE 'Fallback to top semantic match (LLM response could not be parsed).' END AS reasoning FROM c""")
 def llm_select(spark, sf_dir):
     codes = F.array(*map(F.lit, ("2513", "2512", "2511")))
     return _replied(spark, sf_dir).select("doc_id", F.inline(F.array(replies.selection(F.col("reply"), codes))))
 
 
-@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN ['nurse|JOB_TITLE|en|5|10'] WHEN 1 THEN ['bank|INDUSTRY|en|-|-'] ELSE []::VARCHAR[] END AS entities FROM documents""")
+@query("""WITH r AS (SELECT doc_id, coalesce(source, 'nurse') AS s, coalesce(lang, 'en') AS g FROM documents)
+SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN [s || '|JOB_TITLE|en|5|' || (5 + length(s))] WHEN 1 THEN ['bank ' || g || '|INDUSTRY|en|-|-'] ELSE []::VARCHAR[] END AS entities FROM r""")
 def llm_entities(spark, sf_dir):
-    k = F.col("doc_id") % 3
-    raw = F.when(k == 0, '[{"text": " nurse ", "label": "job_title", "language": "xx"}, {"text": "", "label": "PERSON"}]').when(
-        k == 1, 'Found [{"text": "bank", "label": "INDUSTRY"}, {"text": "x", "label": "COLOUR"}] here').otherwise("[]")
-    d = tables.read(spark, sf_dir, "documents").select("doc_id", replies.entities(raw, F.lit("am a nurse")).alias("e"))
+    """Of replies that name the document's source, or its language beside a label that is none."""
+    k, s, g = F.col("doc_id") % 3, F.coalesce("source", F.lit("nurse")), F.coalesce("lang", F.lit("en"))
+    raw = F.when(k == 0, F.replace(F.lit('[{"text": " @ ", "label": "job_title", "language": "xx"}, {"text": "", "label": "PERSON"}]'), F.lit("@"), s)).when(
+        k == 1, F.replace(F.lit('Found [{"text": "bank @", "label": "INDUSTRY"}, {"text": "x", "label": "COLOUR"}] here'), F.lit("@"), g)).otherwise("[]")
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", replies.entities(raw, F.concat(F.lit("am a "), s)).alias("e"))
     shown = F.transform("e", lambda x: F.concat_ws("|", x["text"], x["label"], x["language"], F.coalesce(x["start"].cast("string"), F.lit("-")), F.coalesce(x["end"].cast("string"), F.lit("-"))))
     return d.select("doc_id", shown.alias("entities"))
