@@ -177,8 +177,8 @@ def nearest(
     other lists are missed (README: recall against brute force). ``eps`` sets how surely a candidate must be too far before it is abandoned.
     Scores are exact, in double precision on the vectors as given; ties go to the smaller vec_id. Vectors that are null, empty, zero or
     hold null or non-finite parts take no part, nor do rows without a vec_id. Rows that repeat both id and vector count once; rows that
-    share an id but not a vector are rows of their own, and a query may then find its own id. A query with fewer than k candidates gets
-    them all. Extra columns are ignored, whatever their names. An empty table gives no row.
+    share an id but not a vector are rows of their own, and a query may then find its own id. A query whose lists hold too few
+    candidates reads the other lists too, so it gets k or all there are. Extra columns are ignored, whatever their names. An empty table gives no row.
     """
     x = F.col("embedding").cast("array<double>")
     sound = F.forall(x, lambda v: v.isNotNull() & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
@@ -222,7 +222,15 @@ def nearest(
     near = shared.cut(kept(_cells(queries.where("turn = 0").withColumn("tau", F.lit(None).cast("double")), found, sizes, chunk, scan)))
     tau = near.where(F.col("nth") == k + 1).select(F.col("q").alias("key"), F.col("score").alias("tau"))
     rest = _cells(queries.where("turn > 0").join(tau, "key", "left"), found, sizes, chunk, scan)
-    top = kept(near.drop("nth").unionByName(rest)).groupBy("q").agg(
+    top = shared.cut(kept(near.drop("nth").unionByName(rest)).drop("nth"))
+    # Where the probed lists held too few rows, the other lists are read as well.
+    held = top.groupBy(F.col("q").alias("key")).agg(F.count("*").alias("n"))
+    short = queries.where("turn = 0").join(held, "key", "left").where(F.coalesce("n", F.lit(0)) < k + 1).select("key", "x", "dim")
+    short = short.join(shared.small(shared.cut(sizes.select("dim", "list"))), "dim").join(queries.select("key", "list"), ["key", "list"], "left_anti")
+    short = shared.cut(short)
+    if not short.isEmpty():
+        top = top.unionByName(_cells(short.withColumn("tau", F.lit(None).cast("double")), found, sizes, chunk, scan))
+    top = kept(top).groupBy("q").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id", "own", "score"))).alias("top")
     )
     other = F.slice(F.filter("top", lambda c: ~(c["own"] & (c["vec_id"] == F.col("query_id")))), 1, k)

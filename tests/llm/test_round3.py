@@ -170,6 +170,9 @@ def test_nearest_equals_brute_force_where_all_lists_are_probed(spark):
     assert sorted(map(tuple, got.collect())) == brute_nearest(rows, 20, 20)
     few = neighbours.nearest(spark.createDataFrame(rows[:9], "vec_id long, embedding array<double>"), every=2, k=20)
     assert sorted(map(tuple, few.collect())) == brute_nearest(rows[:9], 2, 20)
+    thin = spark.createDataFrame(rows[:60], "vec_id long, embedding array<double>")
+    found = neighbours.nearest(thin, every=5, k=20, probes=1).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in found} == {i: 20 for i in range(0, 60, 5)}  # the other lists fill up what one lacks
     assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
