@@ -83,13 +83,14 @@ def _signed(x: int) -> int:
 
 
 def _keys(fp: Column, n_blocks: int, d: int, refs: list[int]) -> Column:
-    """One key for each choice of n_blocks - d blocks: the distances to all pivots on these blocks."""
-    keys = []
-    for k, chosen in enumerate(combinations(_blocks(n_blocks), n_blocks - d)):
-        mask = F.lit(_signed(sum(chosen)))
-        dist = [F.bit_count(fp.bitwiseXOR(F.lit(p)).bitwiseAND(mask)) for p in refs]
-        keys.append(F.xxhash64(F.lit(k), *dist))
-    return F.array(*keys)
+    """One key for each choice of n_blocks - d blocks: the distances to all pivots on these blocks. Written over arrays, as one term for each would make a huge plan."""
+    masks = F.array(*[F.lit(_signed(sum(chosen))) for chosen in combinations(_blocks(n_blocks), n_blocks - d)])
+    far = F.array(*[F.lit(p) for p in refs])
+
+    def key(mask: Column, k: Column) -> Column:
+        return F.xxhash64(k, F.transform(far, lambda p: F.bit_count(fp.bitwiseXOR(p).bitwiseAND(mask))))
+
+    return F.transform(masks, key)
 
 
 def _stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
