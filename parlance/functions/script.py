@@ -24,32 +24,38 @@ def stripped(text: Column) -> Column:
 
 
 def n_arabic(text: Column) -> Column:
-    return F.when(text.rlike(f"[{ARABIC}]"), F.length(F.regexp_replace(text, f"[^{ARABIC}]+", ""))).otherwise(F.when(text.isNotNull(), 0))
+    beyond = F.regexp_replace(text, r"[\x00-\x7F]+", "")  # one range is searched faster than the complement of five
+    return F.when(text.rlike(f"[{ARABIC}]"), F.length(F.regexp_replace(beyond, f"[^{ARABIC}]+", ""))).otherwise(F.when(text.isNotNull(), 0))
 
 
 def n_latin(text: Column) -> Column:
     return F.length(F.regexp_replace(text, "[^A-Za-z]+", ""))
 
 
+def counted(text: Column, f: Callable[[Column, Column, Column], Column]) -> Column:
+    """f of the text's numbers of Arabic and Latin characters and the share of Arabic among both (0 without any); each text is searched once."""
+    def shared(n: Column) -> Column:
+        a, b = n["a"], n["b"]
+        return f(a, b, a / F.greatest(a + b, F.lit(1)))
+
+    return bound(F.struct(n_arabic(text).alias("a"), n_latin(text).alias("b")), shared)
+
+
 def ratios(text: Column) -> tuple[Column, Column]:
     """Shares of Arabic and Latin among the characters of both, unrounded; 0 without any."""
-    a, b = n_arabic(text), n_latin(text)
-    total = F.greatest(a + b, F.lit(1))
-    return a / total, b / total
+    both = counted(text, lambda a, b, share: F.struct(share.alias("a"), (b / F.greatest(a + b, F.lit(1))).alias("b")))
+    return both["a"], both["b"]
 
 
 def code_switched(text: Column) -> Column:
-    a, b = ratios(text)
-    return (a >= SWITCH_SHARE) & (b >= SWITCH_SHARE)
+    return counted(text, lambda a, b, share: (share >= SWITCH_SHARE) & (b / F.greatest(a + b, F.lit(1)) >= SWITCH_SHARE))
 
 
 def language(text: Column) -> Column:
     """struct(language, confidence) from the scripts alone: ar, en or other; blank text is other with 0."""
-    a, b = n_arabic(text), n_latin(text)
-    share = a / F.greatest(a + b, F.lit(1))
-    return F.when(~text.rlike(r"(?U)\S"), _lang("other", F.lit(0.0))).when(
-        (a + b > 0) & (share >= 0.5), _lang("ar", share)
-    ).when(b > 0, _lang("en", 1 - share)).otherwise(_lang("other", F.lit(0.5)))
+    found = counted(text, lambda a, b, share: F.when((a + b > 0) & (share >= 0.5), _lang("ar", share)).when(
+        b > 0, _lang("en", 1 - share)).otherwise(_lang("other", F.lit(0.5))))
+    return F.when(~text.rlike(r"(?U)\S"), _lang("other", F.lit(0.0))).otherwise(found)
 
 
 def detected(found: Column, text: Column) -> Column:
@@ -75,16 +81,12 @@ def _lang(name: str, confidence: Column) -> Column:
 
 def class4(text: Column) -> Column:
     """ar from 90 % Arabic, en up to 10 %, mixed between, other without either script."""
-    a, b = n_arabic(text), n_latin(text)
-    share = a / F.greatest(a + b, F.lit(1))
-    return F.when(a + b == 0, "other").when(share >= 0.90, "ar").when(share <= 0.10, "en").otherwise("mixed")
+    return counted(text, lambda a, b, share: F.when(a + b == 0, "other").when(share >= 0.90, "ar").when(share <= 0.10, "en").otherwise("mixed"))
 
 
 def class3(text: Column) -> Column:
     """ar from 90 % Arabic, mixed from 10 %, else en, also without either script."""
-    a, b = n_arabic(text), n_latin(text)
-    share = a / F.greatest(a + b, F.lit(1))
-    return F.when(a + b == 0, "en").when(share >= 0.90, "ar").when(share >= 0.10, "mixed").otherwise("en")
+    return counted(text, lambda a, b, share: F.when(a + b == 0, "en").when(share >= 0.90, "ar").when(share >= 0.10, "mixed").otherwise("en"))
 
 
 def segments(text: Column) -> Column:

@@ -24,6 +24,21 @@ def test_ratios_and_switch(spark):
     assert list(row) == [0.2381, 0.7619, True, "mixed"]
 
 
+@pytest.mark.parametrize("f", [script.language, script.class3, script.class4, script.code_switched, lambda t: script.ratios(t)[0]])
+def test_scripts_are_counted_once(spark, f):
+    df = spark.createDataFrame([("a",)], "t string").select(f(F.col("t")).alias("x"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^A-Za-z]+") == plan.count("[^" + script.ARABIC[:9]) == 1
+
+
+def test_languages_of_odd_texts(spark):
+    rows = [(0, None), (1, ""), (2, " \u00a0\n"), (3, "12 \U0001F600"), (4, "ab\U0001F600é ب"), (5, "ab بت"), (6, "Привет"), (7, "é" * 50_000 + "ﻻ،b")]
+    got = spark.createDataFrame(rows, "i int, t string").select("i", script.language(F.col("t")).alias("x"), script.class4(F.col("t")), script.class3(F.col("t"))).collect()
+    assert {r[0]: (*r[1], r[2], r[3]) for r in got} == {
+        0: ("other", 0.5, "mixed", "en"), 1: ("other", 0.0, "other", "en"), 2: ("other", 0.0, "other", "en"), 3: ("other", 0.5, "other", "en"),
+        4: ("en", 0.6667, "mixed", "mixed"), 5: ("ar", 0.5, "mixed", "mixed"), 6: ("other", 0.5, "other", "en"), 7: ("ar", 0.6667, "mixed", "mixed")}
+
+
 def model_segments(text):
     """Character loop: a leading run of other characters stands alone, later ones join the run before."""
     def kind(c):
