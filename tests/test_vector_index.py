@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,22 @@ def test_population_embeds_in_batches_once(spark, tmp_path):
     vector_index.populate(entries, path, lambda texts: 1 / 0)
     ids = {r.item_id for r in spark.read.parquet(f"{path}/vectors").where("code = '2512'").collect()}
     assert ids == {171025987359200099}
+
+
+def test_probing_hands_on_bounded_batches():
+    rng = np.random.default_rng(3)
+    q, centres = rng.normal(size=(1500, 32)), rng.normal(size=(500, 32))
+    x = pa.FixedSizeListArray.from_arrays(pa.array(q.ravel()), 32).cast(pa.list_(pa.float64()))
+    asked = pa.RecordBatch.from_arrays([pa.array(range(1500)), x, pa.array(np.full(1500, -1.0))], names=["query_id", "x", "least"])
+    about = {32: (np.arange(500), centres, np.full(500, 1.0))}
+    met = [0, 0]
+    for b in vector_index._probes(about, None)(iter([asked])):
+        assert b.nbytes <= 18 << 20  # ROOM and the ids
+        met[0] += b.num_rows
+        assert (b.column("x").flatten().to_numpy().reshape(-1, 32) == q[b.column("query_id").to_numpy()]).all()
+    near = [b for b in vector_index._probes(about, 3)(iter([asked]))]
+    met[1] = sum(b.num_rows for b in near)
+    assert met == [1500 * 499, 1500 * 3]
+    far = ((q[:, None] - centres) ** 2).sum(2)
+    wanted = {(i, int(j)) for i in range(1500) for j in np.argsort(far[i])[:3]}
+    assert {(i, j) for b in near for i, j in zip(b.column("query_id").to_pylist(), b.column("list").to_pylist())} == wanted
