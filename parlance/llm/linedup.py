@@ -42,10 +42,11 @@ _PLACE = ("d", "line_no", "th")
 
 def _normal(text: Column) -> Column:
     """Lower case, all white space but line feeds as spaces."""
-    text = low = F.lower(text)
+    plain = low = F.lower(text)
+    some = F.lit(False)
     for c in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.when(low.rlike("[\t\x0b\x0c\r]"), text).otherwise(low)  # one search instead of four in most texts
+        plain, some = F.replace(plain, F.lit(c), F.lit(" ")), some | text.contains(c)
+    return F.when(some, plain).otherwise(low)  # contains compares bytes; a regex decodes the text first
 
 
 def _id() -> Column:

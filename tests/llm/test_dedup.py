@@ -139,6 +139,13 @@ def test_line_dedup_odd_rows(spark):
     assert out.columns[:7] == [c.split()[0] for c in DOC.split(", ")]
 
 
+def test_lines_are_normalised_without_a_regex(spark):
+    rows = [(1, "A\tb\x0bC\x0cd\re\nÀ\tF"), (2, "Plain Text\nÉ"), (3, None), (4, "")]
+    df = docs(spark, rows).select("doc_id", linedup._normal(F.col("text")).alias("x"))
+    assert {r.doc_id: r.x for r in df.collect()} == {1: "a b c d e\nà f", 2: "plain text\né", 3: None, 4: ""}
+    assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_hot_group_of_lines_is_settled(spark):
     base = [f"w{i}" for i in range(40)]
     rows = [(0, " ".join(base))] + [(i, " ".join([f"new{i}", *base[1:]])) for i in range(1, 200)]
