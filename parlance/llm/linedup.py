@@ -9,9 +9,10 @@ differ in at least as many words as their parities in bits), all inside the join
 verified on the words themselves. A line goes if any earlier line is as similar; earlier
 means by doc_id (null first), then line number, then hash of the text.
 
-* Words are counted once over all texts in ``buckets`` buckets of their hash. The table of the
+* Texts are cut into words once: the hashes of each line's words are written, counted and ranked from there.
+* Words are counted over all distinct lines in ``buckets`` buckets of their hash. The table of the
   counts' levels has a fixed size (8 bytes for each bucket) and reaches the tasks as a scalar subquery.
-* Equal lines (white space and case aside) are one line at their first place before any is compared.
+* Equal lines (white space and case aside) are one line at their first place before any is counted or compared.
 * First each line is paired only with the earliest line of each of its words that occur ``OFTEN`` and with the
   one before it; the lines of a very common word are dealt out to several groups of ``CROWD``. That settles
   nearly all members of a large group of near copies; only lines that are still undecided then meet all
@@ -32,7 +33,7 @@ BUCKETS = 1 << 20
 #: Lines of a word among which the earliest is tried first; words that occur oftener are dealt out at random.
 CROWD = 4096
 #: Occurrences from which a word's earliest line is tried first.
-OFTEN = 64
+OFTEN = 256
 #: Lines of more words carry a second parity, of half their words.
 LONG = 96
 _MASK = (1 << 56) - 1
@@ -76,15 +77,26 @@ def _shift(x: Column, bits: int | Column) -> Column:
     return F.call_function("shiftleft", x, F.lit(bits) if isinstance(bits, int) else bits)
 
 
-def rarity(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row, an array of a long for each bucket of word hashes: in its upper byte four times log2 of the bucket's count over all texts."""
-    text = F.replace(_normal(F.col("text")), F.lit("\n"), F.lit(" "))
-    counts = (
-        docs.select(F.explode(F.split(text, " ")).alias("w"))
-        .groupBy(F.xxhash64("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
-    )
+def placed_lines(docs: DataFrame) -> DataFrame:
+    """(id, d, th, line_no, h1, h2, ws) for each line with a word: a number in the order of places, two hashes, the hashes of its words.
+
+    Where no two documents share an id and the ids span less than 2^31, the number is made of id and line number; else the documents are sorted.
+    Equal documents then have two numbers for one place, one after the other.
+    """
+    ids = docs.agg(F.min("d").alias("lo"), F.max("d").alias("hi"), F.count("d").alias("n"), F.count_distinct("d").alias("u")).first()
+    if ids.n and ids.n == ids.u and ids.hi - ids.lo < 1 << 31:
+        number = _shift(F.col("d") - F.lit(ids.lo), 31).bitwiseOR(F.col("line_no").cast("long"))
+    else:
+        docs, number = docs.orderBy("d", "th"), F.monotonically_increasing_id()
+    return _lines(docs).select(
+        number.alias("id"), *_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), _words(F.col("line")).alias("ws"))
+
+
+def rarity(lines: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """One row, an array of a long for each bucket of word hashes: in its upper byte four times log2 of the bucket's count over all lines."""
+    counts = lines.select(F.explode("ws").alias("w")).groupBy(F.col("w").bitwiseAND(F.lit(buckets - 1)).alias("b")).count()
     level = _shift(F.least(F.lit(124), 4 * F.log2("count")).cast("long"), 56)
-    every = docs.sparkSession.range(buckets).select(F.col("id").alias("b")).join(counts.select("b", level.alias("v")), "b", "left")
+    every = lines.sparkSession.range(buckets).select(F.col("id").alias("b")).join(counts.select("b", level.alias("v")), "b", "left")
     every = every.select("b", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
     run = F.transform(F.array_sort(F.collect_list(F.struct("b", "v"))), lambda x: x["v"])
     runs = every.groupBy(F.floor(F.col("b") / 4096).alias("k")).agg(run.alias("vs"))
@@ -106,25 +118,21 @@ def _most(n: Column, share: float) -> Column:
     return (n - F.ceil(share * n - 1e-9) + 1).cast("int")
 
 
-def ranked_lines(docs: DataFrame, t: float, buckets: int = BUCKETS) -> DataFrame:
-    """A row for each line with a word: its place, two hashes, number of words n, prefix p (rarest first) and parities b1, b2.
+def ranked_lines(lines: DataFrame, t: float, buckets: int = BUCKETS) -> DataFrame:
+    """Of each line its id, number of words n, prefix p (rarest first) and parities b1, b2.
 
     Words are named by 56 bits of their hash after 8 bits of rarity. b1 is of all words; b2 of half of them, in lines of more than LONG words.
     """
-    levels = rarity(docs, buckets).scalar()
     # The subquery's column is used once, so the optimizer puts it where it is used and no row carries the table.
-    rows = _lines(docs).select(
-        *_PLACE, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), levels.alias("levels"),
-        _words(F.col("line")).alias("ws"),
-    )
+    rows = lines.select("id", "ws", rarity(lines, buckets).scalar().alias("levels"))
 
     def rank(w: Column) -> Column:
         return F.get(F.col("levels"), w.bitwiseAND(F.lit(buckets - 1)).cast("int")).bitwiseOR(w.bitwiseAND(F.lit(_MASK)))
 
-    rows = rows.select(*_PLACE, "h1", "h2", F.sort_array(F.transform("ws", rank)).alias("r"))
+    rows = rows.select("id", F.sort_array(F.transform("ws", rank)).alias("r"))
     n = F.size("r")
     return rows.select(
-        *_PLACE, "h1", "h2", n.alias("n"), F.slice("r", F.lit(1), _most(n, t)).alias("p"),
+        "id", n.alias("n"), F.slice("r", F.lit(1), _most(n, t)).alias("p"),
         _parity(F.col("r"), False).alias("b1"), F.when(n > LONG, _parity(F.col("r"), True)).otherwise(0).alias("b2"),
     )
 
@@ -207,15 +215,14 @@ def removed_lines(docs: DataFrame, t: float = 0.8, buckets: int = BUCKETS) -> Da
     """(d, th, lines): for each document the sorted numbers of lines that repeat an earlier one, equal or similar."""
     docs = docs.select(_id().alias("d"), _hash().alias("th"), "text")
     with shared.scratch(docs.sparkSession) as store:
-        with shared.scratch(docs.sparkSession) as briefly:
-            placed = briefly(ranked_lines(docs, t, buckets)).orderBy(*_PLACE).withColumn("id", F.monotonically_increasing_id())
-            rows = store(placed)  # ids in the order of places, fixed once written
         same = ["h1", "h2"]
-        narrow = rows.select("id", *_PLACE, *same)
-        copies = narrow.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-        copies = store(copies)
-        first = rows.join(shared.small(copies), same, "left").where(F.col("first").isNull() | (F.col("first") == F.col("id"))).drop("first")
-        late = store(later_matches(first, rows, docs, store, t))
+        with shared.scratch(docs.sparkSession, codec="lz4", dictionary=False) as briefly:
+            lines = briefly(placed_lines(docs))  # ids are fixed once written
+            narrow = store(lines.drop("ws"))
+            copies = store(narrow.groupBy(*same).agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
+            lines = lines.join(shared.small(copies), same, "left").where(F.col("first").isNull() | (F.col("first") == F.col("id")))
+            first = store(ranked_lines(lines.select("id", "ws"), t, buckets))
+        late = store(later_matches(first, narrow, docs, store, t))
         late = narrow.join(shared.small(late), "id", "left_semi").select(*same, F.lit(True).alias("late")).distinct()
         place = F.struct(*_PLACE)
         firsts = narrow.select(F.col("id").alias("first"), place.alias("at"))
@@ -246,6 +253,6 @@ def dedup_lines(docs: DataFrame, t: float = 0.8, extra: bool = False, buckets: i
     text = F.when(lost.isNull(), F.col("text")).otherwise(text)
     cols = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
     if extra:
-        n = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+        n = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1  # bytes are not counted again
         cols += [F.coalesce(n, F.lit(0)).alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_removed")]
     return joined.select(*cols)

@@ -62,14 +62,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Gives a function that writes a frame as Parquet to the shared folder and reads it back; the folder goes at the end."""
+def scratch(spark: SparkSession, codec: str = "zstd", dictionary: bool = True) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that writes a frame as Parquet to the shared folder and reads it back; the folder goes at the end.
+
+    For columns of hashes dictionaries cost more than they save, and so does a dear codec if they are soon read.
+    """
     folder = f"{shared_dir(spark)}/scratch-{uuid4().hex}"
 
     def store(df: DataFrame) -> DataFrame:
         path = f"{folder}/{uuid4().hex}"
         with freeing_shuffles(spark):
-            df.write.option("compression", "zstd").parquet(path)
+            df.write.option("compression", codec).option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
         return spark.read.parquet(path)
 
     try:

@@ -146,6 +146,23 @@ def test_lines_are_normalised_without_a_regex(spark):
     assert "RLIKE" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("rows, packed", [
+    ([(9, "b a\n\nc"), (-4, "a"), (2, None), (5, "x\ny y")], True),
+    ([(9, "b a\n\nc"), (9, "z"), (None, "a"), (5, "x\ny y")], False),
+    ([(1 << 62, "b a\n\nc"), (-(1 << 62), "a")], False),
+])
+def test_texts_are_cut_into_words_once_and_lines_numbered_in_order(spark, rows, packed):
+    df = docs(spark, rows).select(linedup._id().alias("d"), linedup._hash().alias("th"), "text")
+    placed = linedup.placed_lines(df)
+    assert ("monotonically_increasing_id" in placed._jdf.queryExecution().optimizedPlan().toString()) != packed
+    got = placed.collect()
+    assert [r.id for r in sorted(got, key=lambda r: (r.d, r.th, r.line_no))] == sorted({r.id for r in got})
+    assert sorted(len(r.ws) for r in got) == sorted(len(set(x.split())) for _, text in rows if text for x in text.split("\n") if x.split())
+    with shared.scratch(spark, codec="lz4", dictionary=False) as store:
+        ranked = linedup.ranked_lines(store(placed), 0.8, 1 << 12)
+        assert "split(" not in ranked._jdf.queryExecution().optimizedPlan().toString() and ranked.count() == len(got)
+
+
 def test_a_hot_group_of_lines_is_settled(spark):
     base = [f"w{i}" for i in range(40)]
     rows = [(0, " ".join(base))] + [(i, " ".join([f"new{i}", *base[1:]])) for i in range(1, 200)]
